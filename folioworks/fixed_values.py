@@ -98,15 +98,17 @@ LINK_REPAIRS = (
 TABLE_SEPARATOR = r"(?U)^\|[\s\-|:]+\|?$"
 IMAGE_PLACEHOLDER = r"\[IMAGE_PLACEHOLDER_\d+\]"
 
-# Spans and lines that spelling correction must leave alone, in order of protection.
+# Spans and lines that spelling correction must leave alone, in order of protection:
+# (text every such span contains, pattern).
 PROTECTED_SPANS = (
-    r"\$\$[^$]+\$\$",
-    r"\$[^$\n]+\$",
-    r"<[^>]+>.*?</[^>]+>|<[^>]+/>|<[^>]+>",
-    r"(?U)!\[id:\s*[^\]]+\]\([^\)]+\)",
-    r"\[IMAGE_PLACEHOLDER_\d+\]",
+    ("$$", r"\$\$[^$]+\$\$"),
+    ("$", r"\$[^$\n]+\$"),
+    ("<", r"<[^>]+>.*?</[^>]+>|<[^>]+/>|<[^>]+>"),
+    ("![id:", r"(?U)!\[id:\s*[^\]]+\]\([^\)]+\)"),
+    ("[IMAGE_PLACEHOLDER_", r"\[IMAGE_PLACEHOLDER_\d+\]"),
+    ("#", r"(?mdU)^[^\S\n]*#{1,6}[^\S\n]+\S.*$"),
+    ("|", r"(?mdU)^[^\S\n]*\|.+\|[^\S\n]*$"),
 )
-PROTECTED_LINE = r"(?U)^#{1,6}\s+.+$|^\|.+\|$"
 
 # Spelling rules for OCR output: (pattern, replacement), applied in this order.
 OCR_RULES = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -222,21 +224,40 @@ def header_nodes(text: Column) -> Column:
 
 # --- spelling of OCR output ---------------------------------------------------------------------
 
+_ODD_SPACE = "[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  "
+
+
+def _needed(pattern: str) -> str | None:
+    """The plain text a match must contain when every whitespace run is one space, if there is one."""
+    bare = pattern.replace(r"\b", "").replace(r"\s+", " ").removeprefix(r"(\d+)").removesuffix(r"(\d+)")
+    bare = bare.replace(r"\.", ".").replace(r"\(", "\x00").replace(r"\)", "\x01")
+    if re.search(r"[\\\[\]{}()*+?|^$]", bare):
+        return None
+    return bare.replace("\x00", "(").replace("\x01", ")")
 
-def _any_rule(rules) -> str:
-    return "(?U)" + "|".join(f"(?:{pattern})" for pattern, _ in rules)
 
+def apply_rules(text: Column, rules=fv.OCR_RULES) -> Column:
+    """Apply ordered (pattern, replacement) rules to every line of a text.
+
+    Whitespace in a rule never reaches into the next line. Where all whitespace is single spaces, a
+    plain search tells which rules can match at all, so a clean text runs no pattern.
+    """
+
+    def run(t: Column, odd: Column) -> Column:
+        for pattern, replacement in rules:
+            in_line = "(?U)" + pattern.replace(r"\s", r"[^\S\n]")
+            plain = _needed(pattern)
 
-def correct_line(line: Column, rules=fv.OCR_RULES) -> Column:
-    """Apply the ordered rules. A line that matches none of them is passed through at once."""
-    fixed = line
-    for pattern, replacement in rules:
-        fixed = F.regexp_replace(fixed, "(?U)" + pattern, replacement)
-    return F.when(line.rlike(_any_rule(rules)), fixed).otherwise(line)
+            def step(x: Column, in_line=in_line, replacement=replacement, plain=plain) -> Column:
+                changed = F.regexp_replace(x, in_line, replacement)
+                if plain is None:
+                    return changed
+                return F.when(odd | F.contains(x, F.lit(plain)), changed).otherwise(x)
 
+            t = bind(t, step)
+        return t
 
-def _mark(k: int) -> str:
-    return f"_{chr(0xE000 + k)}_"
+    return bind(text, lambda t: bind(t.rlike(_ODD_SPACE), lambda odd: run(t, odd)))
 
 
 def correct_spelling(text: Column, rules=fv.OCR_RULES) -> Column:
@@ -244,27 +265,28 @@ def correct_spelling(text: Column, rules=fv.OCR_RULES) -> Column:
 
     Protected spans are swapped for word-like marks, kind by kind, and put back in reverse.
     """
+    none = F.array().cast("array<string>")
+
+    def guard(t: Column, k: int) -> Column:
+        if k == len(fv.PROTECTED_SPANS):
+            return apply_rules(t, rules)
+        sign, pattern = fv.PROTECTED_SPANS[k]
+        mark = f"_{chr(0xE000 + k)}_"
+        present = F.contains(t, F.lit(sign))
+        spans = F.when(present, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)
+        hidden = F.when(present, F.regexp_replace(t, pattern, mark)).otherwise(t)
+
+        def restore(found: Column) -> Column:
+            return bind(
+                bind(hidden, lambda h: guard(h, k + 1)),
+                lambda inner: F.when(F.size(found) == 0, inner).otherwise(
+                    interleave(F.split(inner, mark, -1), found)
+                ),
+            )
 
-    def line(x: Column) -> Column:
-        bare = strip(x)
-        skipped = (bare == "") | bare.rlike(fv.PROTECTED_LINE)
-        return F.when(skipped, x).otherwise(correct_line(x, rules))
-
-    def guard(t: Column, kinds: tuple[str, ...], k: int) -> Column:
-        if not kinds:
-            return join_lines(F.transform(_lines(t), line))
-        pattern = kinds[0]
-
-        def swapped(spans: Column) -> Column:
-            inner = guard(F.regexp_replace(t, pattern, _mark(k)), kinds[1:], k + 1)
-            return interleave(F.split(inner, _mark(k), -1), spans)
-
-        return bind(
-            F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
-            swapped,
-        )
+        return bind(spans, restore)
 
-    return bind(text, lambda t: guard(t, fv.PROTECTED_SPANS, 0))
+    return bind(text, lambda t: guard(t, 0))
 
 
 # --- images -------------------------------------------------------------------------------------

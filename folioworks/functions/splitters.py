@@ -42,14 +42,12 @@ def _no_texts() -> Column:
 def mostly_upper(title: Column, threshold: float = 0.75) -> Column:
     """At least three cased letters, and enough of them upper-case."""
 
-    def share(letters: Column) -> Column:
-        upper = F.size(F.filter(letters, lambda c: c == F.upper(c)))
-        return (F.size(letters) >= 3) & (upper / F.greatest(F.size(letters), F.lit(1)) >= threshold)
+    def share(t: Column) -> Column:
+        upper = F.length(F.regexp_replace(t, r"\P{Lu}+", ""))
+        cased = upper + F.length(F.regexp_replace(t, r"\P{Ll}+", ""))
+        return (cased >= 3) & (upper / F.greatest(cased, F.lit(1)) >= threshold)
 
-    letters = F.filter(
-        F.split(heading_text(title), ""), lambda c: (F.lower(c) != F.upper(c)) & c.rlike(r"^\p{L}$")
-    )
-    return bind(letters, share)
+    return bind(heading_text(title), share)
 
 
 def caps_title(line: Column) -> Column:

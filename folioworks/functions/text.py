@@ -301,11 +301,17 @@ def data_url(mime: Column, data: Column) -> Column:
     )
 
 
+def fixed_point(value: Column, digits: int) -> Column:
+    """Decimal text with a fixed number of digits, ties to even, no grouping."""
+    return F.translate(F.format_number(value, digits), ",", "")
+
+
 def human_size(size: Column) -> Column:
-    out = F.format_string("%.1f " + fv.SIZE_LAST_UNIT, size / F.lit(1024.0 ** len(fv.SIZE_UNITS)))
+    last = size.cast("double") / F.lit(1024.0 ** len(fv.SIZE_UNITS))
+    out = F.concat(fixed_point(last, 1), F.lit(" " + fv.SIZE_LAST_UNIT))
     for power, unit in reversed(list(enumerate(fv.SIZE_UNITS))):
         scaled = size.cast("double") / F.lit(1024.0**power)
-        out = F.when(scaled < 1024, F.format_string(f"%.1f {unit}", scaled)).otherwise(out)
+        out = F.when(scaled < 1024, F.concat(fixed_point(scaled, 1), F.lit(" " + unit))).otherwise(out)
     return out
 
 

@@ -291,11 +291,11 @@ def split_numbered_protocols(spark, sf_dir):
 @query(
     "split_dispatch",
     f"""{LINES_CTE}, {plants_sql('pl')}, {vegetables_sql('ve')}, {chapters_sql('ch')}, {monographs_sql('mo')}, {protocols_sql('pr')},
-both AS (SELECT book_id, 0 AS k, chunk_index, chunk_text FROM ch UNION ALL SELECT book_id, 1, chunk_index, chunk_text FROM mo),
+endo AS (SELECT book_id, 0 AS k, chunk_index, chunk_text FROM ch UNION ALL SELECT book_id, 1, chunk_index, chunk_text FROM mo),
 picked AS (
   SELECT book_id, chunk_index, chunk_text FROM pl WHERE book_id % 5 = 0
   UNION ALL SELECT book_id, chunk_index, chunk_text FROM ve WHERE book_id % 5 = 1
-  UNION ALL SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY k, chunk_index) - 1, chunk_text FROM both WHERE book_id % 5 = 2
+  UNION ALL SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY k, chunk_index) - 1, chunk_text FROM endo WHERE book_id % 5 = 2
   UNION ALL SELECT book_id, chunk_index, chunk_text FROM pr WHERE book_id % 5 = 3
   UNION ALL SELECT book_id, 0, trim(text, {WS}) FROM books WHERE book_id % 5 = 4 AND trim(text, {WS}) <> '')
 SELECT b.path || ':#' || CAST(p.chunk_index AS VARCHAR) AS id, b.path AS source_path, p.chunk_index, p.chunk_text,

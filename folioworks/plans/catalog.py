@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from folioworks.plans import registry
-from folioworks.plans import book_queries  # noqa: F401
+from folioworks.plans import book_queries, markdown_queries  # noqa: F401
 
 
 def queries():
