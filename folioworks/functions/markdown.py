@@ -224,7 +224,18 @@ def header_nodes(text: Column) -> Column:
 
 # --- spelling of OCR output ---------------------------------------------------------------------
 
-_ODD_SPACE = "[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  "
+_RARE_SPACES = r"\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD_SPACE = f"[{_RARE_SPACES}]|  "
+
+
+def _in_line(pattern: str) -> str:
+    """The rule with whitespace that stays within its line.
+
+    Looking for the first letter before the word start makes a mismatch cheap.
+    """
+    first = re.match(r"\\b(\w)", pattern)
+    ahead = f"(?={first.group(1)})" if first else ""
+    return "(?U)" + ahead + pattern.replace(r"\s", f"[ {_RARE_SPACES}]")
 
 
 def _needed(pattern: str) -> str | None:
@@ -236,28 +247,37 @@ def _needed(pattern: str) -> str | None:
     return bare.replace("\x00", "(").replace("\x01", ")")
 
 
+_RULES_PER_GROUP = 8
+
+
 def apply_rules(text: Column, rules=fv.OCR_RULES) -> Column:
     """Apply ordered (pattern, replacement) rules to every line of a text.
 
-    Whitespace in a rule never reaches into the next line. Where all whitespace is single spaces, a
-    plain search tells which rules can match at all, so a clean text runs no pattern.
+    In a line whose whitespace is all single spaces, a plain search tells whether any rule of a
+    group can match; the first one to change the line has to match it as it is, so a group without
+    such a find is skipped as a whole. Clean lines run no pattern.
     """
 
-    def run(t: Column, odd: Column) -> Column:
-        for pattern, replacement in rules:
-            in_line = "(?U)" + pattern.replace(r"\s", r"[^\S\n]")
-            plain = _needed(pattern)
+    def group(some, odd: Column):
+        def step(x: Column) -> Column:
+            possible, changed = odd, x
+            for pattern, replacement in some:
+                plain = _needed(pattern)
+                possible = possible | (F.lit(True) if plain is None else F.contains(x, F.lit(plain)))
+                changed = F.regexp_replace(changed, _in_line(pattern), replacement)
+            return F.when(possible, changed).otherwise(x)
 
-            def step(x: Column, in_line=in_line, replacement=replacement, plain=plain) -> Column:
-                changed = F.regexp_replace(x, in_line, replacement)
-                if plain is None:
-                    return changed
-                return F.when(odd | F.contains(x, F.lit(plain)), changed).otherwise(x)
+        return step
 
-            t = bind(t, step)
+    def run(t: Column, odd: Column) -> Column:
+        for at in range(0, len(rules), _RULES_PER_GROUP):
+            t = bind(t, group(rules[at : at + _RULES_PER_GROUP], odd))
         return t
 
-    return bind(text, lambda t: bind(t.rlike(_ODD_SPACE), lambda odd: run(t, odd)))
+    def line(x: Column) -> Column:
+        return bind(x.rlike(_ODD_SPACE), lambda odd: run(x, odd))
+
+    return join_lines(F.transform(_lines(text), line))
 
 
 def correct_spelling(text: Column, rules=fv.OCR_RULES) -> Column:
