@@ -287,3 +287,24 @@ DIGITAL_MIN_DENSITY = 0.001
 SIZE_UNITS = ("B", "KB", "MB", "GB")
 SIZE_LAST_UNIT = "TB"
 FIRST_LINE_HEIGHT_FLOOR = 8
+
+# --- extraction prompt --------------------------------------------------------------------------
+EXTRACTION_HEAD = (
+    "\nBạn là chuyên gia trích xuất dữ liệu tiếng Việt từ văn bản OCR (y học/cây thuốc). "
+    "Nhiệm vụ: tạo JSON đúng schema.\n\nNgữ cảnh (nếu có): "
+)
+EXTRACTION_RULES = """Yêu cầu bắt buộc:
+1) Chỉ xuất ra MỘT đối tượng JSON hợp lệ (không kèm giải thích, không markdown, không code fence).
+2) JSON phải khớp schema bên dưới và có thể được validate.
+3) KHÔNG bịa thông tin: chỉ dùng thông tin có trong văn bản OCR.
+4) Không tạo thêm key ngoài schema. Danh sách key hợp lệ (top-level): <fields>
+5) Kiểu dữ liệu nghiêm ngặt theo schema:
+   - Field kiểu List luôn là mảng JSON (kể cả rỗng: [])
+   - Field Optional có thể là null khi không có thông tin
+   - Field bắt buộc:
+       - Nếu là string: dùng "" khi không có thông tin
+       - Nếu là List: dùng [] khi không có thông tin
+       - Nếu là object bắt buộc: tạo object tối thiểu theo schema và không bịa nội dung
+6) Dọn nhiễu OCR: nếu văn bản có câu/đoạn trùng lặp, chỉ giữ một lần trong nội dung trích xuất.
+7) Giữ nguyên thuật ngữ tiếng Việt, không dịch.
+"""

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from folioworks.plans import registry
-from folioworks.plans import book_queries, markdown_queries  # noqa: F401
+from folioworks.plans import (  # noqa: F401
+    book_queries,
+    document_queries,
+    evaluation_queries,
+    markdown_queries,
+    registry,
+    search_queries,
+)
 
 
 def queries():
