@@ -27,27 +27,26 @@ def l2_normalize(v: Column) -> Column:
 
 
 def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
-    """Deterministic stand-in for a model: signed counts of hashed tokens, unit length.
-
-    Slots are added up by sorting the tokens' slots once, so the cost does not depend on ``dim``.
-    """
-    slots = F.transform(
-        tokens,
-        lambda w: bind(
-            F.xxhash64(w),
+    """Deterministic stand-in for a model: signed counts of hashed tokens, unit length."""
+
+    def number(hexa: Column) -> Column:
+        return F.conv(hexa, 16, 10).cast("bigint")
+
+    def slot(w: Column) -> Column:
+        return bind(
+            F.md5(w.cast("binary")),
             lambda h: F.struct(
-                F.pmod(h, F.lit(dim)).cast("int").alias("slot"),
-                F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign"),
+                F.pmod(number(F.substring(h, 1, 8)), F.lit(dim)).alias("slot"),
+                F.when(number(F.substring(h, 9, 1)) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"),
             ),
-        ),
-    )
-    counts = bind(
-        slots,
-        lambda s: F.transform(
+        )
+
+    def counts(slots: Column) -> Column:
+        return F.transform(
             F.sequence(F.lit(0), F.lit(dim - 1)),
             lambda i: F.aggregate(
-                F.filter(s, lambda x: x["slot"] == i), F.lit(0.0), lambda acc, x: acc + x["sign"]
+                F.filter(slots, lambda s: s["slot"] == i), F.lit(0.0), lambda acc, s: acc + s["sign"]
             ),
-        ),
-    )
-    return l2_normalize(counts)
+        )
+
+    return l2_normalize(bind(F.transform(tokens, slot), counts))

@@ -7,6 +7,7 @@ from folioworks.plans import (  # noqa: F401
     document_queries,
     evaluation_queries,
     markdown_queries,
+    ocr_queries,
     registry,
     search_queries,
 )

@@ -184,8 +184,16 @@ def name_match_filter(spark, sf_dir):
     return search.name_match_filter(found, "question", "name").select("question_id", "rank", "id")
 
 
-@query("hash_embed")
+@query(
+    "hash_embed",
+    f"""WITH t AS (SELECT doc_id, {_tokens_sql('text')} AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS w FROM t),
+h AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS d,
+  CASE WHEN CAST('0x' || substr(md5(w), 9, 1) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END AS sign FROM w),
+g AS (SELECT documents.doc_id, r.d FROM documents, (SELECT unnest(range(64)) AS d) r),
+c AS (SELECT g.doc_id, g.d, coalesce(sum(h.sign), 0) AS x FROM g LEFT JOIN h ON h.doc_id = g.doc_id AND h.d = g.d GROUP BY g.doc_id, g.d)
+SELECT doc_id, d, round(CASE WHEN sum(x * x) OVER (PARTITION BY doc_id) > 0 THEN x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) ELSE x END, 6) + 0 AS x FROM c""",
+)
 def hash_embed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     vec = hashed_embedding(name_tokens(F.col("text")), 64)
-    return docs.select("doc_id", F.posexplode(vec).alias("d", "x")).withColumn("x", F.round("x", 6))
+    return docs.select("doc_id", F.posexplode(vec).alias("d", "x")).withColumn("x", F.round("x", 6) + 0.0)
