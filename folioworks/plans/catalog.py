@@ -8,6 +8,7 @@ from folioworks.plans import (  # noqa: F401
     evaluation_queries,
     markdown_queries,
     ocr_queries,
+    record_queries,
     registry,
     search_queries,
 )
