@@ -158,93 +158,92 @@ def spaced_json(text: Column) -> Column:
 
 def as_text(v: Column) -> Column:
     """A string as it is, a record as JSON, anything else as written."""
-    kind = _kind(v)
-    return (
-        F.when(kind == "VOID", F.lit(None).cast("string"))
-        .when(kind.isin("OBJECT", "ARRAY"), spaced_json(F.to_json(v)))
-        .when(kind == "BOOLEAN", F.initcap(_string(v)))
-        .otherwise(_string(v))
-    )
 
+    def shown(kind: Column) -> Column:
+        return (
+            F.when(kind == "VOID", F.lit(None).cast("string"))
+            .when(kind.isin("OBJECT", "ARRAY"), spaced_json(F.to_json(v)))
+            .when(kind == "BOOLEAN", F.initcap(_string(v)))
+            .otherwise(_string(v))
+        )
 
-def _joined(v: Column, sep: str) -> Column:
-    texts = F.transform(_items(v), lambda e: strip(F.coalesce(as_text(e), F.lit("None"))))
-    return F.array_join(F.filter(texts, lambda t: t != ""), sep)
+    return bind(_kind(v), shown)
 
 
-def _text(v: Column, sep: str) -> Column:
-    return F.when(_kind(v) == "ARRAY", _joined(v, sep)).otherwise(as_text(v))
+def _joined_text(v: Column, sep: str) -> Column:
+    """A list's filled entries joined, any other value as text."""
+    texts = F.transform(_items(v), lambda e: strip(F.coalesce(as_text(e), F.lit("None"))))
+    joined = F.array_join(F.filter(texts, lambda t: t != ""), sep)
+    return F.when(_kind(v) == "ARRAY", joined).otherwise(as_text(v))
 
 
-def _list(v: Column) -> Column:
-    none = F.array().cast("array<string>")
+def _strings(v: Column) -> Column:
     lone = F.filter(F.array(strip(_string(v))), lambda s: s != "")
-    out = (
-        F.when(_kind(v) == "VOID", none)
-        .when(_kind(v) == "ARRAY", F.transform(_items(v), as_text))
-        .when(_kind(v) == "STRING", lone)
-    )
-    return out.otherwise(F.array(as_text(v)))
 
+    def listed(kind: Column) -> Column:
+        return (
+            F.when(kind == "VOID", F.array().cast("array<string>"))
+            .when(kind == "ARRAY", F.try_variant_get(v, "$", "array<string>"))
+            .when(kind == "STRING", lone)
+            .otherwise(F.array(as_text(v)))
+        )
 
-def _first_text(v: Column, names: tuple[str, ...]) -> Column:
-    """First non-empty value among the names."""
-    return F.coalesce(*[F.nullif(_text(field(v, n), ", "), F.lit("")) for n in names])
+    return bind(_kind(v), listed)
 
 
 def _value(v: Column, name: str, kind, aliases: tuple[str, ...]) -> Column:
-    own = field(v, name)
     if isinstance(kind, Nested):
-        return bind(own, lambda x: _nested(x, kind))
+        return bind(field(v, name), lambda x: _nested(x, kind))
     if kind in ("strings", "texts"):
-        return bind(own, _list)
+        return bind(field(v, name), _strings)
     if kind == "int":
         return F.try_variant_get(v, f"$.{name}", "bigint")
     if kind == "req_text":
-        return F.coalesce(_text(own, ", "), F.lit(""))
+        return F.coalesce(bind(field(v, name), lambda x: _joined_text(x, ", ")), F.lit(""))
     if kind == "comma_text":
-        return _text(own, ", ")
+        return bind(field(v, name), lambda x: _joined_text(x, ", "))
     if kind == "opt_text":
-        return _text(own, "; ")
-    if kind == "named":
-        # An alias counts only where the name itself is missing.
-        missing = own.isNull()
-        alias = _first_text(v, aliases) if aliases else F.lit(None).cast("string")
-        return F.coalesce(F.when(missing, alias).otherwise(_text(own, ", ")), F.lit(""))
+        return bind(field(v, name), lambda x: _joined_text(x, "; "))
+
+    def text(n: str) -> Column:
+        return F.try_variant_get(v, f"$.{n}", "string")
+
     if kind == "filled":
         # The alias also stands in for an empty value.
-        alias = field(v, aliases[0])
-        stand_in = F.when((_kind(alias) == "STRING") & (strip(_string(alias)) != ""), _string(alias))
-        return F.when(F.coalesce(_string(own), F.lit("")) == "", F.coalesce(stand_in, _string(own))).otherwise(_string(own))
-    value = _text(own, ", ")
-    for alias in aliases:
-        value = F.when(own.isNull(), F.coalesce(value, as_text(field(v, alias)))).otherwise(value)
-    return value
+        stand_in = F.when(strip(text(aliases[0])) != "", text(aliases[0]))
+        return F.coalesce(F.nullif(text(name), F.lit("")), stand_in, text(name))
+    # Any other alias counts only where the name itself is missing.
+    alias = F.coalesce(*[F.nullif(text(n), F.lit("")) for n in aliases]) if aliases else F.lit(None).cast("string")
+    value = F.when(field(v, name).isNull(), alias).otherwise(text(name)) if aliases else text(name)
+    return F.coalesce(value, F.lit("")) if kind == "named" else value
 
 
 def _nested(v: Column, spec: Nested) -> Column:
-    empty = F.array().cast(T.ArrayType(struct_type(spec.fields)))
-
-    def record(e: Column) -> Column:
-        return build(e, spec.fields)
+    types = struct_type(spec.fields)
+    none = F.array().cast("array<variant>")
 
     def lone_string(e: Column) -> Column:
         values = [
-            (strip(_string(e)) if name == spec.from_string else F.lit(None)).cast(t.dataType).alias(name)
-            for (name, _, _), t in zip(spec.fields, struct_type(spec.fields).fields)
+            (strip(_string(e)) if f.name == spec.from_string else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in types.fields
         ]
         return F.struct(*values)
 
     def entry(e: Column) -> Column:
-        as_record = F.when(_kind(e) == "OBJECT", record(e))
-        if spec.from_string is not None:
-            as_record = as_record.when((_kind(e) == "STRING") & (strip(_string(e)) != ""), lone_string(e))
-        return as_record
+        def shaped(kind: Column) -> Column:
+            out = F.when(kind == "OBJECT", build(e, spec.fields))
+            if spec.from_string is not None:
+                out = out.when((kind == "STRING") & (strip(_string(e)) != ""), lone_string(e))
+            return out
 
-    entries = F.when(_kind(v) == "ARRAY", F.transform(_items(v), entry)).when(
-        _kind(v).isin("OBJECT", "STRING"), F.array(entry(v))
-    )
-    kept = F.filter(F.coalesce(entries, empty), lambda e: e.isNotNull())
+        return bind(_kind(e), shaped)
+
+    def listed(kind: Column) -> Column:
+        return (
+            F.when(kind == "ARRAY", _items(v)).when(kind.isin("OBJECT", "STRING"), F.array(v)).otherwise(none)
+        )
+
+    kept = F.filter(F.transform(bind(_kind(v), listed), entry), lambda e: e.isNotNull())
     if spec.keep_if is not None:
         kept = F.filter(kept, lambda e: strip(e[spec.keep_if]) != "")
     return kept
