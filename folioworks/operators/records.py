@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from folioworks.functions import schemas as sc
 from folioworks.functions import templates as tp
+from folioworks.functions.core import bind
 from folioworks.functions.text import clean_text, first_json_line, first_of_each, record_id
 
 
@@ -64,7 +65,9 @@ def clean_records(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: clean_column(F.col(c), types[c]) for c in columns})
 
 
-def retrieval_records(df: DataFrame, index_type: str, record: str = "record", ident: str = "id") -> DataFrame:
+def retrieval_records(
+    df: DataFrame, index_type: str, record: str = "record", ident: str = "id", extra: tuple[str, ...] = ()
+) -> DataFrame:
     """Rows for a bucket: (index_type, id, text, metadata); metadata merges meta, record and bucket."""
     schema = df.schema[record].dataType
     text = tp.retrieval_text(F.col(record), schema, index_type)
@@ -76,6 +79,7 @@ def retrieval_records(df: DataFrame, index_type: str, record: str = "record", id
         merge_json(meta, F.to_json(F.col(record)), F.to_json(F.struct(F.lit(index_type).alias("index_type")))).alias(
             "metadata"
         ),
+        *extra,
     )
 
 
@@ -90,10 +94,11 @@ def merge_json(*objects: Column) -> Column:
         )
 
     def last_wins(all_: Column) -> Column:
-        later = lambda x, i: F.exists(F.slice(all_, i + 2, F.size(all_)), lambda y: y["k"] == x["k"])
-        return F.filter(all_, lambda x, i: ~later(x, i))
-
-    from folioworks.functions.core import bind
+        names = F.transform(all_, lambda e: e["k"])
+        first = F.array_distinct(names)
+        back = F.reverse(all_)
+        at = lambda k: F.array_position(F.transform(back, lambda e: e["k"]), k).cast("int") - 1
+        return F.transform(first, lambda k: F.get(back, at(k)))
 
     merged = bind(F.concat(*[entries(o) for o in objects]), last_wins)
     shown = F.transform(

@@ -6,6 +6,7 @@ from folioworks.plans import (  # noqa: F401
     book_queries,
     document_queries,
     evaluation_queries,
+    image_queries,
     markdown_queries,
     ocr_queries,
     record_queries,

@@ -268,7 +268,7 @@ _META = """'{"source_path": "' || event_type || '", "k": 0, "z": "' || CAST(even
 
 @query(
     "merge_metadata",
-    """SELECT event_id, '{"source_path":"' || event_type || '","z":"' || event_id || '","k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',"index_type":"herbs"}' AS metadata FROM events""",
+    """SELECT event_id, '{"source_path":"' || event_type || '","k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',"z":"' || event_id || '","index_type":"herbs"}' AS metadata FROM events""",
 )
 def merge_metadata(spark, sf_dir):
     raw = table(spark, sf_dir, "events").selectExpr("event_id", f"{_META} AS meta", "props")
