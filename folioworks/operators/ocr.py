@@ -13,7 +13,7 @@ from folioworks import fixed_values as fv
 from folioworks.functions.chunks import overlapping
 from folioworks.functions.core import strip
 from folioworks.functions.markdown import inline_break
-from folioworks.operators.scan import ROWS_PER_BLOCK, blocked_scan
+from folioworks.operators.scan import ROWS_PER_BLOCK, ordered_scan
 
 
 def items_of_results(df: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def sections(items: DataFrame, order: list[str], rows_per_block: int = ROWS_PER_
 
     ``order`` begins with the column that orders the pages of a document.
 
-    An item holding the break mark closes its section. Sections are numbered by a blocked scan, so a
+    An item holding the break mark closes its section. Sections are numbered by an ordered scan, so a
     document of any length is spread over tasks. A section with neither heading nor content is
     dropped together with its images, and the rest are numbered without gaps.
     """
@@ -47,7 +47,7 @@ def sections(items: DataFrame, order: list[str], rows_per_block: int = ROWS_PER_
     usable = usable_items(items).withColumn("_kind", kind)
     closes = (F.col("_kind") != "image") & F.contains(F.col("text"), F.lit(fv.BREAK_MARK))
     marked = usable.withColumn("_close", closes.cast("bigint"))
-    numbered = blocked_scan(
+    numbered = ordered_scan(
         marked, ["doc"], order, sums={"_closed": F.col("_close")}, rows_per_block=rows_per_block
     )
     # The closing item belongs to the section it closes.
@@ -90,7 +90,7 @@ def sections(items: DataFrame, order: list[str], rows_per_block: int = ROWS_PER_
         "_filled",
     )
     kept = built.where((F.col("heading") != "") | (F.col("_filled") > 0)).drop("_filled")
-    renumbered = blocked_scan(
+    renumbered = ordered_scan(
         kept, ["doc"], ["_seg"], sums={"section_id": F.lit(1).cast("bigint")}, rows_per_block=rows_per_block
     )
     return renumbered.drop("_seg")
@@ -171,7 +171,7 @@ def reading_order(
     Spacing is the gap to the item above over that item's height, at least ``base``; the first item
     has ``base``. A crowded page is scanned in bands.
     """
-    ordered = blocked_scan(
+    ordered = ordered_scan(
         items.withColumn("_h", F.greatest(F.abs(F.col(height)), F.lit(floor))),
         page,
         [y, x, *tie],

@@ -3,7 +3,8 @@
 A running sum or a look at the previous row needs the rows of a group in order. When one group may
 hold a third of all rows it must not be one task's work, so a long group is cut into blocks along
 its order. Windows run inside blocks; one small row per block carries what a block needs from those
-before it. The result equals a window over the whole group, and short groups stay one block.
+before it. The result equals a window over the whole group. Where a first, narrow count finds no
+long group the scan is that plain window, with a single exchange.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ROWS_PER_BLOCK = 100_000
+# The table of long groups is broadcast only below this many rows.
+MAX_BROADCAST_GROUPS = 10_000
 
 
 def _same(keys: list[str], prefix: str) -> list[Column]:
@@ -20,13 +23,23 @@ def _same(keys: list[str], prefix: str) -> list[Column]:
     return [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys]
 
 
-def with_blocks(df: DataFrame, keys: list[str], along: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Add ``_block``: 0 in short groups, else the row's share of the group's range of ``along``."""
+def with_blocks(
+    df: DataFrame, keys: list[str], along: str, rows_per_block: int = ROWS_PER_BLOCK
+) -> DataFrame | None:
+    """``df`` with ``_block``: 0 in short groups, else the row's share of the group's range of ``along``.
+
+    None when every group is short.
+    """
     long = (
         df.groupBy(*[F.col(k).alias(f"_l_{k}") for k in keys])
         .agg(F.count(F.lit(1)).alias("_n"), F.min(along).alias("_lo"), F.max(along).alias("_hi"))
         .where((F.col("_n") > rows_per_block) & (F.col("_hi") > F.col("_lo")))
     )
+    found = long.limit(MAX_BROADCAST_GROUPS + 1).count()
+    if found == 0:
+        return None
+    if found <= MAX_BROADCAST_GROUPS:
+        long = F.broadcast(long)
     blocks = F.ceil(F.col("_n") / rows_per_block)
     share = (F.col(along) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     out = df.join(long, _same(keys, "_l_"), "left")
@@ -34,23 +47,35 @@ def with_blocks(df: DataFrame, keys: list[str], along: str, rows_per_block: int
     return out.select(*df.columns, block.alias("_block"))
 
 
-def blocked_scan(
+def ordered_scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     sums: dict[str, Column] | None = None,
     previous: dict[str, str] | None = None,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add running sums and previous-row values along ``order`` within ``keys``.
 
     The first order column must be a number. ``sums`` maps a new column to the expression summed up
     to and including the row; ``previous`` maps a new column to the column read one row before.
+    ``rows_per_block=None`` says that every group is known to be short.
     """
     sums, previous = sums or {}, previous or {}
-    rows = with_blocks(
-        df.withColumns({f"_v_{name}": expr for name, expr in sums.items()}), keys, order[0], rows_per_block
-    )
+    valued = df.withColumns({f"_v_{name}": expr for name, expr in sums.items()})
+    rows = None if rows_per_block is None else with_blocks(valued, keys, order[0], rows_per_block)
+    if rows is None:
+        over = Window.partitionBy(*keys).orderBy(*order)
+        upto = over.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return valued.select(
+            *df.columns,
+            *[F.sum(f"_v_{name}").over(upto).alias(name) for name in sums],
+            *[F.lag(src).over(over).alias(name) for name, src in previous.items()],
+        )
+    return _blocked(df.columns, rows, keys, order, sums, previous)
+
+
+def _blocked(columns, rows, keys, order, sums, previous) -> DataFrame:
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -76,7 +101,7 @@ def blocked_scan(
     )
     joined = local.join(carried, _same([*keys, "_block"], "_k_"))
     return joined.select(
-        *[F.col(x) for x in df.columns],
+        *[F.col(x) for x in columns],
         *[(F.col(f"_s_{name}") + F.col(f"_o_{name}")).alias(name) for name in sums],
         *[
             F.when(F.col("_rn") == 1, F.col(f"_carry.{src}")).otherwise(F.col(f"_p_{name}")).alias(name)

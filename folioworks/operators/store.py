@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioworks import fixed_values as fv
 
 KEYS = ["index_type", "id"]
+MAX_LITERAL_BUCKETS = 256
 
 
 def bucket_name(name: Column) -> Column:
@@ -30,14 +31,22 @@ def latest(df: DataFrame, seq: str, keys: list[str] = KEYS) -> DataFrame:
 def checked(incoming: DataFrame, stats: DataFrame, vec: str = "vec", model: str | None = None) -> DataFrame:
     """Fail on a vector whose size, or on a model whose name, differs from the bucket's.
 
-    ``stats`` has one row per bucket: (index_type, dim, model).
+    ``stats`` has one row per bucket: (index_type, dim, model). A handful of buckets becomes a constant
+    map, so the incoming rows are not exchanged for the check; a long list is joined.
     """
-    known = stats.select(
-        F.col("index_type").alias("_b"), F.col("dim").alias("_dim"), F.col("model").alias("_model")
-    )
-    joined = incoming.join(known, incoming["index_type"] == F.col("_b"), "left")
+    known = stats.select("index_type", F.col("dim").cast("int").alias("dim"), F.col("model").cast("string").alias("model"))
+    rows = known.limit(MAX_LITERAL_BUCKETS + 1).collect()
+    if len(rows) <= MAX_LITERAL_BUCKETS:
+        dims = F.create_map(*[F.lit(x) for r in rows if r["dim"] is not None for x in (r["index_type"], r["dim"])])
+        models = F.create_map(*[F.lit(x) for r in rows if r["model"] is not None for x in (r["index_type"], r["model"])])
+        dim = F.try_element_at(dims.cast("map<string,int>"), F.col("index_type"))
+        built_with = F.try_element_at(models.cast("map<string,string>"), F.col("index_type"))
+        joined = incoming.withColumns({"_dim": dim, "_model": built_with})
+    else:
+        side = known.select(F.col("index_type").alias("_b"), F.col("dim").alias("_dim"), F.col("model").alias("_model"))
+        joined = incoming.join(side, incoming["index_type"] == F.col("_b"), "left")
     wrong_dim = F.col("_dim").isNotNull() & (F.size(vec) != F.col("_dim"))
-    wrong_model = F.col("_model").isNotNull() & (F.lit(model).isNotNull()) & (F.col("_model") != F.lit(model))
+    wrong_model = F.col("_model").isNotNull() & F.lit(model).isNotNull() & (F.col("_model") != F.lit(model))
     vector = (
         F.when(wrong_dim, F.raise_error(F.concat(F.lit("vector size differs from bucket "), F.col("index_type"))))
         .when(wrong_model, F.raise_error(F.concat(F.lit("model differs from bucket "), F.col("index_type"))))

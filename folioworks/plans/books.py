@@ -15,12 +15,11 @@ from folioworks.plans.registry import table
 DOCS_PER_BOOK = 50
 
 _BODY = """
+numbered AS (SELECT doc_id, CAST(floor(doc_id / 50.0) AS BIGINT) AS book_id, text FROM {documents}),
 d AS (
-  SELECT doc_id, CAST(floor(doc_id / 50.0) AS BIGINT) AS book_id, text,
-         CAST(floor(doc_id / 50.0) AS BIGINT) % 5 AS kind,
-         split_part(split_part(text, ' ', 1), chr(10), 1) AS w,
-         row_number() OVER (PARTITION BY CAST(floor(doc_id / 50.0) AS BIGINT) ORDER BY doc_id) AS n
-  FROM {documents}
+  SELECT doc_id, book_id, text, book_id % 5 AS kind, split_part(split_part(text, ' ', 1), chr(10), 1) AS w,
+         row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS n
+  FROM numbered
 ),
 e AS (
   SELECT doc_id, book_id, kind, text, w, upper(replace(w, 'ß', 'ss')) AS cap, n, CAST(n AS STRING) AS ns,

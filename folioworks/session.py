@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -24,11 +23,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
+_local_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a laptop) is a local folder made and set.
+    Only where a local session names none (tests, a laptop) is a local folder made.
     """
+    global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
@@ -36,9 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = os.environ.get("FOLIOWORKS_SHARED_DIR") or tempfile.mkdtemp(prefix="run-folioworks-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if _local_dir is None:
+        _local_dir = tempfile.mkdtemp(prefix="run-")
+    return _local_dir
 
 
 def cut_lineage(df):

@@ -21,12 +21,7 @@ def _path(column: str = "_metadata.file_path"):
 
 def read_markdown(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """(path, text) of one file, or of all matching files below a folder."""
-    raw = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .text(path)
-    )
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return raw.select(_path().alias("path"), F.col("value").alias("text"))
 
 
