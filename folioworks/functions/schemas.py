@@ -136,7 +136,7 @@ def field(v: Column, name: str) -> Column:
 
 def _kind(v: Column) -> Column:
     """STRING, ARRAY, OBJECT, VOID or a number's or boolean's type; VOID for a missing value."""
-    return F.coalesce(F.regexp_extract(F.schema_of_variant(v), "^([A-Z]+)", 1), F.lit("VOID"))
+    return F.coalesce(F.substring_index(F.schema_of_variant(v), "<", 1), F.lit("VOID"))
 
 
 def _string(v: Column) -> Column:

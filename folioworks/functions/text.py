@@ -70,14 +70,14 @@ def first_of_each(items: Column) -> Column:
     Sort by (key, position), keep the head of every key, sort back: n log n for any length.
     """
     cleaned = F.filter(F.transform(items, normalize_spaces), lambda s: s != "")
-    tagged = F.array_sort(
+    tagged = F.sort_array(
         F.transform(cleaned, lambda s, i: F.struct(F.lower(s).alias("k"), i.alias("i"), s.alias("s")))
     )
 
     def heads(t: Column) -> Column:
         return F.filter(t, lambda x, j: (j == 0) | (x["k"] != F.get(t, j - 1)["k"]))
 
-    back = F.array_sort(
+    back = F.sort_array(
         F.transform(bind(tagged, heads), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))
     )
     return F.transform(back, lambda x: x["s"])
@@ -267,7 +267,7 @@ def _quoted(s: Column) -> Column:
 
 def stable_id(text: Column, metadata: Column) -> Column:
     """Content hash of a text and its string metadata, independent of the metadata's order."""
-    pairs = F.array_sort(F.map_entries(metadata))
+    pairs = F.sort_array(F.map_entries(metadata))
     shown = F.transform(
         pairs, lambda e: F.concat(F.lit("("), _quoted(e["key"]), F.lit(", "), _quoted(e["value"]), F.lit(")"))
     )

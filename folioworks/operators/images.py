@@ -57,7 +57,7 @@ def resolve(refs: DataFrame, files: DataFrame, doc_path: str = "path", name: str
 def attach_images(records: DataFrame, refs: DataFrame, files: DataFrame, ident: str = "id", doc_path: str = "path") -> DataFrame:
     """Adds ``images`` to records from the references of their chunk; records without any pass through."""
     found = resolve(refs, files, doc_path).where(F.col("file_path").isNotNull())
-    named = found.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("line_no", "file_path"))).alias("_i"))
+    named = found.groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("line_no", "file_path"))).alias("_i"))
     joined = records.join(named, ident, "left")
     images = F.transform(F.coalesce("_i", F.array().cast("array<struct<line_no:int,file_path:string>>")), lambda i: i["file_path"])
     return joined.withColumn("images", images).drop("_i")
@@ -135,7 +135,7 @@ def image_fallback(chunks: DataFrame, near: DataFrame, folder: DataFrame, doc: s
     (doc, path) of image files.
     """
     near_list = near.groupBy(doc, line).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda s: s["url"]).alias("_near")
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "url"))), lambda s: s["url"]).alias("_near")
     )
     shown = folder.where(F.concat(F.lit("."), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))).isin(*fv.IMAGE_SUFFIXES))
     first = shown.groupBy(doc).agg(F.min("path").alias("_first"))

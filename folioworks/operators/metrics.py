@@ -26,7 +26,7 @@ def preview(df: DataFrame, text: Column, order: list, n: int) -> DataFrame:
     """One row: the first ``n`` texts by ``order``, joined by line breaks. Only ``n`` rows are gathered."""
     first = df.select(text.alias("t"), *order).orderBy(*order).limit(n)
     position = F.struct(*order)
-    rows = F.array_sort(F.collect_list(F.struct(position.alias("p"), F.col("t"))))
+    rows = F.sort_array(F.collect_list(F.struct(position.alias("p"), F.col("t"))))
     return first.agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n").alias("preview"))
 
 

@@ -13,7 +13,7 @@ from folioworks import fixed_values as fv
 from folioworks.functions.chunks import overlapping
 from folioworks.functions.core import strip
 from folioworks.functions.markdown import inline_break
-from folioworks.operators.scan import ROWS_PER_BLOCK, ordered_scan
+from folioworks.operators.scan import ROWS_PER_BLOCK, all_short, ordered_scan
 
 
 def items_of_results(df: DataFrame) -> DataFrame:
@@ -46,9 +46,15 @@ def sections(items: DataFrame, order: list[str], rows_per_block: int = ROWS_PER_
     kind = F.coalesce(F.col("element_type"), F.lit("paragraph"))
     usable = usable_items(items).withColumn("_kind", kind)
     closes = (F.col("_kind") != "image") & F.contains(F.col("text"), F.lit(fv.BREAK_MARK))
+    if all_short(items, ["doc"], rows_per_block):
+        rows_per_block = None
     marked = usable.withColumn("_close", closes.cast("bigint"))
     numbered = ordered_scan(
-        marked, ["doc"], order, sums={"_closed": F.col("_close")}, rows_per_block=rows_per_block
+        marked,
+        ["doc"],
+        order,
+        sums={"_closed": F.col("_close"), "_pos": F.lit(1).cast("bigint")},
+        rows_per_block=rows_per_block,
     )
     # The closing item belongs to the section it closes.
     parts = numbered.withColumn("_seg", F.col("_closed") - F.col("_close"))
@@ -56,37 +62,39 @@ def sections(items: DataFrame, order: list[str], rows_per_block: int = ROWS_PER_
         "text",
         F.when(F.col("_close") == 1, strip(F.replace("text", F.lit(fv.BREAK_MARK), F.lit("")))).otherwise(F.col("text")),
     )
-    position = F.struct(*order)
-    is_image, is_heading = F.col("_kind") == "image", F.col("_kind") == "heading"
-    content = F.when(~is_image & ~is_heading, F.struct(position.alias("p"), F.col("text").alias("t")))
-    image = F.when(
-        is_image,
-        F.struct(
-            position.alias("p"),
-            F.coalesce("image_id", F.lit("")).alias("image_id"),
-            F.coalesce("file_path", F.lit("")).alias("file_path"),
-        ),
+    row = F.struct(
+        "_pos",
+        F.col("_kind").alias("kind"),
+        F.col("text").alias("text"),
+        F.col("page_num").alias("page"),
+        F.coalesce("image_id", F.lit("")).alias("image_id"),
+        F.coalesce("file_path", F.lit("")).alias("file_path"),
     )
-    # Pages in the order they were first seen: one row per page before the section is put together.
+    # One list per section; heading, content, images and pages are read off it.
     grouped = parts.groupBy("doc", "_seg").agg(
-        F.max_by(F.when(is_heading, F.col("text")), F.when(is_heading, position)).alias("heading"),
-        F.array_sort(F.collect_list(content)).alias("_content"),
-        F.array_sort(F.collect_list(image)).alias("_images"),
-        F.array_sort(
-            F.collect_set(F.when(~is_image, F.struct(F.col(order[0]).alias("o"), F.col("page_num").alias("n"))))
-        ).alias("_pages"),
-        F.count(content).alias("_filled"),
+        F.sort_array(F.collect_list(row)).alias("_items"),
+        F.max(F.col("_kind") == "heading").alias("_headed"),
+        F.count_if(~F.col("_kind").isin("image", "heading")).alias("_filled"),
     )
-    heading = F.coalesce("heading", F.lit(""))
+
+    def of_kind(kind: str) -> Column:
+        return F.filter("_items", lambda i: i["kind"] == kind)
+
+    def texts(found: Column) -> Column:
+        return F.transform(found, lambda i: i["text"])
+
+    headings = texts(of_kind("heading"))
+    content = F.filter("_items", lambda i: ~i["kind"].isin("image", "heading"))
+    on_page = F.filter("_items", lambda i: i["kind"] != "image")
     built = grouped.select(
         "doc",
         "_seg",
-        heading.alias("heading"),
-        F.array_join(F.transform("_content", lambda c: c["t"]), " ").alias("full_text"),
-        F.transform("_images", lambda i: F.struct(i["image_id"].alias("image_id"), i["file_path"].alias("file_path"))).alias(
-            "images"
-        ),
-        F.array_distinct(F.transform("_pages", lambda p: p["n"])).alias("page_range"),
+        F.when(F.col("_headed"), F.element_at(headings, -1)).otherwise("").alias("heading"),
+        F.array_join(texts(content), " ").alias("full_text"),
+        F.transform(
+            of_kind("image"), lambda i: F.struct(i["image_id"].alias("image_id"), i["file_path"].alias("file_path"))
+        ).alias("images"),
+        F.array_distinct(F.transform(on_page, lambda i: i["page"])).alias("page_range"),
         "_filled",
     )
     kept = built.where((F.col("heading") != "") | (F.col("_filled") > 0)).drop("_filled")

@@ -23,6 +23,12 @@ def _same(keys: list[str], prefix: str) -> list[Column]:
     return [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys]
 
 
+def all_short(df: DataFrame, keys: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> bool:
+    """Whether no group has more rows than one block holds. Reads the keys only."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.where(F.col("_n") > rows_per_block).limit(1).count() == 0
+
+
 def with_blocks(
     df: DataFrame, keys: list[str], along: str, rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame | None:

@@ -235,7 +235,7 @@ def route_questions(
         s = dot(F.col("vec"), r["vec"]) + F.when(r["boosted"], x).otherwise(0.0)
         return F.struct((-F.round(s, digits)).alias("neg"), r["index_type"].alias("index_type"))
 
-    ranked = bind(extra, lambda x: F.array_sort(F.transform(table, lambda r: score(r, x))))
+    ranked = bind(extra, lambda x: F.sort_array(F.transform(table, lambda r: score(r, x))))
     out = asked.withColumn(
         "ranking",
         F.transform(ranked, lambda s: F.struct((-s["neg"]).alias("score"), s["index_type"].alias("index_type"))),
@@ -255,7 +255,7 @@ def _route_many(asked: DataFrame, routes: DataFrame, extra: Column, digits: int)
     )
     found = exact_topk(q, v, routes.count(), digits)
     ranking = F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "score", F.col("id").alias("index_type")))),
+        F.sort_array(F.collect_list(F.struct("rank", "score", F.col("id").alias("index_type")))),
         lambda s: F.struct(s["score"].alias("score"), s["index_type"].alias("index_type")),
     )
     ranked = found.groupBy("question_id").agg(ranking.alias("ranking"))
@@ -268,7 +268,7 @@ def bucket_centroids(vectors: DataFrame, bucket: str = "index_type", vec: str =
     """(bucket, vec): mean vector of every bucket, added up before anything is exchanged."""
     parts = vectors.select(bucket, F.posexplode(as_doubles(F.col(vec))).alias("d", "x"))
     means = parts.groupBy(bucket, "d").agg(F.avg("x").alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("d", "x")))
+    ordered = F.sort_array(F.collect_list(F.struct("d", "x")))
     return means.groupBy(bucket).agg(F.transform(ordered, lambda s: s["x"]).alias("vec"))
 
 

@@ -10,12 +10,12 @@ from folioworks.functions import splitters as sp
 from folioworks.functions import text as tx
 from folioworks.operators import segment as seg
 from folioworks.plans.book_queries import WS, caps_sql
-from folioworks.plans.registry import query, table
+from folioworks.plans.registry import query, spread, table
 
 
 def documents(spark, sf_dir, *exprs: str):
     """Documents with extra columns, given as SQL both engines read alike."""
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", *exprs)
+    return spread(table(spark, sf_dir, "documents")).selectExpr("doc_id", *exprs)
 
 
 def _lines_sql(expr: str) -> str:
@@ -246,7 +246,7 @@ SELECT event_id, CASE WHEN regexp_matches(t, '(?s)\\{{.*\\}}') THEN regexp_extra
   THEN trim(substr(t, instr(t, '{{')), {WS}) ELSE t END AS json FROM f""",
 )
 def json_from_text(spark, sf_dir):
-    replies = table(spark, sf_dir, "events").selectExpr("event_id", f"{_REPLY} AS t")
+    replies = spread(table(spark, sf_dir, "events")).selectExpr("event_id", f"{_REPLY} AS t")
     return replies.select("event_id", tx.json_object_in(F.col("t")).alias("json"))
 
 

@@ -10,7 +10,7 @@ from folioworks.functions.vectors import as_doubles
 from folioworks.operators import records, store
 from folioworks.plans.book_queries import WS
 from folioworks.plans.document_queries import first_of_each_sql, spaces_sql
-from folioworks.plans.registry import query, table
+from folioworks.plans.registry import query, spread, table
 
 # --- JSONL --------------------------------------------------------------------------------------
 
@@ -31,7 +31,7 @@ _LINE = (
 FROM events WHERE event_id % 7 IN (0, 1, 2, 6)""",
 )
 def jsonl_records(spark, sf_dir):
-    lines = table(spark, sf_dir, "events").selectExpr("event_id", f"{_LINE} AS value")
+    lines = spread(table(spark, sf_dir, "events")).selectExpr("event_id", f"{_LINE} AS value")
     parsed = records.parse_records(lines)
     return parsed.select("event_id", F.try_variant_get("data", "$.k", "bigint").alias("k"), "id")
 
@@ -57,7 +57,7 @@ _PROPS = "'{\"k\": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}'"
   CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'x; y' WHEN 2 THEN event_type ELSE {_PROPS} END AS specific_antidote FROM events""",
 )
 def coerce_records(spark, sf_dir):
-    raw = table(spark, sf_dir, "events").selectExpr("event_id", f"try_parse_json({_PROTOCOL}) AS data")
+    raw = spread(table(spark, sf_dir, "events")).selectExpr("event_id", f"try_parse_json({_PROTOCOL}) AS data")
     r = records.coerce_records(raw, "EmergencyProtocol")
     return r.select(
         "event_id", "record.condition_name", "record.category",
@@ -86,7 +86,7 @@ _PLANT = (
   CASE WHEN event_id % 5 = 0 THEN 'lá' ELSE 'rễ sắc|hạt' END AS parts_used, 'ho, sốt:x, y:' AS applications FROM events""",
 )
 def coerce_plants(spark, sf_dir):
-    raw = table(spark, sf_dir, "events").selectExpr("event_id", f"try_parse_json({_PLANT}) AS data")
+    raw = spread(table(spark, sf_dir, "events")).selectExpr("event_id", f"try_parse_json({_PLANT}) AS data")
     r = records.coerce_records(raw, "MedicinalPlant")
     return r.select(
         "event_id", "error", "record.plant_name", F.array_join("record.treats", "|").alias("treats"),
@@ -128,7 +128,7 @@ SELECT d.doc_id, coalesce(a.t, '') AS text, coalesce(f.t, '') AS items, coalesce
 LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN firsts f ON f.doc_id = d.doc_id""",
 )
 def clean_records(spark, sf_dir):
-    nested = spark.sql(_NESTED, documents=table(spark, sf_dir, "documents"))
+    nested = spark.sql(_NESTED, documents=spread(table(spark, sf_dir, "documents")))
     out = records.clean_records(nested, "record")
     return out.select(
         "doc_id", "record.text", F.array_join("record.items", "|").alias("items"),
@@ -149,7 +149,7 @@ def clean_records(spark, sf_dir):
   || chr(10) || 'Ứng dụng cụ thể:' || chr(10) || '- Chỉ định: ho, sốt | Thành phần: x, y' AS text FROM events""",
 )
 def format_text(spark, sf_dir):
-    raw = table(spark, sf_dir, "events").selectExpr("event_id", f"try_parse_json({_PLANT}) AS data")
+    raw = spread(table(spark, sf_dir, "events")).selectExpr("event_id", f"try_parse_json({_PLANT}) AS data")
     r = records.coerce_records(raw, "MedicinalPlant")
     text = tp.retrieval_text(F.col("record"), r.schema["record"].dataType, "herbs")
     return r.select("event_id", text.alias("text"))
@@ -173,7 +173,7 @@ _DISEASE = (
   || CASE WHEN event_id % 5 = 0 THEN chr(10) || 'Experience formulas: gia truyền' ELSE '' END AS text FROM events""",
 )
 def format_disease_text(spark, sf_dir):
-    raw = table(spark, sf_dir, "events").selectExpr("event_id", f"try_parse_json({_DISEASE}) AS data")
+    raw = spread(table(spark, sf_dir, "events")).selectExpr("event_id", f"try_parse_json({_DISEASE}) AS data")
     r = records.coerce_records(raw, "EndocrineDisease")
     text = tp.retrieval_text(F.col("record"), r.schema["record"].dataType, "diseases")
     return r.select("event_id", text.alias("text"))
@@ -271,6 +271,6 @@ _META = """'{"source_path": "' || event_type || '", "k": 0, "z": "' || CAST(even
     """SELECT event_id, '{"source_path":"' || event_type || '","k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',"z":"' || event_id || '","index_type":"herbs"}' AS metadata FROM events""",
 )
 def merge_metadata(spark, sf_dir):
-    raw = table(spark, sf_dir, "events").selectExpr("event_id", f"{_META} AS meta", "props")
+    raw = spread(table(spark, sf_dir, "events")).selectExpr("event_id", f"{_META} AS meta", "props")
     merged = records.merge_json(F.col("meta"), F.col("props"), F.lit('{"index_type": "herbs"}'))
     return raw.select("event_id", merged.alias("metadata"))

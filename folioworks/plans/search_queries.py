@@ -8,7 +8,7 @@ from folioworks import fixed_values as fv
 from folioworks.functions.text import name_tokens
 from folioworks.functions.vectors import hashed_embedding, l2_normalize
 from folioworks.operators import prompts, search
-from folioworks.plans.registry import query, table
+from folioworks.plans.registry import query, spread, table
 
 BOOST_WORDS = ("tion", "ung")
 K = {"b0": 2, "b1": 4, "b2": 1}
@@ -194,6 +194,6 @@ c AS (SELECT g.doc_id, g.d, coalesce(sum(h.sign), 0) AS x FROM g LEFT JOIN h ON
 SELECT doc_id, d, round(CASE WHEN sum(x * x) OVER (PARTITION BY doc_id) > 0 THEN x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) ELSE x END, 6) + 0 AS x FROM c""",
 )
 def hash_embed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     vec = hashed_embedding(name_tokens(F.col("text")), 64)
     return docs.select("doc_id", F.posexplode(vec).alias("d", "x")).withColumn("x", F.round("x", 6) + 0.0)
