@@ -29,7 +29,7 @@ def getter(record: Column, schema: T.StructType) -> Getter:
             return F.array_join(record[name], ", ")
         return record[name]
 
-    get.types = types
+    get.types, get.record = types, record
     return get
 
 
@@ -149,8 +149,7 @@ def diseases(get: Getter) -> Column:
 
     kinds = F.lit("")
     if _has(get, "classification"):
-        classes = F.filter(F.array(get("classification")), lambda x: x.isNotNull())
-        kinds = F.array_join(classes, ", ")
+        kinds = F.array_join(F.filter(get.record["classification"], lambda x: _trimmed(x) != ""), ", ")
     by_topic = F.concat_ws(
         "\n",
         _always("Endocrine topic: ", name),

@@ -34,6 +34,12 @@ def usable_items(items: DataFrame) -> DataFrame:
     return items.where(~F.coalesce(F.col("skip"), F.lit(False))).withColumn("text", text).where(text != "")
 
 
+def text_items(items: DataFrame) -> DataFrame:
+    """The items a page's reading order is made of: neither images nor tables, headers or footers."""
+    kind = F.coalesce(F.col("element_type"), F.lit("paragraph"))
+    return items.where(~kind.isin("image", "table") & ~F.coalesce(F.col("skip"), F.lit(False)))
+
+
 def sections(items: DataFrame, order: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """(doc, section_id, heading, full_text, images, page_range).
 

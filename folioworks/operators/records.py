@@ -20,13 +20,14 @@ def parse_records(lines: DataFrame, line: str = "value") -> DataFrame:
 
     Blank lines, junk before the object, objects glued together and broken lines are tolerated.
     """
-    v = F.try_parse_json(first_json_line(F.col(line)))
-    parsed = lines.select("*", v.alias("_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
-    out = parsed.select(
-        *[c for c in lines.columns if c != line],
-        sc.field(F.col("_v"), "data").alias("data"),
-        sc.field(F.col("_v"), "meta").alias("meta"),
-    ).where(F.col("data").isNotNull())
+
+    def found(v: Column) -> Column:
+        record = F.struct(sc.field(v, "data").alias("data"), sc.field(v, "meta").alias("meta"))
+        return F.filter(F.array(record), lambda r: r["data"].isNotNull())
+
+    # A generator, not a filter: the line is parsed once however its parts are used.
+    parsed = F.inline(bind(F.try_parse_json(first_json_line(F.col(line))), found))
+    out = lines.select(*[c for c in lines.columns if c != line], parsed)
     return out.withColumn("id", meta_id(F.col("meta")))
 
 

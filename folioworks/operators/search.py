@@ -22,6 +22,7 @@ from folioworks import fixed_values as fv
 from folioworks.functions.core import bind
 from folioworks.functions.text import focus_tokens, mentions_any, name_tokens
 from folioworks.functions.vectors import as_doubles, dot
+from folioworks.session import cut_lineage
 
 # Questions are broadcast only below these bounds; beyond them both sides are blocked and shuffled.
 MAX_BROADCAST_QUESTIONS = 20_000
@@ -164,8 +165,10 @@ def _topk_broadcast(q: DataFrame, v: DataFrame, k: int, digits: int) -> DataFram
 def _topk_blocked(q: DataFrame, v: DataFrame, k: int, digits: int) -> DataFrame:
     """Both sides cut into blocks by a hash of the id; every pair of blocks meets in one task.
 
-    Blocks split a bucket however large it is, and nothing passes through the driver.
+    Blocks split a bucket however large it is, and nothing passes through the driver. The questions
+    are written once, for they are counted first and may be costly to route.
     """
+    q = cut_lineage(q)
     n_v = max(1, math.ceil(v.count() / VECTORS_PER_BLOCK))
     n_q = max(1, math.ceil(q.count() / QUESTIONS_PER_BLOCK))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks import fixed_values as fv
+from folioworks.functions.text import stable_id
 
 KEYS = ["index_type", "id"]
 MAX_LITERAL_BUCKETS = 256
@@ -21,6 +22,11 @@ def bucket_name(name: Column) -> Column:
     return out
 
 
+def with_ids(df: DataFrame, text: str = "text", metadata: str = "metadata") -> DataFrame:
+    """Rows without an id get one from their content; ``metadata`` is a map of strings."""
+    return df.withColumn("id", F.coalesce("id", stable_id(F.col(text), F.col(metadata))))
+
+
 def latest(df: DataFrame, seq: str, keys: list[str] = KEYS) -> DataFrame:
     """Last row per key by ``seq``; every task keeps one row per key before the exchange."""
     rest = [c for c in df.columns if c not in keys]

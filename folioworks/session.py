@@ -46,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df):
     """Write ``df`` to the shared checkpoint folder and go on from the files."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

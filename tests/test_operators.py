@@ -499,3 +499,83 @@ def test_postprocess(spark):
     df = spark.createDataFrame([("#A\nl à\n[IMAGE_PLACEHOLDER_1]", ["k"])], "text string, ids array<string>")
     got = pipelines.postprocess_markdown(df, images="ids").first()["text"]
     assert got == "# A\nlà\n![id: k](k.png)"
+
+
+def test_documents_to_prompts(spark):
+    body = "nội dung " * 60
+    docs = spark.createDataFrame(
+        [("raw/cay-canh--cay-thuoc/x.md", f"## 1. CÂY ỔI\n{body}\n## 2. CÂY MƠ\n{body}")], "path string, text string"
+    )
+
+    def extractor(text, schema):
+        name = text.split("\n")[0].removeprefix("## ")
+        return json.dumps({"plant_name": name, "family": "Họ", "other_names": ["a", "A", "b"]}, ensure_ascii=False)
+
+    out = pipelines.extract_documents(docs, "MedicinalPlant", extractor)
+    vec = F.when(F.contains("text", F.lit("ỔI")), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    rows = pipelines.bucket_rows(out, "MedicinalPlant", "herbs", lambda _: vec)
+    texts = {r["id"]: r["text"] for r in rows.collect()}
+    # The heading's number is not part of what the extractor sees.
+    assert texts["raw/cay-canh--cay-thuoc/x.md:#0"] == "Tên cây: CÂY ỔI\nTên gọi khác: a, b\nHọ: Họ"
+    again = pipelines.extract_documents(docs, "MedicinalPlant", extractor, done=out.where("id LIKE '%#1'"))
+    assert [r["id"] for r in again.collect()] == ["raw/cay-canh--cay-thuoc/x.md:#0"]
+
+    routes = spark.createDataFrame([("herbs", True, [1.0, 0.0]), ("emergency", False, [0.0, -1.0])], "index_type string, boosted boolean, vec array<double>")
+    asked = spark.createDataFrame([(1, "cây ổi?", [0.9, 0.1]), (2, "rắn?", [0.0, -1.0])], "question_id int, question string, vec array<double>")
+    got = {r["question_id"]: r for r in pipelines.answer_prompts(asked, routes, rows, {"herbs": 1}).collect()}
+    assert got[1]["context"].startswith("#1 id=raw/cay-canh--cay-thuoc/x.md:#0 source=raw/cay-canh--cay-thuoc/x.md score=0.9000\nfamily: Họ\nother_names: a, b\nTên cây")
+    assert "CÂU HỎI: cây ổi?" in got[1]["prompt"]
+    assert got[2]["prompt"] == fv.NO_CONTEXT_ANSWER
+
+
+def test_exports_and_comparison(spark):
+    out = pipelines.dataset_exports(ocr_items(spark), ["page_num", "item_no"])
+    assert {k: v.count() for k, v in out.items()} == {"metadata": 1, "sections": 2, "passages": 2, "documents": 2}
+    p = run_of(spark, [(1, "a", "x", "1"), (2, "b", "y", "0")])
+    b = run_of(spark, [(1, "a", "x", "0"), (2, "b", "y", "1")])
+    got = pipelines.compare_runs(p, b, ["m"])
+    assert got["examples"].where("side = 'best'").first()["user_input"] == "a"
+    answers = spark.createDataFrame([(1, "q", "![a](b) đáp", "g"), (2, "r", "x", "h")], "question_id int, question string, answer string, ground_truth string")
+    found = spark.createDataFrame([(1, "hai", 0.1, 1), (1, "một", 0.9, 2)], "question_id int, content string, score double, pos int")
+    recs = {r["question_id"]: r for r in pipelines.evaluation_records(answers, found).collect()}
+    assert recs[1]["contexts"] == ["một", "hai"] and recs[1]["answer"] == "đáp" and recs[2]["contexts"] == []
+
+
+def test_ids_from_content(spark):
+    df = spark.sql("SELECT CAST(NULL AS STRING) AS id, 't' AS text, map('b', 'x', 'a', 'y') AS metadata UNION ALL SELECT 'own', 't', map('a', 'y')")
+    import hashlib
+
+    want = hashlib.sha1("t\n[('a', 'y'), ('b', 'x')]".encode()).hexdigest()
+    assert {r["id"] for r in store.with_ids(df).collect()} == {"own", want}
+
+
+def test_registries(spark):
+    from folioworks.functions import schemas, splitters, templates
+
+    splitters.register_splitter("pages", lambda t: F.split(t, "---"), "my-book")
+    schemas.register_schema("Note", (("title", "req", ()), ("tags", "strings", ())))
+    templates.register_template("notes", lambda get: F.concat(F.lit("Note: "), get("title"), F.lit(" / "), get("tags")))
+    try:
+        df = spark.createDataFrame([("x/my-book/1.md", "a---b")], "path string, text string")
+        assert [r["chunk_text"] for r in segment.chunk_records(df).collect()] == ["a", "b"]
+        r = spark.createDataFrame([('{"title":"T","tags":"u"}',)], "j string").select(F.parse_json("j").alias("data"), F.parse_json(F.lit("{}")).alias("meta"), F.lit("1").alias("id"))
+        rows = records.retrieval_records(records.coerce_records(r, "Note"), "notes")
+        assert rows.first()["text"] == "Note: T / u"
+        other = records.retrieval_records(records.coerce_records(r, "Note"), "unknown")
+        assert json.loads(other.first()["text"]) == {"title": "T", "tags": ["u"]}
+    finally:
+        splitters.EXTRA_PATHS.clear()
+        del splitters.SPLITTERS["pages"], schemas.SCHEMAS["Note"], templates.TEMPLATES["notes"]
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    from folioworks import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return "hdfs://shared/ck/" if key == "spark.checkpoint.dir" else default
+
+    class Fake:
+        conf = Conf()
+
+    assert session.shared_dir(Fake()) == "hdfs://shared/ck"
