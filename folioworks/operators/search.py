@@ -12,10 +12,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from folioworks import fixed_values as fv
@@ -29,6 +31,7 @@ MAX_BROADCAST_QUESTIONS = 20_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 VECTORS_PER_BLOCK = 50_000
 QUESTIONS_PER_BLOCK = 2_000
+MAX_SCORE_CELLS = 4_000_000
 MAX_LITERAL_ROUTES = 256
 SCORE_DIGITS = 6
 
@@ -52,41 +55,37 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
-def _score(q: np.ndarray, v: np.ndarray, digits: int) -> np.ndarray:
-    return np.round(q @ v.T, digits) + 0.0
-
-
-def _matrix(column: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of the expected size as a matrix, and the mask of rows that have it."""
-    ok = np.fromiter((x is not None and len(x) == dim for x in column), dtype=bool, count=len(column))
-    rows = column[ok]
-    m = np.stack([np.asarray(x, dtype=np.float64) for x in rows]) if len(rows) else np.zeros((0, dim))
-    return m, ok
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the expected size as one matrix, and the mask of the rows that have it."""
+    ok = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    flat = column.filter(ok).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim), ok.to_numpy(zero_copy_only=False)
 
 
 class _Running:
     """Best k per question over a stream of vector blocks."""
 
-    def __init__(self, qids, k: int):
-        self.qids, self.k, self.scores, self.ids = qids, k, None, None
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        new_scores, new_ids = _best(scores, np.broadcast_to(ids, scores.shape), self.k)
+    def __init__(self, qids: np.ndarray, matrix: np.ndarray, k: int, digits: int):
+        self.qids, self.matrix, self.k, self.digits = qids, matrix, k, digits
+        self.scores = self.ids = None
+
+    def add(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+        """Score a block. Questions go in slices, so the score table stays small."""
+        step = max(1, MAX_SCORE_CELLS // len(vectors))
+        best = []
+        for at in range(0, len(self.qids), step):
+            scores = np.round(self.matrix[at : at + step] @ vectors.T, self.digits) + 0.0
+            best.append(_best(scores, np.broadcast_to(ids, scores.shape), self.k))
+        scores, found = (np.concatenate(x) for x in zip(*best))
         if self.scores is not None:
-            new_scores = np.concatenate([self.scores, new_scores], axis=1)
-            new_ids = np.concatenate([self.ids, new_ids], axis=1)
-            new_scores, new_ids = _best(new_scores, new_ids, self.k)
-        self.scores, self.ids = new_scores, new_ids
-
-    def frame(self) -> pd.DataFrame:
-        n = 0 if self.scores is None else self.scores.shape[1]
-        return pd.DataFrame(
-            {
-                "question_id": np.repeat(self.qids, n),
-                "id": self.ids.ravel() if n else np.array([]),
-                "score": self.scores.ravel() if n else np.array([]),
-            }
-        )
+            scores = np.concatenate([self.scores, scores], axis=1)
+            found = np.concatenate([self.ids, found], axis=1)
+            scores, found = _best(scores, found, self.k)
+        self.scores, self.ids = scores, found
+
+    def columns(self) -> list[np.ndarray]:
+        n = self.scores.shape[1]
+        return [np.repeat(self.qids, n), self.ids.ravel(), self.scores.ravel()]
 
 
 def _id_array(values) -> np.ndarray:
@@ -129,6 +128,11 @@ def _result_schema(q: DataFrame, v: DataFrame) -> T.StructType:
     )
 
 
+def _record_batch(columns: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    arrays = [pa.array(c.tolist(), type=f.type) for c, f in zip(columns, schema)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
 def _topk_broadcast(q: DataFrame, v: DataFrame, k: int, digits: int) -> DataFrame:
     """The checked, small question side travels with the tasks; the vectors are scanned once."""
     rows = q.collect()
@@ -140,26 +144,25 @@ def _topk_broadcast(q: DataFrame, v: DataFrame, k: int, digits: int) -> DataFram
             vecs.append(r["vec"])
     packed = {key: (_id_array(ids), np.asarray(vecs, dtype=np.float64)) for key, (ids, vecs) in groups.items()}
     shared = q.sparkSession.sparkContext.broadcast(packed)
+    schema = _result_schema(q, v)
+    arrow = to_arrow_schema(schema)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        local = shared.value
-        running = {key: _Running(ids, k) for key, (ids, _) in local.items()}
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running = {key: _Running(ids, matrix, k, digits) for key, (ids, matrix) in shared.value.items()}
         for batch in batches:
-            by_bucket = {b: part for b, part in batch.groupby("bucket", dropna=False)}
-            for (bucket, dim), (_, matrix) in local.items():
-                part = by_bucket.get(bucket)
-                if part is None:
-                    continue
-                m, ok = _matrix(part["vec"], dim)
+            names, ids, vecs = batch.column("bucket"), batch.column("id"), batch.column("vec")
+            for (bucket, dim), run in running.items():
+                mine = pc.equal(names, bucket)
+                m, ok = _matrix(vecs.filter(mine), dim)
                 if len(m):
-                    running[(bucket, dim)].add(_score(matrix, m, digits), _id_array(part["id"][ok]))
+                    run.add(m, _id_array(ids.filter(mine).filter(pa.array(ok)).to_pylist()))
         for run in running.values():
             if run.scores is not None:
-                yield run.frame()
+                yield _record_batch(run.columns(), arrow)
 
     buckets = sorted({b for b, _ in packed if b is not None})
     wanted = v.where(F.col("bucket").isin(buckets)) if buckets else v.limit(0)
-    return wanted.mapInPandas(scan, _result_schema(q, v))
+    return wanted.mapInArrow(scan, schema)
 
 
 def _topk_blocked(q: DataFrame, v: DataFrame, k: int, digits: int) -> DataFrame:
@@ -181,22 +184,23 @@ def _topk_blocked(q: DataFrame, v: DataFrame, k: int, digits: int) -> DataFrame:
     vb = v.withColumn("vb", block("id", n_v)).withColumn("qb", each(n_q))
     qb = q.withColumn("qb", block("question_id", n_q)).withColumn("vb", each(n_v))
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    schema = _result_schema(q, v)
+    arrow = to_arrow_schema(schema)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        if len(left) and len(right):
-            for dim, asked in left.groupby(left["vec"].map(len)):
-                matrix, _ = _matrix(asked["vec"], dim)
-                m, ok = _matrix(right["vec"], dim)
-                if len(m):
-                    run = _Running(_id_array(asked["question_id"]), k)
-                    run.add(_score(matrix, m, digits), _id_array(right["id"][ok]))
-                    out.append(run.frame())
-        if out:
-            return pd.concat(out)
-        return pd.DataFrame({"question_id": [], "id": [], "score": []})
+        asked, stored = (t["vec"].combine_chunks() for t in (left, right))
+        for dim in pc.unique(pc.drop_null(pc.list_value_length(asked))).to_pylist():
+            matrix, has = _matrix(asked, dim)
+            m, ok = _matrix(stored, dim)
+            if dim and len(matrix) and len(m):
+                run = _Running(_id_array(left["question_id"].filter(pa.array(has)).to_pylist()), matrix, k, digits)
+                run.add(m, _id_array(right["id"].filter(pa.array(ok)).to_pylist()))
+                out.append(_record_batch(run.columns(), arrow))
+        return pa.Table.from_batches(out, schema=arrow)
 
     keys = ["bucket", "vb", "qb"]
-    return qb.groupBy(*keys).cogroup(vb.groupBy(*keys)).applyInPandas(meet, _result_schema(q, v))
+    return qb.groupBy(*keys).cogroup(vb.groupBy(*keys)).applyInArrow(meet, schema)
 
 
 # --- routing ------------------------------------------------------------------------------------
