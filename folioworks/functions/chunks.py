@@ -9,10 +9,10 @@ from folioworks import fixed_values as fv
 from folioworks.functions.core import bind, strip
 
 
-def _last_at(window: Column, mark: str) -> Column:
-    """0-based position of the last ``mark`` in ``window``, or NULL."""
-    found = F.instr(F.reverse(window), mark[::-1])
-    return F.when(found > 0, F.length(window) - found - len(mark) + 1)
+def _last_at(backwards: Column, size: int, mark: str) -> Column:
+    """0-based position of the last ``mark`` in a window given in reverse, or NULL."""
+    found = F.instr(backwards, mark[::-1])
+    return F.when(found > 0, F.lit(size + 1 - len(mark)) - found)
 
 
 def overlapping(
@@ -33,10 +33,14 @@ def overlapping(
         full = F.least(start + size, n)
 
         def cut(w: Column) -> Column:
-            ends = [bind(_last_at(w, stop), lambda at: F.when(at > min_chars, start + at + 1)) for stop in fv.CHUNK_STOPS]
+            ends = [
+                bind(_last_at(w, size, stop), lambda at: F.when(at > min_chars, start + at + 1))
+                for stop in fv.CHUNK_STOPS
+            ]
             return F.coalesce(*ends, full)
 
-        return F.when(full < n, bind(F.substr(text, start + 1, F.lit(size)), cut)).otherwise(full)
+        # Only inner windows look for a stop, and those are exactly ``size`` long.
+        return F.when(full < n, bind(F.reverse(F.substr(text, start + 1, F.lit(size))), cut)).otherwise(full)
 
     def advance(state: Column, n: Column) -> Column:
         def moved(end: Column) -> Column:

@@ -64,27 +64,39 @@ def drop_repeated_lines(text: Column) -> Column:
     return strip(join_lines(kept))
 
 
-def first_of_each(items: Column) -> Column:
-    """First item per case-folded key, in the original order; blanks are dropped.
+def _first_per_key(items: Column) -> Column:
+    """First item per case-folded key, in the original order.
 
-    Sort by (key, position), keep the head of every key, sort back: n log n for any length.
+    Without repeats the items are returned at once. Else sort by (key, position), keep the head of
+    every key and sort back: n log n for any length.
     """
-    cleaned = F.filter(F.transform(items, normalize_spaces), lambda s: s != "")
-    tagged = F.sort_array(
-        F.transform(cleaned, lambda s, i: F.struct(F.lower(s).alias("k"), i.alias("i"), s.alias("s")))
-    )
 
     def heads(t: Column) -> Column:
         return F.filter(t, lambda x, j: (j == 0) | (x["k"] != F.get(t, j - 1)["k"]))
 
-    back = F.sort_array(
-        F.transform(bind(tagged, heads), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))
-    )
-    return F.transform(back, lambda x: x["s"])
+    def pick(found: Column, keys: Column) -> Column:
+        tagged = F.sort_array(
+            F.transform(found, lambda s, i: F.struct(F.get(keys, i).alias("k"), i.alias("i"), s.alias("s")))
+        )
+        back = F.sort_array(
+            F.transform(bind(tagged, heads), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))
+        )
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), found).otherwise(
+            F.transform(back, lambda x: x["s"])
+        )
+
+    return bind(items, lambda found: bind(F.transform(found, F.lower), lambda keys: pick(found, keys)))
+
+
+def first_of_each(items: Column) -> Column:
+    """First of equal items, spaces normalised, blanks and NULLs dropped."""
+    return _first_per_key(F.filter(F.transform(items, normalize_spaces), lambda s: s != ""))
 
 
 def drop_repeated_sentences(text: Column) -> Column:
-    return F.array_join(first_of_each(F.split(normalize_spaces(text), fv.SENTENCE_END, -1)), " ")
+    """Keep the first of equal sentences. The pieces of a normalised text need no second clean-up."""
+    sentences = F.filter(F.split(normalize_spaces(text), fv.SENTENCE_END, -1), lambda s: s != "")
+    return F.array_join(_first_per_key(sentences), " ")
 
 
 def clean_text(text: Column) -> Column:
