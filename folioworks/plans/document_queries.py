@@ -262,7 +262,7 @@ def stable_ids(spark, sf_dir):
 @query(
     "line_hints",
     """WITH c AS (SELECT doc_id, source || '.md:#' || CASE doc_id % 4 WHEN 0 THEN CAST(doc_id AS STRING) WHEN 1 THEN '0' WHEN 2 THEN 'x7' ELSE CAST(doc_id AS STRING) || '  ' END AS id FROM documents)
-SELECT doc_id, CASE WHEN try_cast(regexp_extract(id, ':#(\\d+)\\s*$', 1) AS INT) > 0 THEN try_cast(regexp_extract(id, ':#(\\d+)\\s*$', 1) AS INT) END AS line_no FROM c""",
+SELECT doc_id, CASE WHEN try_cast(regexp_extract(id, ':#(\\d+)\\s*$', 1) AS BIGINT) > 0 THEN try_cast(regexp_extract(id, ':#(\\d+)\\s*$', 1) AS BIGINT) END AS line_no FROM c""",
 )
 def line_hints(spark, sf_dir):
     ids = documents(
@@ -342,7 +342,7 @@ q AS (SELECT doc_id, unnest(ps) AS para, unnest(range(len(ps))) AS i FROM p WHER
 walk AS (SELECT doc_id, i, length(para) + 2 AS used, 0 AS chunk FROM q WHERE i = 0
   UNION ALL SELECT q.doc_id, q.i, CASE WHEN w.used + length(q.para) + 2 > 800 THEN length(q.para) + 2 ELSE w.used + length(q.para) + 2 END,
     CASE WHEN w.used + length(q.para) + 2 > 800 THEN w.chunk + 1 ELSE w.chunk END FROM walk w JOIN q ON q.doc_id = w.doc_id AND q.i = w.i + 1)
-SELECT w.doc_id, w.chunk AS chunk_index, string_agg(q.para, chr(10) || chr(10) ORDER BY q.i) AS chunk_text
+SELECT w.doc_id, CAST(w.chunk AS BIGINT) AS chunk_index, string_agg(q.para, chr(10) || chr(10) ORDER BY q.i) AS chunk_text
 FROM walk w JOIN q ON q.doc_id = w.doc_id AND q.i = w.i GROUP BY w.doc_id, w.chunk
 UNION ALL SELECT doc_id, 0, {_PARAS} FROM documents WHERE length({_PARAS}) <= 800""",
 )

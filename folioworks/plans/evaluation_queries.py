@@ -202,7 +202,7 @@ _ANSWERS = "CASE WHEN doc_id % 6 = 0 THEN 'Tôi không biết ' || lang WHEN doc
 @query(
     "scored_pairs",
     f"""WITH a AS (SELECT doc_id, {_ANSWERS} AS answer FROM documents)
-SELECT a.doc_id, a.answer, l.quality AS reference, NOT (trim(coalesce(a.answer, ''), {WS}) = '' OR contains(lower(coalesce(a.answer, '')), 'tôi không biết')
+SELECT a.doc_id, a.answer, CAST(l.quality AS BIGINT) AS reference, NOT (trim(coalesce(a.answer, ''), {WS}) = '' OR contains(lower(coalesce(a.answer, '')), 'tôi không biết')
   OR contains(lower(coalesce(a.answer, '')), 'không tìm thấy dữ liệu')) AS scored FROM a JOIN labels l ON l.doc_id = a.doc_id""",
 )
 def scored_pairs(spark, sf_dir):

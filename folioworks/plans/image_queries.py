@@ -30,7 +30,7 @@ def _images(spark, sf_dir):
 @query(
     "image_dedupe",
     f"""WITH i AS ({_IMAGE.format(part='part').replace('sha2(p_name || p_brand, 256)', 'sha256(p_name || p_brand)')}),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stored_path) AS rn FROM i) SELECT id, stored_path, byte_size FROM r WHERE rn = 1""",
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stored_path) AS rn FROM i) SELECT id, stored_path, CAST(byte_size AS BIGINT) AS byte_size FROM r WHERE rn = 1""",
 )
 def image_dedupe(spark, sf_dir):
     return im.dedupe(_images(spark, sf_dir))
@@ -40,7 +40,7 @@ def image_dedupe(spark, sf_dir):
     "image_insert",
     f"""WITH i AS ({_IMAGE.format(part='part').replace('sha2(p_name || p_brand, 256)', 'sha256(p_name || p_brand)')}),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stored_path) AS rn FROM i)
-SELECT id, stored_path, byte_size FROM r WHERE rn = 1 AND id NOT IN (SELECT id FROM i WHERE byte_size = 250000)""",
+SELECT id, stored_path, CAST(byte_size AS BIGINT) AS byte_size FROM r WHERE rn = 1 AND id NOT IN (SELECT id FROM i WHERE byte_size = 250000)""",
 )
 def image_insert(spark, sf_dir):
     incoming = _images(spark, sf_dir)
@@ -164,7 +164,7 @@ def image_fallback(spark, sf_dir):
 
 @query(
     "page_elements",
-    """SELECT l_orderkey AS page_num, CASE WHEN l_linenumber = 3 THEN 'table' ELSE 'paragraph' END AS element_type, CASE WHEN l_linenumber = 3 THEN 2 ELSE 0 END AS part,
+    """SELECT l_orderkey AS page_num, CASE WHEN l_linenumber = 3 THEN 'table' ELSE 'paragraph' END AS element_type, CAST(CASE WHEN l_linenumber = 3 THEN 2 ELSE 0 END AS BIGINT) AS part,
   CASE WHEN l_linenumber = 3 THEN l_linenumber || '.' || l_partkey || ' mục' ELSE l_linenumber || '.' || l_partkey || ' mục </break>' END AS text FROM lineitem
 UNION ALL SELECT o_orderkey, 'image', 1, NULL FROM orders""",
 )

@@ -103,8 +103,8 @@ def retrieval_docs(spark, sf_dir):
 
 @query(
     "section_stats",
-    f"""WITH RECURSIVE {_ENTRIES} SELECT n.doc, count(*) AS sections, sum(length(n.full_text)) AS character_count, sum(coalesce(c.chunk_count, 0)) AS chunk_count,
-  sum(n.image_count) AS image_count, count(*) FILTER (WHERE n.image_count > 0) AS with_images FROM named n LEFT JOIN counts c ON c.doc_id = n.doc_id GROUP BY n.doc""",
+    f"""WITH RECURSIVE {_ENTRIES} SELECT n.doc, count(*) AS sections, CAST(sum(length(n.full_text)) AS BIGINT) AS character_count, CAST(sum(coalesce(c.chunk_count, 0)) AS BIGINT) AS chunk_count,
+  CAST(sum(n.image_count) AS BIGINT) AS image_count, count(*) FILTER (WHERE n.image_count > 0) AS with_images FROM named n LEFT JOIN counts c ON c.doc_id = n.doc_id GROUP BY n.doc""",
 )
 def section_stats(spark, sf_dir):
     return entries(spark, sf_dir).groupBy("doc").agg(
@@ -118,7 +118,7 @@ def section_stats(spark, sf_dir):
 
 @query(
     "dataset_totals",
-    f"WITH {_SECTIONS} SELECT doc AS source_file, count(*) AS total_sections, count(*) AS total_entries, 512 AS chunk_size, 50 AS overlap FROM secs GROUP BY doc",
+    f"WITH {_SECTIONS} SELECT doc AS source_file, count(*) AS total_sections, count(*) AS total_entries, CAST(512 AS BIGINT) AS chunk_size, CAST(50 AS BIGINT) AS overlap FROM secs GROUP BY doc",
 )
 def dataset_totals(spark, sf_dir):
     return ocr.dataset_totals(entries(spark, sf_dir))
@@ -131,7 +131,7 @@ _TIE = "l_linenumber, l_partkey, l_suppkey, l_tax, l_discount, l_shipdate"
     "reading_order",
     f"""WITH o AS (SELECT *, row_number() OVER w AS reading_no, lag(l_quantity) OVER w AS py, lag(greatest(abs(l_tax * 100), 8)) OVER w AS ph FROM lineitem
   WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity, l_extendedprice, {_TIE}))
-SELECT l_orderkey, l_linenumber, l_partkey, reading_no, round(CASE WHEN py IS NULL THEN 1.0 ELSE greatest(1.0, (l_quantity - py) / ph) END, 6) AS spacing FROM o""",
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, reading_no, round(CASE WHEN py IS NULL THEN 1.0 ELSE greatest(1.0, (l_quantity - py) / ph) END, 6) AS spacing FROM o""",
 )
 def reading_order(spark, sf_dir):
     boxes = table(spark, sf_dir, "lineitem").withColumn("height", F.col("l_tax") * 100)

@@ -53,7 +53,7 @@ _PROPS = "'{\"k\": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}'"
   CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Rắn cắn' WHEN 2 THEN 'a, b' WHEN 3 THEN '5' ELSE {_PROPS} END AS condition_name,
   CASE WHEN event_id % 3 = 0 THEN '' ELSE 'Sơ cứu' END AS category,
   CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'sốt|ho' WHEN 2 THEN 'sốt' WHEN 3 THEN '' WHEN 4 THEN {_PROPS} ELSE '7' END AS clinical_signs,
-  CASE event_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS n_signs,
+  CAST(CASE event_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS BIGINT) AS n_signs,
   CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'x; y' WHEN 2 THEN event_type ELSE {_PROPS} END AS specific_antidote FROM events""",
 )
 def coerce_records(spark, sf_dir):
@@ -181,7 +181,7 @@ def format_disease_text(spark, sf_dir):
 
 @query(
     "placeholder_records",
-    f"SELECT doc_id, left(trim(text, {WS}), 200) AS recipe_name, left(trim(text, {WS}), 200) AS usage_instructions, 0 AS n_ingredients FROM documents",
+    f"SELECT doc_id, left(trim(text, {WS}), 200) AS recipe_name, left(trim(text, {WS}), 200) AS usage_instructions, CAST(0 AS BIGINT) AS n_ingredients FROM documents",
 )
 def placeholder_records(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _widened(df: DataFrame) -> DataFrame:
+    """Whole numbers as BIGINT, so that results have the types of the checking engine."""
+    ints = [f.name for f in df.schema.fields if f.dataType.simpleString() == "int"]
+    return df.withColumns({c: F.col(f"`{c}`").cast("bigint") for c in ints}) if ints else df
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = wraps(fn)(lambda spark, sf_dir: _widened(fn(spark, sf_dir)))
         if sql is not None:
             ORACLES[name] = sql
         return fn
