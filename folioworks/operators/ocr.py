@@ -76,38 +76,54 @@ def sections(items: DataFrame, order: list[str], rows_per_block: int = ROWS_PER_
         F.coalesce("image_id", F.lit("")).alias("image_id"),
         F.coalesce("file_path", F.lit("")).alias("file_path"),
     )
-    # One list per section; heading, content, images and pages are read off it.
-    grouped = parts.groupBy("doc", "_seg").agg(
-        F.sort_array(F.collect_list(row)).alias("_items"),
-        F.max(F.col("_kind") == "heading").alias("_headed"),
-        F.count_if(~F.col("_kind").isin("image", "heading")).alias("_filled"),
+    # One list per section; heading, content, images and pages are read off it. In long documents a
+    # section is put together from parts of bounded length.
+    part = F.lit(0) if rows_per_block is None else F.floor(F.col("_pos") / rows_per_block)
+    keys = ["doc", "_seg"] if rows_per_block is None else ["doc", "_seg", "_part"]
+    grouped = parts.withColumn("_part", part).groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_items"))
+    built = grouped.select(*keys, *_section_parts())
+    if rows_per_block is not None:
+        built = _merged(built)
+    built = built.withColumn("heading", F.coalesce("heading", F.lit("")))
+    kept = built.where((F.col("heading") != "") | (F.col("_filled") > 0)).drop("_filled")
+    renumbered = ordered_scan(
+        kept, ["doc"], ["_seg"], sums={"section_id": F.lit(1).cast("bigint")}, rows_per_block=rows_per_block
     )
+    return renumbered.drop("_seg")
+
 
-    def of_kind(kind: str) -> Column:
-        return F.filter("_items", lambda i: i["kind"] == kind)
+def _section_parts() -> list[Column]:
+    """What a section's sorted items say: last heading, joined content, images, pages, content count."""
+    items = F.col("_items")
+    headings = F.filter(items, lambda i: i["kind"] == "heading")
+    content = F.filter(items, lambda i: ~i["kind"].isin("image", "heading"))
+    images = F.filter(items, lambda i: i["kind"] == "image")
+    image = F.transform(images, lambda i: F.struct(i["image_id"].alias("image_id"), i["file_path"].alias("file_path")))
+    on_page = F.filter(items, lambda i: i["kind"] != "image")
+    return [
+        F.get(headings, F.size(headings) - 1)["text"].alias("heading"),
+        F.array_join(F.transform(content, lambda i: i["text"]), " ").alias("full_text"),
+        image.alias("images"),
+        F.array_distinct(F.transform(on_page, lambda i: i["page"])).alias("page_range"),
+        F.size(content).alias("_filled"),
+    ]
 
-    def texts(found: Column) -> Column:
-        return F.transform(found, lambda i: i["text"])
 
-    headings = texts(of_kind("heading"))
-    content = F.filter("_items", lambda i: ~i["kind"].isin("image", "heading"))
-    on_page = F.filter("_items", lambda i: i["kind"] != "image")
-    built = grouped.select(
+def _merged(built: DataFrame) -> DataFrame:
+    """Sections from their parts, in order."""
+    row = F.struct("_part", "heading", "full_text", "images", "page_range", "_filled")
+    ordered = built.groupBy("doc", "_seg").agg(F.sort_array(F.collect_list(row)).alias("_p"))
+    headed = F.filter("_p", lambda p: p["heading"].isNotNull())
+    filled = F.filter("_p", lambda p: p["_filled"] > 0)
+    return ordered.select(
         "doc",
         "_seg",
-        F.when(F.col("_headed"), F.element_at(headings, -1)).otherwise("").alias("heading"),
-        F.array_join(texts(content), " ").alias("full_text"),
-        F.transform(
-            of_kind("image"), lambda i: F.struct(i["image_id"].alias("image_id"), i["file_path"].alias("file_path"))
-        ).alias("images"),
-        F.array_distinct(F.transform(on_page, lambda i: i["page"])).alias("page_range"),
-        "_filled",
-    )
-    kept = built.where((F.col("heading") != "") | (F.col("_filled") > 0)).drop("_filled")
-    renumbered = ordered_scan(
-        kept, ["doc"], ["_seg"], sums={"section_id": F.lit(1).cast("bigint")}, rows_per_block=rows_per_block
+        F.get(headed, F.size(headed) - 1)["heading"].alias("heading"),
+        F.array_join(F.transform(filled, lambda p: p["full_text"]), " ").alias("full_text"),
+        F.flatten(F.transform("_p", lambda p: p["images"])).alias("images"),
+        F.array_distinct(F.flatten(F.transform("_p", lambda p: p["page_range"]))).alias("page_range"),
+        F.aggregate("_p", F.lit(0), lambda n, p: n + p["_filled"]).alias("_filled"),
     )
-    return renumbered.drop("_seg")
 
 
 def section_name(section_id: Column) -> Column:

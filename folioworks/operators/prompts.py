@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from folioworks import fixed_values as fv
 from folioworks.functions.text import fixed_point
+from folioworks.operators.scan import ROWS_PER_BLOCK, join_texts
 
 
-def messages_to_prompt(df: DataFrame, key: str, order: str, role: str, content: str) -> DataFrame:
+def messages_to_prompt(
+    df: DataFrame, key: str, order: str, role: str, content: str, rows_per_block: int = ROWS_PER_BLOCK
+) -> DataFrame:
     """One prompt per conversation: the messages in order, then the open assistant turn."""
     shown = df.select(
         key, order, F.concat(F.upper(F.col(role)), F.lit(": "), F.coalesce(F.col(content), F.lit(""))).alias("m")
     )
-    joined = F.expr(f"listagg(m, '\n\n') WITHIN GROUP (ORDER BY `{order}`)")
-    return shown.groupBy(key).agg(F.concat(joined, F.lit("\n\nASSISTANT:")).alias("prompt"))
+    joined = join_texts(shown, [key], order, "m", "\n\n", "prompt", rows_per_block)
+    return joined.withColumn("prompt", F.concat("prompt", F.lit("\n\nASSISTANT:")))
 
 
 def context_block(

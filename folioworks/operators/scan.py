@@ -114,3 +114,19 @@ def _blocked(columns, rows, keys, order, sums, previous) -> DataFrame:
             for name, src in previous.items()
         ],
     )
+
+
+def join_texts(
+    df: DataFrame, keys: list[str], order: str, text: str, sep: str, name: str, rows_per_block: int = ROWS_PER_BLOCK
+) -> DataFrame:
+    """(keys, ``name``): the texts of a group joined in order. Long groups are joined block by block first."""
+    quoted = sep.replace("\\", "\\\\").replace("'", "\\'")
+
+    def joined(column: str, by: str) -> Column:
+        return F.expr(f"listagg(`{column}`, '{quoted}') WITHIN GROUP (ORDER BY `{by}`)")
+
+    rows = with_blocks(df.select(*keys, order, text), keys, order, rows_per_block)
+    if rows is None:
+        return df.groupBy(*keys).agg(joined(text, order).alias(name))
+    parts = rows.groupBy(*keys, "_block").agg(joined(text, order).alias("_part"))
+    return parts.groupBy(*keys).agg(joined("_part", "_block").alias(name))

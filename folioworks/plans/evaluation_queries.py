@@ -22,9 +22,9 @@ def _metric(name: str, mult: int, run: str) -> str:
 
 
 def run_sql(run: str) -> str:
-    """One run; the same body for both engines. Some questions repeat, some are blank."""
-    asked = "CASE WHEN doc_id % 31 = 30 THEN '   ' WHEN rep = 1 THEN ' ' || replace(text, ' ', '  ') ELSE text END"
-    kept = "1 = 1" if run == "proposed" else "doc_id % 9 <> 0"
+    """One run; the same body for both engines. Questions repeat, some are blank or in one run only."""
+    other = "" if run == "proposed" else " WHEN doc_id % 9 = 0 THEN 'khác ' || text"
+    asked = f"CASE WHEN doc_id % 31 = 30 THEN '   '{other} WHEN rep = 1 THEN ' ' || replace(text, ' ', '  ') ELSE text END"
     mult = (7, 11, 13, 17) if run == "proposed" else (5, 11, 19, 23)
     metrics = ", ".join(_metric(m, k, run) for m, k in zip(_M, mult))
     return f"""
@@ -33,9 +33,9 @@ def run_sql(run: str) -> str:
       {metrics}
     FROM (SELECT r.doc_id, d.text, d.lang, r.rep
           FROM (SELECT doc_id, 0 AS rep FROM {{labels}} UNION ALL
-                SELECT doc_id, 1 AS rep FROM {{labels}} WHERE doc_id % 10 = 0) r
+                SELECT doc_id, 1 AS rep FROM {{labels}}) r
           JOIN {{documents}} d ON d.doc_id = r.doc_id) x
-    WHERE {kept}"""
+    """
 
 
 def run(spark, sf_dir, name):

@@ -89,8 +89,8 @@ def chunk_images(spark, sf_dir):
 
 # --- references ---------------------------------------------------------------------------------
 
-_FILES_SQL = """files AS (SELECT DISTINCT regexp_replace(b.path, '/[^/]*$', '') || CASE WHEN r.i % 3 = 0 THEN '/' ELSE '/extracted_images/' END || r.source_filename AS file
-  FROM r JOIN books b ON b.book_id = r.book_id WHERE r.i % 5 <> 4)"""
+_FILES_SQL = """files AS (SELECT DISTINCT regexp_replace(b.path, '/[^/]*$', '') || CASE WHEN r.i % 5 = 4 THEN '/khac/' WHEN r.i % 3 = 0 THEN '/' ELSE '/extracted_images/' END
+  || r.source_filename AS file FROM r JOIN books b ON b.book_id = r.book_id)"""
 
 
 def _refs(spark, sf_dir):
@@ -107,8 +107,9 @@ LEFT JOIN files a ON a.file = c.dir || '/' || c.source_filename LEFT JOIN files
 def resolve_images(spark, sf_dir):
     refs = _refs(spark, sf_dir)
     folder = im.folder_of(F.col("path"))
-    sub = F.when(F.col("line_no") % 3 == 0, "/").otherwise(f"/{fv.IMAGE_FOLDER}/")
-    files = refs.where("line_no % 5 <> 4").select(F.concat(folder, sub, F.col("source_filename")).alias("path"))
+    at = F.col("line_no")
+    sub = F.when(at % 5 == 4, "/khac/").when(at % 3 == 0, "/").otherwise(f"/{fv.IMAGE_FOLDER}/")
+    files = refs.select(F.concat(folder, sub, F.col("source_filename")).alias("path"))
     return im.resolve(refs, files).select("book_id", "line_no", "source_filename", "file_path")
 
 

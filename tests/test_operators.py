@@ -141,6 +141,27 @@ def test_sections(spark, rows_per_block):
     assert titles.first()["title"] == "Untitled Section"
 
 
+@pytest.mark.parametrize("rows_per_block", [3, 40, 100_000])
+def test_hot_document_and_conversation(spark, rows_per_block):
+    """A third of all rows in one document without any break, and in one conversation."""
+    rows = spark.range(300).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('d', id % 4) END AS doc", "id AS page_num", "0 AS item_no",
+        "CASE WHEN id % 50 = 3 THEN 'heading' WHEN id % 21 = 0 THEN 'image' ELSE 'paragraph' END AS element_type",
+        "concat('t', id, CASE WHEN id % 3 <> 0 AND id % 10 = 1 THEN ' </break>' ELSE '' END) AS text", "false AS skip",
+        "concat('i', id) AS image_id", "'f' AS file_path",
+    )
+    want = sorted(map(str, ocr.sections(rows, ["page_num", "item_no"]).collect()))
+    got = sorted(map(str, ocr.sections(rows, ["page_num", "item_no"], rows_per_block=rows_per_block).collect()))
+    assert got == want
+    hot = ocr.sections(rows, ["page_num", "item_no"], rows_per_block=rows_per_block).where("doc = 'hot'").collect()
+    assert len(hot) == 1 and len(hot[0]["images"]) == sum(i % 21 == 0 and i % 50 != 3 for i in range(0, 300, 3))
+
+    talk = rows.selectExpr("doc", "page_num AS turn", "'user' AS role", "text")
+    out = {r["doc"]: r["prompt"] for r in prompts.messages_to_prompt(talk, "doc", "turn", "role", "text", rows_per_block).collect()}
+    lines = out["hot"].split("\n\n")
+    assert lines[:2] == ["USER: t0", "USER: t3"] and lines[-1] == "ASSISTANT:" and len(lines) == 101
+
+
 @pytest.mark.parametrize("rows_per_block", [5, 100_000])
 def test_reading_order_spacing(spark, rows_per_block):
     df = spark.range(200).selectExpr("id % 2 AS page", "(id * 13) % 97 AS y", "id % 10 AS x", "id % 20 AS h", "id")
