@@ -11,7 +11,6 @@ from folioworks import fixed_values as fv
 from folioworks.functions.core import (
     bind,
     interleave,
-    is_blank,
     join_lines,
     lstrip,
     rstrip,

@@ -12,6 +12,7 @@ from folioworks.functions.core import (
     bind,
     is_blank,
     join_lines,
+    lstrip,
     rstrip,
     span,
     strip,
@@ -106,17 +107,26 @@ def clean_text(text: Column) -> Column:
 # --- model input --------------------------------------------------------------------------------
 
 
-def _sanitize_line(line: Column) -> Column:
-    bare = F.regexp_replace(line, fv.HTML_COMMENT, " ")
-    unbroken = F.regexp_replace(bare, fv.BREAK_TAG, " ")
-    unnumbered = F.when(
-        F.startswith(strip(unbroken), F.lit("#")), F.regexp_replace(unbroken, fv.HEADING_NUMBER, "$1")
-    ).otherwise(F.regexp_replace(unbroken, fv.PLAIN_NUMBER, ""))
-    named = F.regexp_replace(unnumbered, r"(?U)!\[\]\(!\[id:\s*([^\]]*?[^\]\s])\s*\]\([^)]+?\)\)", "[[IMAGE:$1]]")
+def _short_images(line: Column) -> Column:
+    named = F.regexp_replace(line, r"(?U)!\[\]\(!\[id:\s*([^\]]*?[^\]\s])\s*\]\([^)]+?\)\)", "[[IMAGE:$1]]")
     named = F.regexp_replace(named, fv.NESTED_IMAGE, "[[IMAGE]]")
-    plain = F.regexp_replace(named, fv.GENERIC_IMAGE, "[[IMAGE]]")
-    tidy = rstrip(F.regexp_replace(plain, r"(?U)\s{2,}", " "))
-    return F.when(bare.rlike(fv.PAGE_MARKER), "").otherwise(tidy)
+    return F.when(F.contains(line, F.lit("![")), F.regexp_replace(named, fv.GENERIC_IMAGE, "[[IMAGE]]")).otherwise(line)
+
+
+def _sanitize_line(line: Column) -> Column:
+    def unnumbered(x: Column) -> Column:
+        heading = F.startswith(lstrip(x), F.lit("#"))
+        return F.when(heading, F.regexp_replace(x, fv.HEADING_NUMBER, "$1")).otherwise(
+            F.regexp_replace(x, fv.PLAIN_NUMBER, "")
+        )
+
+    def tidy(bare: Column) -> Column:
+        plain = bind(bind(F.regexp_replace(bare, fv.BREAK_TAG, " "), unnumbered), _short_images)
+        return F.when(bare.rlike(fv.PAGE_MARKER), "").otherwise(
+            rstrip(F.regexp_replace(plain, r"(?U)\s{2,}", " "))
+        )
+
+    return bind(F.regexp_replace(line, fv.HTML_COMMENT, " "), tidy)
 
 
 def sanitize_chunk(text: Column) -> Column:

@@ -10,7 +10,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folioworks import fixed_values as fv
@@ -160,9 +159,3 @@ def select_contexts(
     best = distinct.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return best.select(question, "rank", shorten(F.col("_t"), chars).alias("context"))
 
-
-def score_schema(metrics=METRICS) -> T.StructType:
-    return T.StructType(
-        [T.StructField("user_input", T.StringType()), T.StructField("response", T.StringType())]
-        + [T.StructField(m, T.StringType()) for m in metrics]
-    )

@@ -40,14 +40,23 @@ def folder_of(path: Column) -> Column:
     return F.regexp_replace(F.translate(path, "\\", "/"), "/?[^/]*$", "")
 
 
-def resolve(refs: DataFrame, files: DataFrame, doc_path: str = "path", name: str = "source_filename") -> DataFrame:
-    """Adds ``file_path``: next to the document, else in its image folder, else NULL.
+def resolve(
+    refs: DataFrame,
+    files: DataFrame,
+    doc_path: str = "path",
+    name: str = "source_filename",
+    bare_name_in_folder: bool = False,
+) -> DataFrame:
+    """Adds ``file_path``: the reference seen from the document, else in its image folder, else NULL.
 
-    Both candidates are probed in one join; the better one wins per reference.
+    With ``bare_name_in_folder`` the image folder is asked for the file's name without its own path.
     """
     base = folder_of(F.col(doc_path))
-    beside = F.concat_ws("/", F.nullif(base, F.lit("")), F.col(name))
-    inside = F.concat_ws("/", F.nullif(base, F.lit("")), F.lit(fv.IMAGE_FOLDER), F.col(name))
+    beside = F.when(F.startswith(name, F.lit("/")), F.col(name)).otherwise(
+        F.concat_ws("/", F.nullif(base, F.lit("")), F.col(name))
+    )
+    last = file_name(F.col(name)) if bare_name_in_folder else F.col(name)
+    inside = F.concat_ws("/", F.nullif(base, F.lit("")), F.lit(fv.IMAGE_FOLDER), last)
     known = files.select(F.col("path").alias("_file")).distinct()
     first = refs.join(known, beside == F.col("_file"), "left").withColumnRenamed("_file", "_beside")
     second = first.join(known, (inside == F.col("_file")) & F.col("_beside").isNull(), "left")
@@ -100,6 +109,12 @@ def local_images(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return urls.select(*keep, "line_no", "k", local_image_url(F.col("_u")).alias("url")).where(F.col("url").isNotNull())
 
 
+def existing_images(images: DataFrame, files: DataFrame, doc_path: str = "path") -> DataFrame:
+    """Local images whose file exists, with ``url`` replaced by the file's path."""
+    found = resolve(images, files, doc_path, "url", bare_name_in_folder=True)
+    return found.where(F.col("file_path").isNotNull()).withColumn("url", F.col("file_path")).drop("file_path")
+
+
 def images_near_line(
     citations: DataFrame,
     images: DataFrame,

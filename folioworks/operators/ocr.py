@@ -214,6 +214,11 @@ def reading_order(
     return ordered.withColumn("spacing", spacing).drop("_y", "_above", "_h")
 
 
+def page_layout(items: DataFrame, base: float = 1.0) -> DataFrame:
+    """The text items of every page in reading order with their spacing; needs doc, page_num, item_no, x, y, height."""
+    return reading_order(text_items(items), ["doc", "page_num"], "x", "y", "height", ["item_no"], base)
+
+
 def page_elements(items: DataFrame, images: DataFrame, page: str = "page_num") -> DataFrame:
     """Text, image and table elements of a page in one list, with separately listed images added."""
     own = items.withColumn("element_type", F.coalesce("element_type", F.lit("paragraph")))

@@ -47,6 +47,19 @@ def coerce_records(df: DataFrame, schema: str, data: str = "data") -> DataFrame:
     return out.withColumn("error", F.when(F.size(bad) > 0, F.concat(F.lit("missing: "), F.array_join(bad, ", "))))
 
 
+def explode_wrapper(df: DataFrame, wrapper: str, data: str = "data") -> DataFrame:
+    """One row per entry of a wrapper document's lists: the row's other columns, ``schema`` and the entry."""
+    none = F.array().cast("array<struct<schema:string,entry:variant>>")
+
+    def entries(name: str, schema: str) -> Column:
+        found = F.try_variant_get(F.col(data), f"$.{name}", "array<variant>")
+        return F.coalesce(F.transform(found, lambda e: F.struct(F.lit(schema).alias("schema"), e.alias("entry"))), none)
+
+    lists = [entries(name, schema) for name, schema in sc.WRAPPERS[wrapper].items()]
+    rest = [c for c in df.columns if c != data]
+    return df.select(*rest, F.inline(F.concat(*lists))).withColumnRenamed("entry", data)
+
+
 def clean_column(c: Column, dtype: T.DataType) -> Column:
     """Remove repeated lines and sentences from every string and repeats from every string list."""
     if isinstance(dtype, T.StringType):

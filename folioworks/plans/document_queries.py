@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioworks import fixed_values as fv
-from folioworks.functions import chunks as ch
 from folioworks.functions import splitters as sp
 from folioworks.functions import text as tx
 from folioworks.operators import segment as seg

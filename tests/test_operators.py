@@ -600,3 +600,32 @@ def test_shared_folder_comes_from_the_session(spark):
         conf = Conf()
 
     assert session.shared_dir(Fake()) == "hdfs://shared/ck"
+
+
+def test_wrapper_documents(spark):
+    doc = {"plants": [{"plant_name": "A"}, {"plant_name": "B"}], "recipes": None}
+    df = spark.createDataFrame([("1", json.dumps(doc))], "id string, j string").select("id", F.parse_json("j").alias("data"))
+    rows = records.explode_wrapper(df, "DocumentContent")
+    got = [(r["schema"], r["record"]["plant_name"]) for r in records.coerce_records(rows, "MedicinalPlant").collect()]
+    assert got == [("MedicinalPlant", "A"), ("MedicinalPlant", "B")]
+
+
+def test_page_layout(spark, folder):
+    box = [[1, 2], [5, 2], [5, 10], [1, 10]]
+    low = [[0, 40], [5, 40], [5, 50], [0, 50]]
+    doc = {"pages": [{"page_num": 1, "results": [
+        {"element_type": "paragraph", "text": "sau", "box": low}, {"element_type": "heading", "text": "trước", "box": box},
+        {"element_type": "image", "text": "x", "box": box}, {"text": "chân trang", "skip": True, "box": low}]}]}
+    put(folder, "s.json", json.dumps(doc))
+    items = files.item_box(ocr.items_of_results(files.read_ocr_results(spark, folder)))
+    got = [(r["reading_no"], r["text"], r["spacing"]) for r in ocr.page_layout(items).orderBy("reading_no").collect()]
+    assert got == [(1, "trước", 1.0), (2, "sau", (45 - 6) / 8)]
+
+
+def test_images_that_exist(spark):
+    docs = spark.createDataFrame([("b/x.md", "a ![k](img/k.png)\n<img src='/abs/z.gif'>\n![q](no.jpg) ![h](http://h/k.png)")], "path string, text string")
+    known = spark.createDataFrame([("b/extracted_images/k.png",), ("/abs/z.gif",)], "path string")
+    found = im.existing_images(im.local_images(docs, "path"), known)
+    cited = spark.createDataFrame([("b/x.md", 1), ("b/x.md", 60)], "path string, line int")
+    got = [(r["line"], r["rank"], r["url"]) for r in im.images_near_line(cited, found, "path", "line").orderBy("line", "rank").collect()]
+    assert got == [(1, 1, "b/extracted_images/k.png"), (1, 2, "/abs/z.gif")]
