@@ -224,7 +224,12 @@ def header_nodes(text: Column) -> Column:
 # --- spelling of OCR output ---------------------------------------------------------------------
 
 _RARE_SPACES = r"\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_ODD_SPACE = f"[{_RARE_SPACES}]|  "
+# Any whitespace but plain spaces and line ends: the predefined classes are much faster than a list.
+_RARE_SPACE = r"[\h\v&&[^ \n]]"
+
+
+def _has_odd_space(x: Column) -> Column:
+    return F.contains(x, F.lit("  ")) | x.rlike(_RARE_SPACE)
 
 
 def _in_line(pattern: str) -> str:
@@ -257,11 +262,14 @@ def apply_rules(text: Column, rules=fv.OCR_RULES) -> Column:
     such a find is skipped as a whole. Clean lines run no pattern.
     """
 
+    # A replacement that may leave other whitespace behind makes the plain search unsafe.
+    tidy = all(r.strip() == r != "" and not re.search(f"[{_RARE_SPACES}]|  ", r) for _, r in rules)
+
     def group(some, odd: Column):
         def step(x: Column) -> Column:
             possible, changed = odd, x
             for pattern, replacement in some:
-                plain = _needed(pattern)
+                plain = _needed(pattern) if tidy else None
                 possible = possible | (F.lit(True) if plain is None else F.contains(x, F.lit(plain)))
                 changed = F.regexp_replace(changed, _in_line(pattern), replacement)
             return F.when(possible, changed).otherwise(x)
@@ -273,8 +281,30 @@ def apply_rules(text: Column, rules=fv.OCR_RULES) -> Column:
             t = bind(t, group(rules[at : at + _RULES_PER_GROUP], odd))
         return t
 
+    first_words, others = set(), set()
+    for pattern, _ in rules:
+        word = re.match(r"\\b(\w+)(?=\\s\+| |\\b)", pattern)
+        if word:
+            first_words.add(word.group(1))
+        else:
+            others.add(_needed(pattern))
+
+    def suspicious(x: Column) -> Column:
+        """Whether the line has a word or a text that some rule begins with."""
+        if not tidy or None in others:
+            return F.lit(True)
+        found = F.lit(False)
+        for plain in sorted(others):
+            found = found | F.contains(x, F.lit(plain))
+        if first_words:
+            listed = F.array(*[F.lit(w) for w in sorted(first_words)])
+            found = found | F.arrays_overlap(F.split(x, r"(?U)\W+"), listed)
+        return found
+
     def line(x: Column) -> Column:
-        return bind(x.rlike(_ODD_SPACE), lambda odd: run(x, odd))
+        return bind(
+            _has_odd_space(x), lambda odd: F.when(odd | suspicious(x), run(x, odd)).otherwise(x)
+        )
 
     return join_lines(F.transform(_lines(text), line))
 

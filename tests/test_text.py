@@ -95,6 +95,11 @@ def test_custom_rules(one):
     assert one(lambda t: md.apply_rules(t, [(r"[ab]+c", "z"), (r"\bfoo\b", "bar")]), "abc foo") == "z bar"
 
 
+def test_rules_that_leave_spaces_behind(one):
+    rules = [(r"\bfoo\b", ""), (r"\ba\s+b\b", "ab")]
+    assert one(lambda t: md.apply_rules(t, rules), "a foo b") == "ab"
+
+
 def test_image_placeholders(one):
     text = "[IMAGE_PLACEHOLDER_9] [IMAGE_PLACEHOLDER_4] [IMAGE_PLACEHOLDER_5]"
     ids = F.array(F.lit("p"), F.lit("q"))
@@ -196,3 +201,14 @@ def test_sections_cover_the_text(one):
     text = "\n".join(f"# H{i}\nbody {i}" for i in range(50))
     assert "\n".join(one(sp.by_heading, text)) == text
     assert re.sub(r"\n</break>", "", one(md.insert_breaks, text)) == text
+
+
+@pytest.mark.parametrize("space", ["\t", "\x0b", "\xa0", " ", " ", " ", "　", "  "])
+def test_rules_see_every_kind_of_space(one, space):
+    assert one(md.apply_rules, f"đây l{space}à") == "đây là"
+
+
+def test_strip_covers_the_same_characters(one):
+    from folioworks.functions.core import WHITESPACE, strip
+
+    assert WHITESPACE.strip() == "" and one(strip, WHITESPACE + "a b" + WHITESPACE) == "a b"
