@@ -25,6 +25,17 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: Spark's default of 10,000 whole texts can be more than a Python worker should hold.
+BATCH_ROWS = "500"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size, unless the user has set one."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def utf8(texts: pa.Array) -> list[bytes | None]:
     """The texts of an Arrow column as UTF-8 bytes."""
     return texts.cast(pa.binary()).to_pylist()

@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.llm.shared import folder_rows, stage, text_bytes, utf8
+from folioworks.llm.shared import bounded_batches, folder_rows, stage, text_bytes, utf8
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
-#: Digests that a task remembers to have passed on, and pieces of text whose count a worker remembers (some 100 MB).
-REMEMBERED, MOST_PIECES = 300_000, 800_000
+#: Digests that a task remembers to have passed on, and pieces of text whose count a worker remembers (some 50 MB).
+REMEMBERED, MOST_PIECES = 100_000, 400_000
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, cache: str) -> DataFrame:
@@ -35,6 +35,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, cache: str) -> DataFrame:
     text has 0 of both; NULL ids stay. Other columns are not read. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     model = Path(tokenizer_file).read_bytes()
     version = hashlib.sha256(model).hexdigest()
     content = F.coalesce(F.col("text"), F.lit(""))
