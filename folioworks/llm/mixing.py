@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.llm.shared import stage, utf8
+from folioworks.llm.shared import bounded_batches, stage, utf8
 
 #: Words of a block, and about how many blocks there are at most: beyond that, blocks grow with the corpus.
 BLOCK_WORDS, MOST_BLOCKS = 50_000, 65_536
@@ -84,6 +84,7 @@ def mix(
     an empty table gives an empty table; other columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(
         _sizes, f"doc_id {kind}, source string, size long"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import chat, mixing, sharding, token_counts, url_filter
+from folioworks.llm import chat, language_id, mixing, sharding, substring_dedup, token_counts, url_filter, vector_dedup
 from folioworks.llm.shared import staging_folder
 from folioworks.plans.registry import table
 
@@ -115,3 +115,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), staging_folder(spark)
     )
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
+@query("op8_embedding_near_dedup")
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
