@@ -123,12 +123,14 @@ def draw(docs: DataFrame, mixed: DataFrame, seed: int = 7) -> DataFrame:
 
     ``mixed`` comes from ``mix`` on the same rows. Rows with equal ids share what one of them is given.
     """
-    times = mixed.groupBy("doc_id").agg(F.max("shards").alias("_shards")).where(F.size("_shards") > 0)
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).drop(times["doc_id"])
-    out = out.select(*[docs[c] for c in docs.columns], F.posexplode("_shards").alias("_time", "_shard"))
-    order = F.xxhash64(F.lit(seed), "_shard", "_time", docs["doc_id"])
-    spread = F.pmod(order, F.lit(1 << 20))
-    return out.repartition("_shard", spread).sortWithinPartitions("_shard", order).select(*docs.columns)
+    times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("shards").alias("_shards"))
+    times = times.where(F.size("_shards") > 0).hint("shuffle_hash")
+    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    out = out.select(*docs.columns, F.posexplode("_shards").alias("_time", "_shard"))
+    out = out.withColumn("_order", F.xxhash64(F.lit(seed), "_shard", "_time", "doc_id"))
+    # A shard may be larger than a task should sort, so it is written in several parts, each shuffled.
+    spread = F.pmod("_order", F.lit(1 << 20))
+    return out.repartition("_shard", spread).sortWithinPartitions("_shard", "_order").select(*docs.columns)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import chat, language_id, mixing, sharding, substring_dedup, token_counts, url_filter, vector_dedup
+from folioworks.llm import chat, decontamination, language_id, mixing, ngram_join, sharding, substring_dedup, token_counts, url_filter, vector_dedup
 from folioworks.llm.shared import staging_folder
 from folioworks.plans.registry import table
 
@@ -130,3 +130,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_embedding_near_dedup")
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@query("op3_ngram_jaccard_join")
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@query("op4_benchmark_decontamination")
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
