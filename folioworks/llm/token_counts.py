@@ -49,7 +49,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, cache: str) -> DataFrame:
     counted = misses.mapInArrow(_encoder(ship, version), CACHE_SCHEMA)
     counted.write.mode("append").parquet(cache)
     rows = folder_rows(spark, cache, CACHE_SCHEMA).where(F.col("tokenizer") == version)
-    counts = rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Staged, so that the join below meets plain exchanges and Spark can split the rows of a frequent digest.
+    counts = stage(rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
     return known.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
