@@ -72,8 +72,9 @@ def mix(
     The size of a document is its number of words. Sources in code point order (NULL is a source, the last) have the
     weights of ``weight_cycle``, repeating; ``targets`` tells what each is to give. Documents of a source fall into
     blocks by a seeded hash. A source gives as many whole passes over its blocks as its target holds, then whole
-    blocks in permuted order, and of one last block single documents: in hash order, each that fits into the rest. ``split_tree`` parts the exact block quotas among the output shards, which then take disjoint
-    stretches of each source's permuted blocks. No document is taken more than ``most`` times.
+    blocks in permuted order, and of one last block single documents: in hash order, each that fits into the rest, the
+    last of them chosen so that the rest is used up as nearly as possible. ``split_tree`` parts the exact block quotas
+    among the output shards, which then take disjoint stretches of each source's permuted blocks. No document is taken more than ``most`` times.
 
     One row per source and per block (at most some 65,536 and one for every source) come to the driver; the documents
     never do, and no source is one group: a block is, of some 50,000 words or a 65,536th of the corpus.
@@ -196,11 +197,29 @@ def _with_parts(rows: DataFrame) -> DataFrame:
 
 
 def _first_fit(block: pa.Table) -> pa.Table:
-    """Documents of one block in hash order, each taken if it fits into the words that are left."""
-    order = [("key", "ascending"), ("size", "ascending")]
-    block = block.sort_by(order)
-    left, taken = block.column("part")[0].as_py(), []
-    for size in block.column("size").to_pylist():
-        taken.append(size <= left)
-        left -= size if taken[-1] else 0
-    return block.append_column("in_part", pa.array(taken, pa.bool_()))
+    """Documents of one block in hash order, each taken if it fits into the words that are left.
+
+    What is still missing then is made up for, as nearly as possible, by one more document, or by one instead of
+    another.
+    """
+    block = block.sort_by([("key", "ascending"), ("size", "ascending")])
+    left, sizes = block.column("part")[0].as_py(), block.column("size").to_numpy()
+    taken = np.zeros(len(sizes), bool)
+    for i, size in enumerate(sizes.tolist()):
+        if size <= left:
+            taken[i] = True
+            left -= size
+    others = np.flatnonzero(~taken)
+    if left and len(others):
+        others = others[np.argsort(sizes[others], kind="stable")]
+        out = np.concatenate([[-1], np.flatnonzero(taken)])  # -1: none goes
+        wanted = np.where(out < 0, 0, sizes[out]) + left
+        at = np.searchsorted(sizes[others], wanted)
+        at = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(others) - 1)])
+        miss = np.abs(sizes[others][at] - wanted)
+        row, best = np.unravel_index(np.argmin(miss), miss.shape)
+        if miss[row, best] < left:
+            taken[others[at[row, best]]] = True
+            if out[best] >= 0:
+                taken[out[best]] = False
+    return block.append_column("in_part", pa.array(taken))
