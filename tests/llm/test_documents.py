@@ -374,7 +374,7 @@ def test_mix_meets_its_targets(spark, sf, documents):
     for got in by.values():
         assert {r["source_size"] for r in got} == {sum(r["size"] for r in got)}
         target, taken = got[0]["target"], sum(r["taken"] for r in got)
-        assert abs(taken - target) <= np.mean([r["size"] for r in got])  # ten documents come no nearer
+        assert abs(taken - target) <= max(r["size"] for r in got) / 2  # ten documents come no nearer
     key = lambda r: (r["doc_id"], r["taken"], r["shards"])
     assert sorted(map(key, rows)) == sorted(map(key, rows_of(q.op9_source_mixing(spark, sf))))
 
