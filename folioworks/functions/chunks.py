@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioworks import fixed_values as fv
-from folioworks.functions.core import bind, strip
+from folioworks.functions.core import bind, scan, span, strip, where_index
 
 
 def _last_at(backwards: Column, size: int, mark: str) -> Column:
@@ -29,7 +29,13 @@ def overlapping(
     if overlap >= min_chars:
         raise ValueError("overlap must be smaller than min_chars")
 
-    def window_end(start: Column, n: Column) -> Column:
+    def piece(slices: Column, start: Column, chars: Column) -> Column:
+        """Characters of the text, from the two slices that hold them."""
+        k = F.floor(start / size).cast("int")
+        two = F.concat(F.get(slices, k), F.coalesce(F.get(slices, k + 1), F.lit("")))
+        return F.substr(two, start - k * size + 1, chars)
+
+    def window_end(slices: Column, start: Column, n: Column) -> Column:
         full = F.least(start + size, n)
 
         def cut(w: Column) -> Column:
@@ -40,75 +46,53 @@ def overlapping(
             return F.coalesce(*ends, full)
 
         # Only inner windows look for a stop, and those are exactly ``size`` long.
-        return F.when(full < n, bind(F.reverse(F.substr(text, start + 1, F.lit(size))), cut)).otherwise(full)
-
-    def advance(state: Column, n: Column) -> Column:
-        def moved(end: Column) -> Column:
-            nxt = end - overlap
-            return F.struct(
-                nxt.alias("start"),
-                (nxt >= n - min_chars).alias("done"),
-                F.concat(
-                    state["spans"], F.array(F.struct(state["start"].alias("lo"), end.alias("hi")))
-                ).alias("spans"),
-            )
-
-        return F.when(state["done"], state).otherwise(bind(window_end(state["start"], n), moved))
+        return F.when(full < n, bind(F.reverse(piece(slices, start, F.lit(size))), cut)).otherwise(full)
 
-    def fold(n: Column) -> Column:
+    def spans(slices: Column, n: Column) -> Column:
         steps = F.sequence(F.lit(0), F.floor(n / (min_chars - overlap)).cast("int"))
-        begin = F.struct(
-            F.lit(0).alias("start"),
-            F.lit(False).alias("done"),
-            F.array().cast("array<struct<lo:int,hi:int>>").alias("spans"),
-        )
-        return F.aggregate(steps, begin, lambda s, _: advance(s, n), lambda s: s["spans"])
+        end_of = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"))
+
+        def advance(state: Column, _: Column) -> tuple[Column, Column]:
+            end = window_end(slices, state["start"], n)
+            nxt = F.struct((end - overlap).alias("start"), (end - overlap >= n - min_chars).alias("done"))
+            return F.when(state["done"], state).otherwise(nxt), F.when(
+                ~state["done"], F.struct(state["start"].alias("lo"), end.alias("hi"))
+            )
 
-    def cut_all(n: Column) -> Column:
+        return F.filter(scan(steps, end_of, advance, "struct<lo:int,hi:int>"), lambda s: s.isNotNull())
+
+    def cut_all(n: Column, slices: Column) -> Column:
         pieces = F.transform(
-            fold(n),
+            spans(slices, n),
             lambda s: F.struct(
-                strip(F.substr(text, s["lo"] + 1, s["hi"] - s["lo"])).alias("text"), s["lo"].alias("position")
+                strip(piece(slices, s["lo"], s["hi"] - s["lo"])).alias("text"), s["lo"].alias("position")
             ),
         )
         one = F.array(F.struct(text.alias("text"), F.lit(0).alias("position")))
         return F.when(n <= size, one).otherwise(F.filter(pieces, lambda p: F.length(p["text"]) >= min_chars))
 
-    return bind(F.length(text), cut_all)
+    # Cutting the text at fixed places once keeps every window's cost the same: ``substr`` counts from the start.
+    slices = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return bind(F.length(text), lambda n: bind(slices, lambda sl: cut_all(n, sl)))
 
 
 def packed_paragraphs(text: Column, max_chars: int) -> Column:
     """Fill chunks with whole paragraphs; each paragraph counts two characters extra."""
 
-    def add(state: Column, para: Column) -> Column:
+    def opens(used: Column, para: Column) -> tuple[Column, Column]:
         size = F.length(para) + 2
-        full = (state["used"] + size > max_chars) & (F.size(state["open"]) > 0)
-        return F.when(
-            full,
-            F.struct(
-                F.concat(state["done"], F.array(F.array_join(state["open"], "\n\n"))).alias("done"),
-                F.array(para).alias("open"),
-                size.alias("used"),
-            ),
-        ).otherwise(
-            F.struct(
-                state["done"].alias("done"),
-                F.concat(state["open"], F.array(para)).alias("open"),
-                (state["used"] + size).alias("used"),
+        new = used + size > max_chars
+        return F.when(new, size).otherwise(used + size), new
+
+    def pack(paras: Column) -> Column:
+        flags = scan(paras, F.lit(0), opens, "boolean")
+        starts = where_index(flags, lambda new, i: new | (i == 0))
+
+        def joined(st: Column) -> Column:
+            return F.transform(
+                st, lambda s, j: F.array_join(span(paras, s, F.coalesce(F.get(st, j + 1), F.size(paras))), "\n\n")
             )
-        )
 
-    begin = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.array().cast("array<string>").alias("open"),
-        F.lit(0).alias("used"),
-    )
-    packed = F.aggregate(
-        F.split(text, "\n\n", -1),
-        begin,
-        add,
-        lambda s: F.when(
-            F.size(s["open"]) > 0, F.concat(s["done"], F.array(F.array_join(s["open"], "\n\n")))
-        ).otherwise(s["done"]),
-    )
-    return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(packed)
+        return bind(starts, joined)
+
+    return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(bind(F.split(text, "\n\n", -1), pack))

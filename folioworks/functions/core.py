@@ -23,6 +23,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def bind_large(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``bind`` without the copy that an array's element is made with: the end of a fold over nothing."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
+
+
 def bind_all(values: list[Column], body: Callable[..., Column]) -> Column:
     """``bind`` for several independent values."""
 
@@ -116,3 +121,42 @@ def interleave(gaps: Column, spans: Column) -> Column:
     return F.array_join(
         F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(spans, i), F.lit("")))), ""
     )
+
+
+# Outputs are gathered in blocks of this many, so that a long scan doesn't copy all of them at each step.
+SCAN_BLOCK = 128
+
+
+def scan(
+    items: Column, begin: Column, step: Callable[[Column, Column], tuple[Column, Column]], out_type: str
+) -> Column:
+    """One output for each item of a left fold: ``step(state, item)`` gives the next state and the output."""
+    none = F.array().cast(f"array<{out_type}>")
+
+    def add(s: Column, x: Column) -> Column:
+        state, out = step(s["state"], x)
+        return bind_large(
+            F.struct(state.alias("state"), out.alias("out")),
+            lambda r: F.struct(r["state"].alias("state"), F.concat(s["outs"], F.array(r["out"])).alias("outs")),
+        )
+
+    def run(s: Column, part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(s["state"].alias("state"), none.alias("outs")),
+            add,
+            lambda r: F.struct(r["state"].alias("state"), F.concat(s["blocks"], F.array(r["outs"])).alias("blocks")),
+        )
+
+    def blocks(xs: Column) -> Column:
+        last = F.greatest(F.floor((F.size(xs) - 1) / SCAN_BLOCK).cast("int"), F.lit(0))
+        start = F.struct(begin.alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("blocks"))
+        whole = F.aggregate(
+            F.sequence(F.lit(0), last),
+            start,
+            lambda s, k: run(s, F.slice(xs, k * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK))),
+            lambda s: s["blocks"],
+        )
+        return F.flatten(whole)
+
+    return bind(items, blocks)

@@ -14,6 +14,7 @@ from folioworks.functions.core import (
     join_lines,
     lstrip,
     rstrip,
+    scan,
     span,
     strip,
     to_lines,
@@ -148,6 +149,30 @@ def inline_break(line: Column) -> Column:
     return F.when(two_parts, F.concat(rstrip(line), F.lit(f" {fv.BREAK_MARK}"))).otherwise(line)
 
 
+def in_fence(lines: Column) -> Column:
+    """For every line whether an odd number of fence lines is above it."""
+
+    def flags(ls: Column, fences: Column) -> Column:
+        bounds = F.concat(F.array(F.lit(-1)), fences, F.array(F.size(ls) - 1))
+
+        def repeated(b: Column) -> Column:
+            return F.flatten(
+                F.transform(
+                    F.sequence(F.lit(0), F.size(b) - 2),
+                    lambda j: F.array_repeat(j % 2 == 1, F.get(b, j + 1) - F.get(b, j)),
+                )
+            )
+
+        return bind(bounds, repeated)
+
+    return bind(
+        lines,
+        lambda ls: bind(
+            where_index(ls, lambda x, _: F.startswith(lstrip(x), F.lit("```"))), lambda fences: flags(ls, fences)
+        ),
+    )
+
+
 def header_nodes(text: Column) -> Column:
     """Array of (text, header_path): one node per heading, with the titles of its ancestors.
 
@@ -156,11 +181,10 @@ def header_nodes(text: Column) -> Column:
     pattern = r"(?U)^(#+)\s(.*)"
 
     def heads(ls: Column) -> Column:
-        def fenced(fences: Column) -> Column:
+        def fenced(inside: Column) -> Column:
             def head(x: Column, i: Column) -> Column:
-                open_fence = F.size(F.filter(fences, lambda f: f < i)) % 2 == 1
                 return F.when(
-                    x.rlike(pattern) & ~open_fence,
+                    x.rlike(pattern) & ~F.get(inside, i),
                     F.struct(
                         F.length(F.regexp_extract(x, pattern, 1)).alias("level"),
                         F.regexp_extract(x, pattern, 2).alias("title"),
@@ -170,37 +194,19 @@ def header_nodes(text: Column) -> Column:
 
             return F.filter(F.transform(ls, head), lambda h: h.isNotNull())
 
-        return bind(where_index(ls, lambda x, _: F.startswith(lstrip(x), F.lit("```"))), fenced)
+        return bind(in_fence(ls), fenced)
 
     def paths(hs: Column) -> Column:
         entry = "array<struct<level:int,title:string>>"
-        begin = F.struct(
-            F.array().cast(entry).alias("stack"), F.array().cast("array<string>").alias("paths")
-        )
 
-        def step(state: Column, h: Column) -> Column:
-            return bind(
-                F.filter(state["stack"], lambda s: s["level"] < h["level"]),
-                lambda above: F.struct(
-                    F.concat(
-                        above, F.array(F.struct(h["level"].alias("level"), h["title"].alias("title")))
-                    ).alias("stack"),
-                    F.concat(
-                        state["paths"],
-                        F.array(
-                            F.when(F.size(above) == 0, F.lit("/")).otherwise(
-                                F.concat(
-                                    F.lit("/"),
-                                    F.array_join(F.transform(above, lambda s: s["title"]), "/"),
-                                    F.lit("/"),
-                                )
-                            )
-                        ),
-                    ).alias("paths"),
-                ),
-            )
+        def step(stack: Column, h: Column) -> tuple[Column, Column]:
+            above = F.filter(stack, lambda s: s["level"] < h["level"])
+            own = F.array(F.struct(h["level"].alias("level"), h["title"].alias("title")))
+            titles = F.array_join(F.transform(above, lambda s: s["title"]), "/")
+            path = F.when(F.size(above) == 0, F.lit("/")).otherwise(F.concat(F.lit("/"), titles, F.lit("/")))
+            return F.concat(above, own), path
 
-        return F.aggregate(hs, begin, step, lambda s: s["paths"])
+        return scan(hs, F.array().cast(entry), step, "string")
 
     def nodes(ls: Column, hs: Column, ps: Column) -> Column:
         opening = F.struct(
@@ -419,17 +425,27 @@ def table_spans(lines: Column) -> Column:
 def blocks(text: Column) -> Column:
     """Array of (line_no, line, in_table) for every line of a document."""
 
-    def tag(ls: Column, tables: Column) -> Column:
-        return F.transform(
-            ls,
-            lambda x, i: F.struct(
-                i.alias("line_no"),
-                x.alias("line"),
-                F.exists(tables, lambda t: (t["lo"] <= i) & (i < t["hi"])).alias("in_table"),
+    def inside(ls: Column, tables: Column) -> Column:
+        """For every line whether it is in a table: runs of the lines between and in the tables."""
+        before = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get(tables, j - 1)["hi"])
+        runs = F.transform(
+            tables,
+            lambda t, j: F.concat(
+                F.array_repeat(F.lit(False), t["lo"] - before(j)), F.array_repeat(F.lit(True), t["hi"] - t["lo"])
             ),
         )
+        last = F.coalesce(F.get(tables, F.size(tables) - 1)["hi"], F.lit(0))
+        return F.concat(F.flatten(runs), F.array_repeat(F.lit(False), F.size(ls) - last))
 
-    return bind(_lines(text), lambda ls: bind(table_spans(ls), lambda ts: tag(ls, ts)))
+    def tag(ls: Column, flags: Column) -> Column:
+        return F.transform(
+            ls, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.get(flags, i).alias("in_table"))
+        )
+
+    return bind(
+        _lines(text),
+        lambda ls: bind(table_spans(ls), lambda ts: bind(inside(ls, ts), lambda flags: tag(ls, flags))),
+    )
 
 
 def block_type(line: Column, in_table: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioworks import fixed_values as fv
 from folioworks.functions.core import (
+    WHITESPACE,
     bind,
     is_blank,
     join_lines,
@@ -20,13 +21,23 @@ from folioworks.functions.core import (
     unify_newlines,
 )
 
+# White space as patterns see it: without the four separators that a strip removes, too.
+LINE_SPACE = "".join(c for c in WHITESPACE if not "\x1c" <= c <= "\x1f")
+
 # --- whitespace and keys ------------------------------------------------------------------------
 
 
 def trim_blank_edges(text: Column) -> Column:
     """Drop blank lines at both ends, keep the inner ones and the first line's indent."""
     no_top = F.regexp_replace(unify_newlines(text), r"(?U)\A(?:[^\S\n]*\n)+", "")
-    return F.regexp_replace(no_top, r"(?U)(?:\A|\n)\s*\z", "")
+
+    def without_end(t: Column) -> Column:
+        # To the last filled character, and on to the end of its line.
+        filled = F.rtrim(t, F.lit(LINE_SPACE))
+        rest = F.substring_index(F.substr(t, F.length(filled) + 1), "\n", 1)
+        return F.when(filled == "", "").otherwise(F.concat(filled, rest))
+
+    return bind(no_top, without_end)
 
 
 def normalize_spaces(text: Column) -> Column:

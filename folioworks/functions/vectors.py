@@ -42,11 +42,32 @@ def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
         )
 
     def counts(slots: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.aggregate(
-                F.filter(slots, lambda s: s["slot"] == i), F.lit(0.0), lambda acc, s: acc + s["sign"]
-            ),
+        """One pass over the slots in order: a sum for each that occurs, then zeros for those between."""
+        begin = F.struct(
+            F.lit(-1).cast("bigint").alias("slot"),
+            F.lit(0.0).alias("sum"),
+            F.array().cast("array<struct<slot:bigint,sum:double>>").alias("done"),
         )
 
+        def add(state: Column, s: Column) -> Column:
+            same = F.struct(
+                state["slot"].alias("slot"), (state["sum"] + s["sign"]).alias("sum"), state["done"].alias("done")
+            )
+            closed = F.concat(state["done"], F.array(F.struct(state["slot"].alias("slot"), state["sum"].alias("sum"))))
+            opened = F.struct(s["slot"].alias("slot"), s["sign"].alias("sum"), closed.alias("done"))
+            return F.when(s["slot"] == state["slot"], same).otherwise(opened)
+
+        def spread(sums: Column) -> Column:
+            before = lambda j: F.when(j == 0, F.lit(-1)).otherwise(F.get(sums, j - 1)["slot"])
+            zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+            filled = F.transform(
+                sums, lambda s, j: F.concat(zeros(s["slot"] - before(j) - 1), F.array(s["sum"]))
+            )
+            last = F.coalesce(F.get(sums, F.size(sums) - 1)["slot"], F.lit(-1))
+            return F.concat(F.flatten(filled), zeros(F.lit(dim - 1) - last))
+
+        end = F.array(F.struct(F.lit(dim).cast("bigint").alias("slot"), F.lit(0.0).alias("sign")))
+        sums = F.aggregate(F.concat(F.sort_array(slots), end), begin, add, lambda s: s["done"])
+        return bind(F.filter(sums, lambda s: s["slot"] >= 0), spread)
+
     return l2_normalize(bind(F.transform(tokens, slot), counts))
