@@ -425,7 +425,7 @@ SPLITTERS = {
 }
 
 
-def register_splitter(name: str, splitter, path_fragment: str | None = None, registry=None) -> None:
+def register_splitter(name: str, splitter, path_fragment: str | None = None) -> None:
     """Add a splitter under ``name``; with a fragment it also serves the paths containing it."""
     SPLITTERS[name] = splitter
     if path_fragment is not None:

@@ -293,19 +293,80 @@ def line_hint(chunk_id: Column) -> Column:
     return F.when(n > 0, n)
 
 
-def _quoted(s: Column) -> Column:
-    escaped = F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
-    return F.concat(F.lit("'"), escaped, F.lit("'"))
+def shown_string(s: Column) -> Column:
+    """A string in quotes with escapes: single quotes, or double ones if it has single quotes only."""
+    escaped = F.replace(s, F.lit("\\"), F.lit("\\\\"))
+    for char, mark in (("\n", "n"), ("\r", "r"), ("\t", "t")):
+        escaped = F.replace(escaped, F.lit(char), F.lit("\\" + mark))
+    # Characters that don't print: as codes.
+    hidden = r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}\p{Cn}\p{Co}]|[\p{Zs}&&[^ ]]"
+
+    def code(c: Column) -> Column:
+        at = F.when(F.length(c) == 1, F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))
+        digits = F.lower(F.hex(at))
+        return (
+            F.when(at < 256, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0")))
+            .when(at < 65536, F.concat(F.lit("\\u"), F.lpad(digits, 4, "0")))
+            .otherwise(F.concat(F.lit("\\U"), F.lpad(digits, 8, "0")))
+        )
+
+    def coded(t: Column) -> Column:
+        chars = F.split(t, "")
+        return F.array_join(F.transform(chars, lambda c: F.when(c.rlike(hidden), code(c)).otherwise(c)), "")
 
+    escaped = bind(escaped, lambda t: F.when(t.rlike(hidden), coded(t)).otherwise(t))
+    double = F.contains(s, F.lit("'")) & ~F.contains(s, F.lit('"'))
+    single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(single)
 
-def stable_id(text: Column, metadata: Column) -> Column:
-    """Content hash of a text and its string metadata, independent of the metadata's order."""
-    pairs = F.sort_array(F.map_entries(metadata))
-    shown = F.transform(
-        pairs, lambda e: F.concat(F.lit("("), _quoted(e["key"]), F.lit(", "), _quoted(e["value"]), F.lit(")"))
+
+def _shown(v: Column, depth: int) -> Column:
+    """A VARIANT value as a literal: strings quoted, True, False and None by name, lists and objects nested."""
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    out = (
+        F.when(v.isNull() | F.is_variant_null(v) | (kind == "VOID"), "None")
+        .when(kind == "BOOLEAN", F.initcap(text))
+        .when(kind == "STRING", shown_string(text))
     )
-    listed = F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]"))
-    return F.sha1(F.concat(text, F.lit("\n"), listed).cast("binary"))
+    number = F.when(kind.isin("DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL")), shown_number(text))
+    out = out.when(number.isNotNull(), number)
+    if depth:
+        def inner(x: Column) -> Column:
+            return bind(x, lambda y: _shown(y, depth - 1))
+
+        listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), inner)
+        pairs = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+        named = F.transform(
+            pairs, lambda e: F.concat(shown_string(e["key"]), F.lit(": "), inner(e["value"]))
+        )
+        out = out.when(
+            F.startswith(kind, F.lit("ARRAY")), F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]"))
+        ).when(F.startswith(kind, F.lit("OBJECT")), F.concat(F.lit("{"), F.array_join(named, ", "), F.lit("}")))
+    return out.otherwise(text)
+
+
+def shown_number(text: Column) -> Column:
+    """A number with a fraction: always with a point, or with a two-digit exponent."""
+    plain = F.when(F.contains(text, F.lit("E")), text).when(F.contains(text, F.lit(".")), text)
+    return F.coalesce(plain, F.concat(text, F.lit(".0")))
+
+
+def stable_id(text: Column, metadata: Column, depth: int = 2) -> Column:
+    """Content hash of a text and its metadata, independent of the metadata's order.
+
+    ``metadata`` is a map of strings or of VARIANT values (nested up to ``depth``); NULL values count.
+    """
+
+    def pairs(values: Column) -> Column:
+        def pair(k: Column) -> Column:
+            value = bind(F.element_at(values, k), lambda v: _shown(v, depth))
+            return F.concat(F.lit("("), shown_string(k), F.lit(", "), value, F.lit(")"))
+
+        return F.array_join(F.transform(F.sort_array(F.map_keys(metadata)), pair), ", ")
+
+    listed = bind(metadata.cast("map<string,variant>"), pairs)
+    return F.sha1(F.concat(text, F.lit("\n["), listed, F.lit("]")).cast("binary"))
 
 
 def content_hash(data: Column) -> Column:

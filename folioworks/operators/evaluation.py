@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from folioworks import fixed_values as fv
 from folioworks.functions.core import strip
 from folioworks.functions.text import join_key, shorten
+from folioworks.session import cut_lineage
 
 METRICS = fv.SCORE_METRICS
 
@@ -38,23 +39,47 @@ def run_means(run: DataFrame, metrics=METRICS) -> DataFrame:
     return run.agg(F.count(F.lit(1)).alias("n_rows"), *[F.avg(m).alias(m) for m in metrics])
 
 
-def by_question(run: DataFrame, metrics=METRICS, response: str = "response", order: str = "row_id") -> DataFrame:
-    """Means per question and its first response that is present."""
+def _question_hash() -> list[Column]:
+    """128 bits that stand for a question: the texts themselves are no key of an aggregate."""
+    return [F.xxhash64("_key").alias("_k1"), F.xxhash64(F.lit(1), "_key").alias("_k2")]
+
+
+def _means(run: DataFrame, metrics, response: str, order: str) -> DataFrame:
+    """Per question: means, the row whose response comes first, and a row that has the question. Numbers only."""
     present = F.when(F.col(response).isNotNull(), F.col(order))
-    return run.groupBy("_key").agg(
-        *[F.avg(m).alias(m) for m in metrics], F.min_by(response, present).alias(response)
+    narrow = run.select(*_question_hash(), *metrics, F.col(order).alias("_row"), present.alias("_present"))
+    return narrow.groupBy("_k1", "_k2").agg(
+        *[F.avg(m).alias(m) for m in metrics], F.min("_present").alias("_response_row"), F.min("_row").alias("_key_row")
     )
 
 
+def by_question(run: DataFrame, metrics=METRICS, response: str = "response", order: str = "row_id") -> DataFrame:
+    """Means per question and its first response that is present; ``order`` is unique in a run."""
+    means = _means(run, metrics, response, order)
+    keys = run.select(F.col(order).alias("_key_row"), "_key")
+    texts = run.select(F.col(order).alias("_response_row"), response)
+    out = means.join(keys, "_key_row").join(texts, "_response_row", "left")
+    return out.select("_key", *metrics, response)
+
+
 def common_questions(proposed: DataFrame, baseline: DataFrame, metrics=METRICS) -> DataFrame:
-    """Questions of both runs, with suffixed columns."""
-    cols = [*metrics, "response"]
+    """Questions of both runs, with suffixed columns. Texts join the rows that are left."""
 
     def side(run: DataFrame, suffix: str) -> DataFrame:
-        grouped = by_question(run, metrics)
-        return grouped.select("_key", *[F.col(c).alias(f"{c}_{suffix}") for c in cols])
+        means = _means(run, metrics, "response", "row_id")
+        named = [F.col(c).alias(f"{c}_{suffix}") for c in (*metrics, "_response_row", "_key_row")]
+        return means.select("_k1", "_k2", *named)
+
+    def texts(run: DataFrame, suffix: str) -> DataFrame:
+        return run.select(F.col("row_id").alias(f"_response_row_{suffix}"), F.col("response").alias(f"response_{suffix}"))
 
-    return side(proposed, "proposed").join(side(baseline, "baseline"), "_key")
+    pairs = side(proposed, "proposed").join(side(baseline, "baseline"), ["_k1", "_k2"])
+    keys = proposed.select(F.col("row_id").alias("_key_row_proposed"), "_key")
+    out = pairs.join(keys, "_key_row_proposed")
+    for run, suffix in ((proposed, "proposed"), (baseline, "baseline")):
+        out = out.join(texts(run, suffix), f"_response_row_{suffix}", "left")
+    cols = [f"{c}_{suffix}" for suffix in ("proposed", "baseline") for c in (*metrics, "response")]
+    return out.select("_key", *cols)
 
 
 def summary(proposed: DataFrame, baseline: DataFrame, metrics=METRICS) -> DataFrame:
@@ -103,6 +128,7 @@ def win_loss(diffs: DataFrame, metrics=METRICS, band: float = fv.EQUAL_BAND) ->
 
 def top_movers(diffs: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` questions that gained most and the ``n`` that lost most."""
+    diffs = cut_lineage(diffs)  # both ends are read off it
     rank = F.round("avg_diff", 9)
     gained = diffs.orderBy(rank.desc_nulls_last(), "user_input").limit(n)
     lost = diffs.orderBy(rank.asc_nulls_last(), "user_input").limit(n)
@@ -111,6 +137,7 @@ def top_movers(diffs: DataFrame, n: int = 5) -> DataFrame:
 
 def examples(diffs: DataFrame, metric: str = "answer_correctness") -> DataFrame:
     """The best and the worst question by one metric, with both responses."""
+    diffs = cut_lineage(diffs)  # both ends are read off it
     d = F.round(f"{metric}_diff", 9)
     best = diffs.where(d.isNotNull()).orderBy(d.desc(), "user_input").limit(1)
     worst = diffs.where(d.isNotNull()).orderBy(d.asc(), "user_input").limit(1)

@@ -13,7 +13,7 @@ from folioworks import fixed_values as fv
 from folioworks.functions.chunks import overlapping
 from folioworks.functions.core import strip
 from folioworks.functions.markdown import inline_break
-from folioworks.operators.scan import ROWS_PER_BLOCK, all_short, ordered_scan
+from folioworks.operators.scan import ROWS_PER_BLOCK, group_sizes, ordered_scan
 
 
 def items_of_results(df: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def sections(items: DataFrame, order: list[str], rows_per_block: int = ROWS_PER_
     kind = F.coalesce(F.col("element_type"), F.lit("paragraph"))
     usable = usable_items(items).withColumn("_kind", kind)
     closes = (F.col("_kind") != "image") & F.contains(F.col("text"), F.lit(fv.BREAK_MARK))
-    if all_short(items, ["doc"], rows_per_block):
+    if group_sizes(items, ["doc"])[0] <= rows_per_block:
         rows_per_block = None
     marked = usable.withColumn("_close", closes.cast("bigint"))
     numbered = ordered_scan(

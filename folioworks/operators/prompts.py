@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks import fixed_values as fv
-from folioworks.functions.text import fixed_point
+from folioworks.functions.schemas import SCHEMAS
+from folioworks.functions.text import drop_repeated_lines, file_name, fixed_point, normalize_spaces, sanitize_chunk
 from folioworks.operators.scan import ROWS_PER_BLOCK, join_texts
 
 
@@ -71,3 +72,16 @@ def extraction_prompt(text: Column, hint: Column, field_names: list[str], schema
         text,
         F.lit("\n\n" + rules + "\nSchema JSON:\n" + schema_json + "\n"),
     )
+
+
+def context_hint(source_path: Column, chunk_index: Column) -> Column:
+    """Where a chunk comes from, for the extraction prompt."""
+    return F.concat(F.lit("source="), file_name(source_path), F.lit(" chunk="), chunk_index.cast("string"))
+
+
+def extraction_prompts(chunks: DataFrame, schema: str, schema_json: str) -> DataFrame:
+    """(id, prompt) for chunk records (id, source_path, chunk_index, chunk_text) of one schema."""
+    text = normalize_spaces(drop_repeated_lines(sanitize_chunk(F.col("chunk_text"))))
+    fields = [name for name, *_ in SCHEMAS[schema]]
+    hint = context_hint(F.col("source_path"), F.col("chunk_index"))
+    return chunks.select("id", extraction_prompt(text, hint, fields, schema_json).alias("prompt"))

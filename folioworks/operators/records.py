@@ -82,29 +82,41 @@ def clean_records(df: DataFrame, *columns: str) -> DataFrame:
 def retrieval_records(
     df: DataFrame, index_type: str, record: str = "record", ident: str = "id", extra: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Rows for a bucket: (index_type, id, text, metadata); metadata merges meta, record and bucket."""
+    """Rows for a bucket: (index_type, id, text, metadata); metadata merges meta, data and bucket.
+
+    With a ``data`` column (VARIANT) the metadata has the record as it was read: keys that the schema lacks, and
+    NULLs. Otherwise it has ``record``. An ``error`` of the record is kept as a column; no row is left out.
+    """
     schema = df.schema[record].dataType
     text = tp.retrieval_text(F.col(record), schema, index_type)
     meta = F.coalesce(F.to_json(F.col("meta")), F.lit("{}"))
+    data = F.to_json(F.col("data" if "data" in df.columns else record))
+    bucket = F.to_json(F.struct(F.lit(index_type).alias("index_type")))
+    error = [c for c in ("error",) if c in df.columns and c not in extra]
     return df.select(
         F.lit(index_type).alias("index_type"),
         F.col(ident).alias("id"),
         text.alias("text"),
-        merge_json(meta, F.to_json(F.col(record)), F.to_json(F.struct(F.lit(index_type).alias("index_type")))).alias(
-            "metadata"
-        ),
+        merge_json(meta, F.coalesce(data, F.lit("{}")), bucket).alias("metadata"),
+        *error,
         *extra,
     )
 
 
 def merge_json(*objects: Column) -> Column:
-    """One JSON object from several; a later value of a key replaces an earlier one."""
+    """One JSON object from several; a later value of a key replaces an earlier one and keeps its place."""
 
     def entries(o: Column) -> Column:
         keys = F.coalesce(F.json_object_keys(o), F.array().cast("array<string>"))
         values = F.from_json(o, T.MapType(T.StringType(), T.VariantType()))
-        return F.transform(
-            keys, lambda k: F.struct(k.alias("k"), F.to_json(F.element_at(values, k)).alias("v"))
+        return bind(
+            values,
+            lambda vs: F.transform(
+                keys,
+                lambda k: F.struct(
+                    k.alias("k"), F.coalesce(F.to_json(F.element_at(vs, k)), F.lit("null")).alias("v")
+                ),
+            ),
         )
 
     def last_wins(all_: Column) -> Column:
@@ -114,10 +126,12 @@ def merge_json(*objects: Column) -> Column:
         at = lambda k: F.array_position(F.transform(back, lambda e: e["k"]), k).cast("int") - 1
         return F.transform(first, lambda k: F.get(back, at(k)))
 
+    def quoted(k: Column) -> Column:
+        listed = F.to_json(F.array(k))
+        return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
     merged = bind(F.concat(*[entries(o) for o in objects]), last_wins)
-    shown = F.transform(
-        merged, lambda e: F.concat(F.lit('"'), F.replace(e["k"], F.lit('"'), F.lit('\\"')), F.lit('":'), e["v"])
-    )
+    shown = F.transform(merged, lambda e: F.concat(quoted(e["k"]), F.lit(":"), e["v"]))
     return F.concat(F.lit("{"), F.array_join(shown, ","), F.lit("}"))
 
 

@@ -1,8 +1,8 @@
 """Ordered scans over long groups.
 
 A running sum or a look at the previous row needs the rows of a group in order. When one group may
-hold a third of all rows it must not be one task's work, so a long group is cut into blocks along
-its order. Windows run inside blocks; one small row per block carries what a block needs from those
+hold a third of all rows it must not be one task's work, so a long group is cut into blocks by its
+rank. Windows run inside blocks; one small row per block carries what a block needs from those
 before it. The result equals a window over the whole group. Where a first, narrow count finds no
 long group the scan is that plain window, with a single exchange.
 """
@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioworks.session import cut_lineage
+
 ROWS_PER_BLOCK = 100_000
-# The table of long groups is broadcast only below this many rows.
-MAX_BROADCAST_GROUPS = 10_000
 
 
 def _same(keys: list[str], prefix: str) -> list[Column]:
@@ -23,34 +23,28 @@ def _same(keys: list[str], prefix: str) -> list[Column]:
     return [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys]
 
 
-def all_short(df: DataFrame, keys: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> bool:
-    """Whether no group has more rows than one block holds. Reads the keys only."""
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the longest group and of the table. Reads the keys only."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.where(F.col("_n") > rows_per_block).limit(1).count() == 0
+    found = sizes.agg(F.max("_n").alias("longest"), F.sum("_n").alias("total")).first()
+    return found["longest"] or 0, found["total"] or 0
 
 
 def with_blocks(
-    df: DataFrame, keys: list[str], along: str, rows_per_block: int = ROWS_PER_BLOCK
+    df: DataFrame, keys: list[str], order: list[str], rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame | None:
-    """``df`` with ``_block``: 0 in short groups, else the row's share of the group's range of ``along``.
+    """``df`` with ``_block``, or None when every group is short.
 
-    None when every group is short.
+    Rows are cut by rank: a range partitioning over keys and all order columns (sampled quantiles), where a block is
+    what one key has in one partition. So neither an outlier nor a column of one value makes a block larger; only rows
+    that are equal in keys and order stay together. What is cut is written to the shared folder first, so the input is
+    computed twice at most: for the sizes, and for that.
     """
-    long = (
-        df.groupBy(*[F.col(k).alias(f"_l_{k}") for k in keys])
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(along).alias("_lo"), F.max(along).alias("_hi"))
-        .where((F.col("_n") > rows_per_block) & (F.col("_hi") > F.col("_lo")))
-    )
-    found = long.limit(MAX_BROADCAST_GROUPS + 1).count()
-    if found == 0:
+    longest, total = group_sizes(df, keys)
+    if longest <= rows_per_block:
         return None
-    if found <= MAX_BROADCAST_GROUPS:
-        long = F.broadcast(long)
-    blocks = F.ceil(F.col("_n") / rows_per_block)
-    share = (F.col(along) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    out = df.join(long, _same(keys, "_l_"), "left")
-    block = F.coalesce(F.floor(share * blocks), F.lit(0)).cast("bigint")
-    return out.select(*df.columns, block.alias("_block"))
+    placed = cut_lineage(df).repartitionByRange(max(2, -(-total // rows_per_block)), *keys, *order)
+    return cut_lineage(placed.withColumn("_block", F.spark_partition_id().cast("bigint")))
 
 
 def ordered_scan(
@@ -63,13 +57,13 @@ def ordered_scan(
 ) -> DataFrame:
     """Add running sums and previous-row values along ``order`` within ``keys``.
 
-    The first order column must be a number. ``sums`` maps a new column to the expression summed up
+    ``sums`` maps a new column to the expression summed up
     to and including the row; ``previous`` maps a new column to the column read one row before.
     ``rows_per_block=None`` says that every group is known to be short.
     """
     sums, previous = sums or {}, previous or {}
     valued = df.withColumns({f"_v_{name}": expr for name, expr in sums.items()})
-    rows = None if rows_per_block is None else with_blocks(valued, keys, order[0], rows_per_block)
+    rows = None if rows_per_block is None else with_blocks(valued, keys, order, rows_per_block)
     if rows is None:
         over = Window.partitionBy(*keys).orderBy(*order)
         upto = over.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -125,7 +119,7 @@ def join_texts(
     def joined(column: str, by: str) -> Column:
         return F.expr(f"listagg(`{column}`, '{quoted}') WITHIN GROUP (ORDER BY `{by}`)")
 
-    rows = with_blocks(df.select(*keys, order, text), keys, order, rows_per_block)
+    rows = with_blocks(df.select(*keys, order, text), keys, [order], rows_per_block)
     if rows is None:
         return df.groupBy(*keys).agg(joined(text, order).alias(name))
     parts = rows.groupBy(*keys, "_block").agg(joined(text, order).alias("_part"))

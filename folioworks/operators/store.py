@@ -53,12 +53,13 @@ def checked(incoming: DataFrame, stats: DataFrame, vec: str = "vec", model: str
         joined = incoming.join(side, incoming["index_type"] == F.col("_b"), "left")
     wrong_dim = F.col("_dim").isNotNull() & (F.size(vec) != F.col("_dim"))
     wrong_model = F.col("_model").isNotNull() & F.lit(model).isNotNull() & (F.col("_model") != F.lit(model))
-    vector = (
-        F.when(wrong_dim, F.raise_error(F.concat(F.lit("vector size differs from bucket "), F.col("index_type"))))
-        .when(wrong_model, F.raise_error(F.concat(F.lit("model differs from bucket "), F.col("index_type"))))
-        .otherwise(F.col(vec))
+    # A filter, so that no choice of columns can leave the check out.
+    fits = (
+        F.when(wrong_dim, F.raise_error(F.concat(F.lit("vector size differs from bucket "), F.col("index_type"))).cast("boolean"))
+        .when(wrong_model, F.raise_error(F.concat(F.lit("model differs from bucket "), F.col("index_type"))).cast("boolean"))
+        .otherwise(F.lit(True))
     )
-    return joined.withColumn(vec, vector).select(*incoming.columns)
+    return joined.where(fits).select(*incoming.columns)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFrame:

@@ -12,6 +12,7 @@ from folioworks.plans import (  # noqa: F401
     record_queries,
     registry,
     search_queries,
+    source_queries,
 )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks import fixed_values as fv
@@ -43,21 +43,44 @@ def extract_documents(
     return out.withColumn("source_path", F.regexp_replace("id", ":#[0-9]+$", ""))
 
 
-def bucket_rows(
-    extracted: DataFrame, schema: str, index_type: str, embed: Callable[[Column], Column] | None = None
-) -> DataFrame:
-    """Extraction output to bucket rows (index_type, id, text, metadata, vec): coerce, clean, render, embed."""
+def _typed(extracted: DataFrame, schema: str) -> DataFrame:
     good = extracted.where(F.col("error").isNull() & F.col("data").isNotNull())
     parsed = good.select(
         "id",
+        "source_path",
         F.try_parse_json("data").alias("data"),
         F.parse_json(F.to_json(F.struct("source_path", "id"))).alias("meta"),
     )
-    typed = records.coerce_records(parsed, schema).where(F.col("error").isNull())
+    return records.coerce_records(parsed, schema)
+
+
+def bucket_rows(
+    extracted: DataFrame, schema: str, index_type: str, embed: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Extraction output to bucket rows (index_type, id, text, metadata, vec): coerce, clean, render, embed.
+
+    What is not good enough for a bucket is in ``rejected_rows``.
+    """
+    typed = _typed(extracted, schema).where(F.col("error").isNull()).drop("data", "error", "source_path")
     rows = records.retrieval_records(records.clean_records(typed, "record"), index_type)
     return rows if embed is None else rows.withColumn("vec", embed(F.col("text")))
 
 
+def rejected_rows(extracted: DataFrame, schema: str) -> DataFrame:
+    """(id, source_path, error) of all extraction output that ``bucket_rows`` leaves out."""
+    failed = extracted.where(F.col("error").isNotNull() | F.col("data").isNull())
+    failed = failed.select("id", "source_path", F.coalesce("error", F.lit("no data")).alias("error"))
+    invalid = _typed(extracted, schema).where(F.col("error").isNotNull())
+    return failed.unionByName(invalid.select("id", "source_path", "error"))
+
+
+def route_table(spark: SparkSession, embed: Callable[[Column], Column]) -> DataFrame:
+    """(index_type, boosted, vec): a route for each bucket from its text."""
+    rows = [(name, name == fv.BOOST_BUCKET, text) for name, text in fv.ROUTE_TEXT.items()]
+    routes = spark.createDataFrame(rows, "index_type string, boosted boolean, text string")
+    return routes.withColumn("vec", embed(F.col("text"))).drop("text")
+
+
 def answer_prompts(
     questions: DataFrame,
     routes: DataFrame,

@@ -30,15 +30,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# Inputs up to this size are spread over the cores before heavy per-row work.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small table more partitions than its few row groups; a large scan is left as it is."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT_BYTES else df
+    """At least a partition for every core before heavy per-row work; a scan that has them is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from folioworks import fixed_values as fv
 from folioworks.functions.core import strip
@@ -38,9 +39,12 @@ def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, *paths: str, schema: str, index_type: str) -> DataFrame:
-    """Bucket rows (index_type, id, text, metadata) of JSONL files; invalid records are left out."""
+    """Bucket rows (index_type, id, text, metadata, error) of every record with ``data`` and ``meta``.
+
+    A record that the schema finds wanting stays, with its ``error``.
+    """
     typed = records.coerce_records(read_jsonl(spark, *paths).where(F.col("meta").isNotNull()), schema)
-    return records.retrieval_records(typed.where(F.col("error").isNull()), index_type)
+    return records.retrieval_records(typed, index_type)
 
 
 OCR_ITEM = T.StructType(
@@ -87,7 +91,17 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
         .option("encoding", "UTF-8")
         .csv(path)
     )
-    return raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+    named = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+    return named.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """Number rows from 0 by (file, position), whatever the split of the input: a file is never split here."""
+    files = df.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
+    files = files.select("_file", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = df.join(files, "_file").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first"))
+    return out.drop("_first", "_before")
 
 
 def _require(df: DataFrame, columns) -> None:
@@ -104,7 +118,9 @@ def read_questions(spark: SparkSession, path: str, limit: int | None = None, kee
     """
     df = _csv(spark, path)
     _require(df, [fv.QUESTION_COLUMN, fv.REFERENCE_COLUMN])
-    ident = F.col("id").cast("bigint") if "id" in df.columns else F.monotonically_increasing_id()
+    if "id" not in df.columns:
+        df = _numbered(df, "id")
+    ident = F.col("id").cast("bigint")
     level = F.col(fv.DIFFICULTY_COLUMN) if fv.DIFFICULTY_COLUMN in df.columns else F.lit(None).cast("string")
     out = df.select(
         ident.alias("id"),
@@ -121,7 +137,7 @@ def read_scores(spark: SparkSession, path: str, metrics=fv.SCORE_METRICS) -> Dat
     """A prepared run of a score file; values that are no numbers become NULL."""
     df = _csv(spark, path)
     _require(df, ["user_input", *metrics])
-    return ev.prepare_run(df.withColumn("row_id", F.monotonically_increasing_id()), metrics)
+    return ev.prepare_run(_numbered(df, "row_id").drop("_file", "_at"), metrics)
 
 
 def read_bucket(spark: SparkSession, path: str, index_type: str | None = None, dim: int | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioworks.operators import metrics as mt
 
+ROWS_PER_FILE = 500_000
+
 
 def write_extraction(df: DataFrame, path: str, mode: str = "append") -> None:
     """Extraction output (id, source_path, data JSON, error) as JSON lines, good and failed rows apart."""
@@ -26,22 +28,28 @@ def write_buckets(df: DataFrame, path: str) -> None:
     )
 
 
+def _by_document(df: DataFrame, key: str = "doc"):
+    """A writer of bounded files in document order; the document is a column, not a folder of its own."""
+    ordered = df.repartitionByRange(key).sortWithinPartitions(key)
+    return ordered.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
+
+
 def write_passages(passages: DataFrame, path: str) -> None:
-    passages.write.mode("overwrite").partitionBy("doc").json(path)
+    _by_document(passages).json(path)
 
 
 def write_retrieval_docs(docs: DataFrame, path: str) -> None:
-    docs.write.mode("overwrite").partitionBy("doc").json(path)
+    _by_document(docs).json(path)
 
 
 def write_dataset(totals: DataFrame, entries: DataFrame, path: str) -> None:
     """Totals and section entries of every document, side by side."""
     totals.write.mode("overwrite").json(f"{path}/metadata")
-    entries.write.mode("overwrite").partitionBy("doc").json(f"{path}/sections")
+    _by_document(entries).json(f"{path}/sections")
 
 
 def write_image_index(images: DataFrame, path: str, source: str = "source", ident: str = "id", file_path: str = "path") -> None:
-    mt.image_index(images, source, ident, file_path).write.mode("overwrite").partitionBy(source).json(path)
+    _by_document(mt.image_index(images, source, ident, file_path), source).json(path)
 
 
 def write_scores(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -62,11 +62,11 @@ def ingest_records(
     files_per_trigger: int = 16,
     embed: Callable[[Column], Column] | None = None,
 ) -> StreamingQuery:
-    """JSONL files to a bucket: parse, coerce, render, embed, append."""
+    """JSONL files to a bucket: parse, coerce, render, embed, append; an invalid record keeps its ``error``."""
     lines = jsonl_stream(spark, source, files_per_trigger)
-    parsed = records.coerce_records(records.parse_records(lines), schema)
-    valid = parsed.where(F.col("error").isNull())
-    rows = records.retrieval_records(valid, index_type, extra=("file_time", "file_path"))
+    parsed = records.parse_records(lines).where(F.col("meta").isNotNull())
+    typed = records.coerce_records(parsed, schema)
+    rows = records.retrieval_records(typed, index_type, extra=("file_time", "file_path"))
     if embed is not None:
         rows = rows.withColumn("vec", embed(F.col("text")))
     return append_batches(rows, path, checkpoint)
@@ -84,27 +84,38 @@ def extract_pending(
     schema: str,
     extractor: Callable[[str, str], str] | None = None,
 ) -> StreamingQuery:
-    """Resumable extraction of a stream of chunks: each id once, and none that is already done.
+    """Resumable extraction of a stream of chunks (id, chunk_text): every id until it has data, and then no more.
 
-    Ids seen by the stream are its state; those done before it started are read from the output. A
-    batch that is run again does not count its own earlier output.
+    A batch extracts its distinct ids, and those whose extraction has failed so far, unless an earlier batch has their
+    data. What is done and what has failed is kept as two small tables of ids beside the output, written per batch, so
+    a batch reads ids only, never earlier results, and the stream itself has no state that grows. A batch that is run
+    again doesn't count its own earlier output.
     """
     spark = chunks.sparkSession
+    done_at, failed_at = f"{path}/_done", f"{path}/_failed"
 
-    def write(batch: DataFrame, number: int) -> None:
-        todo = batch
+    def earlier(folder: str, number: int, columns: str) -> DataFrame:
         try:
-            done = read_batches(spark, path).where(F.col("batch") < number)
-            todo = records.pending(batch, done)
-        except Exception as e:  # the first batch finds no output yet
+            return read_batches(spark, folder).where(F.col("batch") < number)
+        except Exception as e:  # the first batch finds nothing yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        out = records.extract(todo, schema, extractor)
-        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            return spark.createDataFrame([], columns)
+
+    def write(batch: DataFrame, number: int) -> None:
+        done = earlier(done_at, number, "id string, batch int").select("id").distinct()
+        failed = earlier(failed_at, number, "id string, chunk_text string, batch int").select("id", "chunk_text")
+        todo = batch.select("id", "chunk_text").unionByName(failed).dropDuplicates(["id"])
+        todo = todo.join(done, "id", "left_anti")
+        out = f"{path}/batch={number}"
+        records.extract(todo, schema, extractor).write.mode("overwrite").parquet(out)
+        results = spark.read.parquet(out)
+        results.where(F.col("data").isNotNull()).select("id").write.mode("overwrite").parquet(f"{done_at}/batch={number}")
+        again = results.where(F.col("data").isNull()).select("id")
+        todo.join(again, "id", "left_semi").write.mode("overwrite").parquet(f"{failed_at}/batch={number}")
 
     return (
-        chunks.dropDuplicates(["id"])
-        .writeStream.foreachBatch(write)
+        chunks.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
