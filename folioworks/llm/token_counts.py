@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import Counter
+import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from folioworks.llm.shared import bounded_batches, folder_rows, stage, text_bytes, utf8
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
-#: Digests that a task remembers to have passed on, and pieces of text whose count a worker remembers (some 50 MB).
-REMEMBERED, MOST_PIECES = 100_000, 400_000
+#: Digests that a task remembers to have passed on, and pieces of text whose count a worker remembers (some 30 MB).
+REMEMBERED, MOST_PIECES = 50_000, 250_000
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, cache: str) -> DataFrame:
@@ -76,9 +76,15 @@ def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+_COUNTERS: dict[str, Callable] = {}
+
+
 def _encoder(ship, version: str) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(*ship.value)
+        if version not in _COUNTERS:  # a worker process builds a tokenizer once
+            _COUNTERS.clear()
+            _COUNTERS[version] = counter(*ship.value)
+        count = _COUNTERS[version]
         seen: set[bytes] = set()
         for batch in batches:
             digests, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -104,6 +110,8 @@ def counter(kind: str, model: bytes) -> Callable[[list[str]], list[int]]:
     if kind == ".json":
         from tokenizers import Tokenizer
 
+        # Spark runs a task on each core already; the library's threads would only hold more memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_str(model.decode())
         tokenizer.no_truncation()
         tokenizer.no_padding()
