@@ -249,13 +249,22 @@ def json_from_text(spark, sf_dir):
     return replies.select("event_id", tx.json_object_in(F.col("t")).alias("json"))
 
 
+_STABLE_META = (
+    r"""'{"source": "' || source || '", "lang": "' || lang || '", "n": ' || n_chars || ', "ok": ' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END"""
+    r""" || ', "none": null, "r": ' || CASE WHEN doc_id % 2 = 0 THEN '0.5' ELSE '1.25' END || ', "q": "it' || char(39) || 's", "t": "a' || char(92) || 'tb", "list": ["' || lang || '", ' || n_chars || ', null]}'"""
+)
+
+
 @query(
     "stable_ids",
-    """SELECT doc_id, sha1(text || chr(10) || '[(''lang'', ''' || lang || '''), (''source'', ''' || source || ''')]') AS id FROM documents""",
+    """SELECT doc_id, sha1(text || chr(10) || '[(''lang'', ''' || lang || '''), (''list'', [''' || lang || ''', ' || n_chars || ', None]), (''n'', ' || n_chars
+  || '), (''none'', None), (''ok'', ' || CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END || '), (''q'', "it''s"), (''r'', '
+  || CASE WHEN doc_id % 2 = 0 THEN '0.5' ELSE '1.25' END || '), (''source'', ''' || source || '''), (''t'', ''a' || chr(92) || 'tb'')]') AS id FROM documents""",
 )
 def stable_ids(spark, sf_dir):
-    meta = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.stable_id(F.col("text"), meta).alias("id"))
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"{_STABLE_META} AS meta")
+    values = F.from_json("meta", "map<string,variant>")
+    return docs.select("doc_id", tx.stable_id(F.col("text"), values).alias("id"))
 
 
 @query(

@@ -13,6 +13,7 @@ from folioworks import fixed_values as fv
 from folioworks.operators import evaluation as ev
 from folioworks.operators import images as im
 from folioworks.operators import metrics, ocr, prompts, records, search, segment, store
+from folioworks.functions.text import stable_id
 from folioworks.operators.scan import ordered_scan
 from folioworks.plans import pipelines
 from folioworks.sources import files, sinks
@@ -489,6 +490,70 @@ def test_stream_ingest_equals_batch(spark, folder):
     assert len([d for d in os.listdir(out) if d.startswith("batch=")]) == 3
 
 
+def test_failed_chunks_are_tried_again(spark, folder):
+    src, out = folder + "/in", folder + "/out"
+
+    def run(n, lines, extractor):
+        put(src, f"{n}.json", "\n".join(json.dumps({"id": i, "chunk_text": i}) for i in lines) + "\n")
+        chunks = spark.readStream.schema("id string, chunk_text string").json(src)
+        ingest.extract_pending(chunks, out, folder + "/ck", "RemedyRecipe", extractor).awaitTermination()
+
+    def fails_on_two(text, schema):
+        if text == "2":
+            raise ValueError("no")
+        return "{}"
+
+    run(1, ["1", "2", "2"], fails_on_two)
+    run(2, ["3"], fails_on_two)  # 2 isn't in the input again, and fails again
+    run(3, ["2", "1"], lambda text, schema: "{}")
+    got = sorted((r["id"], r["batch"], r["data"] is not None) for r in ingest.read_batches(spark, out).collect())
+    assert got == [("1", 0, True), ("2", 0, False), ("2", 1, False), ("2", 2, True), ("3", 1, True)]
+
+
+def test_invalid_records_stay(spark, folder):
+    lines = [
+        {"data": {"recipe_name": "R", "odd": None, "n": 5}, "meta": {"id": "a"}},
+        {"data": {"source_plant": "S"}, "meta": {"id": "b"}},
+        {"data": {"recipe_name": "R"}},
+    ]
+    path = put(folder, "r.jsonl", "\n".join(map(json.dumps, lines)) + "\n{bad\n")
+    rows = {r["id"]: r for r in files.read_records(spark, path, schema="RemedyRecipe", index_type="remedies").collect()}
+    assert sorted(rows) == ["a", "b"] and rows["b"]["error"]
+    assert json.loads(rows["a"]["metadata"]) == {"id": "a", "recipe_name": "R", "odd": None, "n": 5, "index_type": "remedies"}
+
+
+def test_content_ids_show_values_as_literals(spark):
+    import hashlib
+
+    values = ["it's", 'a "b"', "both ' and \"", "t\tn\n\\", "\x01\xa0é", 5, -1.5, 2.0, True, None, ["x", 1, None], {"k": "v"}]
+    rows = [(f"t{i}", json.dumps({"z": v, "a'": "x"})) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "t string, m string")
+    ids = df.select("t", stable_id(F.col("t"), F.from_json("m", "map<string,variant>")).alias("id")).collect()
+    for r, (t, m) in zip(ids, rows):
+        blob = t + "\n" + str(sorted(json.loads(m).items()))
+        assert r["id"] == hashlib.sha1(blob.encode()).hexdigest()
+
+
+def test_check_of_vectors_is_never_left_out(spark):
+    rows = spark.createDataFrame([("b", 1, [1.0, 2.0])], "index_type string, id int, vec array<double>")
+    stats = spark.createDataFrame([("b", 3, None)], "index_type string, dim int, model string")
+    with pytest.raises(Exception, match="vector size"):
+        store.checked(rows, stats).select("id").collect()
+
+
+def test_long_groups_are_cut_by_rank(spark):
+    from folioworks.operators import scan
+
+    rows = [(1, 0 if i else 10**9, i) for i in range(3000)] + [(2, 5, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, page long, i long")
+    blocks = scan.with_blocks(df, ["k"], ["page", "i"], rows_per_block=300)
+    sizes = [r["count"] for r in blocks.groupBy("k", "_block").count().collect()]
+    assert max(sizes) <= 900 and len(sizes) >= 5
+    got = scan.ordered_scan(df, ["k"], ["page", "i"], {"n": F.lit(1)}, {"before": "i"}, rows_per_block=300)
+    want = scan.ordered_scan(df, ["k"], ["page", "i"], {"n": F.lit(1)}, {"before": "i"}, rows_per_block=None)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_stream_extraction_resumes(spark, folder):
     src, out = folder + "/in", folder + "/out"
     seen = []

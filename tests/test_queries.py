@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from folioworks.plans import catalog
 
 SF = os.environ.get("FOLIOWORKS_TEST_SF", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,7 @@ def test_matches_oracle(spark, con, name):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize(
