@@ -8,7 +8,6 @@ work was split.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,9 +82,14 @@ class _Running:
             scores, found = _best(scores, found, self.k)
         self.scores, self.ids = scores, found
 
-    def columns(self) -> list[np.ndarray]:
+    def columns(self, least: np.ndarray | None = None) -> list[np.ndarray]:
+        """Question, id and score of what is kept and reaches the least score of its question."""
         n = self.scores.shape[1]
-        return [np.repeat(self.qids, n), self.ids.ravel(), self.scores.ravel()]
+        rows = [np.repeat(self.qids, n), self.ids.ravel(), self.scores.ravel()]
+        if least is None:
+            return rows
+        enough = self.scores.ravel() >= np.repeat(least, n)
+        return [r[enough] for r in rows]
 
 
 def _id_array(values) -> np.ndarray:
@@ -96,28 +100,49 @@ def _id_array(values) -> np.ndarray:
 # --- exact search -------------------------------------------------------------------------------
 
 
+def usable(vec: str) -> Column:
+    """Vectors with elements that are all numbers; others would rank by accident."""
+    return F.col(vec).isNotNull() & ~F.exists(F.col(vec), lambda x: x.isNull() | F.isnan(x))
+
+
 def exact_topk(
     questions: DataFrame,
     vectors: DataFrame,
     k: int,
     digits: int = SCORE_DIGITS,
     max_questions: int = MAX_BROADCAST_QUESTIONS,
+    strict: bool = False,
+    per_block: tuple[int, int] = (QUESTIONS_PER_BLOCK, VECTORS_PER_BLOCK),
 ) -> DataFrame:
     """(question_id, rank, id, score): the best ``k`` vectors per question by inner product.
 
-    ``questions`` has (question_id, bucket, vec) and ``vectors`` (id, bucket, vec); a question meets
-    the vectors of its bucket. Vectors of another size than the question's are left out.
+    ``questions`` has (question_id, bucket, vec) and ``vectors`` (id, bucket, vec); a question meets the vectors of
+    its bucket. Vectors of another size than the question's, and vectors with NULL or NaN elements, are left out;
+    ``strict`` fails where a question's bucket has vectors, but none of its size.
     """
     q = questions.select("question_id", F.col("bucket").cast("string").alias("bucket"), as_doubles(F.col("vec")).alias("vec"))
     v = vectors.select("id", F.col("bucket").cast("string").alias("bucket"), "vec")
+    q, v = q.where(usable("vec")), v.where(usable("vec"))
+    if strict:
+        require_sizes(q, v)
     sized = q.limit(max_questions + 1).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
     small = sized["n"] <= max_questions and sized["n"] * (sized["dim"] or 0) * 8 <= MAX_BROADCAST_BYTES
-    partial = _topk_broadcast(q, v, k, digits) if small else _topk_blocked(q, v, k, digits)
+    partial = _topk_broadcast(q, v, k, digits) if small else _topk_blocked(q, v, k, digits, per_block)
     w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("id"))
     ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("question_id", "rank", "id", "score")
 
 
+def require_sizes(q: DataFrame, v: DataFrame) -> None:
+    """Fail where a bucket has vectors, but none of the size of a question that asks it."""
+    asked = q.groupBy("bucket", F.size("vec").alias("dim")).agg(F.count("*").alias("_n"))
+    stored = v.groupBy("bucket", F.size("vec").alias("dim")).agg(F.count("*").alias("_m"))
+    named = asked.join(stored.select("bucket").distinct(), "bucket", "left_semi")
+    missing = named.join(stored, ["bucket", "dim"], "left_anti").orderBy("bucket", "dim").first()
+    if missing is not None:
+        raise ValueError(f"bucket {missing['bucket']} has no vectors of size {missing['dim']}")
+
+
 def _result_schema(q: DataFrame, v: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -165,24 +190,28 @@ def _topk_broadcast(q: DataFrame, v: DataFrame, k: int, digits: int) -> DataFram
     return wanted.mapInArrow(scan, schema)
 
 
-def _topk_blocked(q: DataFrame, v: DataFrame, k: int, digits: int) -> DataFrame:
-    """Both sides cut into blocks by a hash of the id; every pair of blocks meets in one task.
+def _topk_blocked(q: DataFrame, v: DataFrame, k: int, digits: int, per_block: tuple[int, int]) -> DataFrame:
+    """Both sides cut into blocks, per bucket, by a hash of the id; blocks of one bucket meet in a task.
 
-    Blocks split a bucket however large it is, and nothing passes through the driver. The questions
-    are written once, for they are counted first and may be costly to route.
+    Block numbers come from each bucket's own counts, so a small bucket is one block and a question reaches the
+    blocks of its bucket only. Every question meets its first block; its k-th best score there is a lower bound, and
+    of the other blocks only what reaches that is put out. So partial rows hardly grow with the number of blocks.
+    Questions are written once, for they are counted and may be costly to route.
     """
     q = cut_lineage(q)
-    n_v = max(1, math.ceil(v.count() / VECTORS_PER_BLOCK))
-    n_q = max(1, math.ceil(q.count() / QUESTIONS_PER_BLOCK))
 
-    def block(ident: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(ident)), F.lit(n)).cast("int")
+    def counts(df: DataFrame, name: str, rows: int) -> DataFrame:
+        sizes = df.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
+        return sizes.select("bucket", F.ceil(F.col("_n") / rows).cast("int").alias(name))
+
+    blocks = counts(q, "n_q", per_block[0]).join(counts(v, "n_v", per_block[1]), "bucket")
+    blocks = cut_lineage(blocks)  # a row per bucket
 
-    def each(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    def block(ident: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(ident)), F.col(n)).cast("int")
 
-    vb = v.withColumn("vb", block("id", n_v)).withColumn("qb", each(n_q))
-    qb = q.withColumn("qb", block("question_id", n_q)).withColumn("vb", each(n_v))
+    def each(first: int, n: str) -> Column:
+        return F.explode(F.when(F.col(n) > first, F.sequence(F.lit(first), F.col(n) - 1)))
 
     schema = _result_schema(q, v)
     arrow = to_arrow_schema(schema)
@@ -194,13 +223,27 @@ def _topk_blocked(q: DataFrame, v: DataFrame, k: int, digits: int) -> DataFrame:
             matrix, has = _matrix(asked, dim)
             m, ok = _matrix(stored, dim)
             if dim and len(matrix) and len(m):
-                run = _Running(_id_array(left["question_id"].filter(pa.array(has)).to_pylist()), matrix, k, digits)
+                mask = pa.array(has)
+                run = _Running(_id_array(left["question_id"].filter(mask).to_pylist()), matrix, k, digits)
                 run.add(m, _id_array(right["id"].filter(pa.array(ok)).to_pylist()))
-                out.append(_record_batch(run.columns(), arrow))
+                least = np.array(left["bound"].filter(mask).to_pylist(), np.float64)
+                out.append(_record_batch(run.columns(least), arrow))
         return pa.Table.from_batches(out, schema=arrow)
 
     keys = ["bucket", "vb", "qb"]
-    return qb.groupBy(*keys).cogroup(vb.groupBy(*keys)).applyInArrow(meet, schema)
+    vb = v.join(blocks, "bucket").withColumn("vb", block("id", "n_v")).withColumn("qb", each(0, "n_q"))
+    qb = q.join(blocks, "bucket").withColumn("qb", block("question_id", "n_q"))
+
+    def met(questions: DataFrame, stored: DataFrame) -> DataFrame:
+        return questions.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(meet, schema)
+
+    first = qb.withColumns({"vb": F.lit(0), "bound": F.lit(float("-inf"))})
+    first = cut_lineage(met(first, vb.where("vb = 0")))
+    reached = first.groupBy("question_id").agg(F.count("*").alias("_n"), F.min("score").alias("_least"))
+    bound = F.when(F.col("_n") >= k, F.col("_least")).otherwise(F.lit(float("-inf")))
+    others = qb.join(reached, "question_id", "left").withColumn("bound", F.coalesce(bound, F.lit(float("-inf"))))
+    others = others.withColumn("vb", each(1, "n_v"))
+    return first.unionByName(met(others, vb.where("vb > 0")))
 
 
 # --- routing ------------------------------------------------------------------------------------

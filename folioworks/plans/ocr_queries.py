@@ -55,13 +55,25 @@ def entries(spark, sf_dir):
     return ocr.section_entries(ocr.sections(items(spark, sf_dir), ORDER))
 
 
-@query("ocr_sections", f"WITH {_SECTIONS} SELECT doc, section_id, heading, full_text, image_ids, page_range FROM secs")
-def ocr_sections(spark, sf_dir):
-    out = ocr.sections(items(spark, sf_dir), ORDER)
+_SECTIONS_SQL = f"WITH {_SECTIONS} SELECT doc, section_id, heading, full_text, image_ids, page_range FROM secs"
+
+
+def _shown_sections(out):
     ids = F.array_join(F.transform("images", lambda i: i["image_id"]), ",")
     return out.select("doc", "section_id", "heading", "full_text", ids.alias("image_ids"), _pages().alias("page_range"))
 
 
+@query("ocr_sections", _SECTIONS_SQL)
+def ocr_sections(spark, sf_dir):
+    return _shown_sections(ocr.sections(items(spark, sf_dir), ORDER))
+
+
+@query("ocr_sections_blocked", _SECTIONS_SQL)
+def ocr_sections_blocked(spark, sf_dir):
+    """The same sections where documents are longer than a block, as for books of any length."""
+    return _shown_sections(ocr.sections(items(spark, sf_dir), ORDER, rows_per_block=2000))
+
+
 @query(
     "section_entries",
     f"""WITH RECURSIVE {_ENTRIES} SELECT n.doc, n.id, n.heading, n.full_text, n.image_ids, n.page_range, n.image_count > 0 AS has_images, n.image_count,

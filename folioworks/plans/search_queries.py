@@ -113,6 +113,13 @@ def routed_topk(spark, sf_dir):
     return retrieved(spark, sf_dir)
 
 
+@query("routed_topk_blocked", f"{_FOUND} SELECT question_id, index_type, rank, id, score FROM found")
+def routed_topk_blocked(spark, sf_dir):
+    """The same search with both sides in blocks, as for questions beyond the broadcast bound."""
+    v = vectors(spark, sf_dir).withColumnRenamed("index_type", "bucket")
+    return search.routed_topk(routed(spark, sf_dir), v, K, max_questions=0, per_block=(20, 15), strict=True)
+
+
 _CONTEXT = (
     _FOUND
     + """,
