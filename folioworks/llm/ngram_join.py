@@ -128,10 +128,12 @@ def allocate(segments: Segments, pairs: dict[int, int], per_band: dict[int, int]
     Matching a segment exactly counts one error for the pigeonhole, leaving it out none, and matching it within one
     deletion two; so the two go together. ``pairs`` are the pairs that share a key in a slot. A swap is made where the
     pairs that it saves outweigh the rows of the deletion neighbourhoods and the pairs that they add.
-    The pairs of a key are those that a row would be listed with, at most 15.
+    The pairs of a key are those that a row would be listed with, at most 15. All swaps together must also save more
+    than another pass over the texts costs, which is put at a row for every key.
     """
     dropped: set[int] = set()
     raised: set[int] = set()
+    saved, again = 0, sum(sets * segments.counts[band] for band, sets in per_band.items())
     for band, sets in per_band.items():
         slots = [s for s in segments.slots(band).tolist() if s < LAST_SLOT]
         if len(slots) < 2:
@@ -144,8 +146,9 @@ def allocate(segments: Segments, pairs: dict[int, int], per_band: dict[int, int]
                 break
             raised.add(cheap)
             dropped.add(dear)
+            saved += pairs.get(dear, 0)
             by_cost = by_cost[1:-1]
-    return dropped, raised
+    return (dropped, raised) if saved > again else (set(), set())
 
 
 def similar_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
