@@ -1,6 +1,7 @@
 """Operators on documents against plain Python, on real rows, edge cases and empty tables."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -285,6 +286,25 @@ def test_paraphrases_and_edges(spark, documents, edge_docs, no_docs):
     assert not any(r["contaminated"] for r in rows_of(decontamination.decontaminate(docs, items.where("false"))))
 
 
+def test_long_items(spark, documents):
+    """Items of 300 and 1,000 words: whole, with every fourth word replaced, longer by a fifth, and only a third of one."""
+    pick = random.Random(11)
+    made = {i: [f"{pick.choice('bcdfgh')}{pick.randrange(4000)}" for _ in range(n)] for i, n in ((1, 300), (2, 1000))}
+    lead = " ".join(documents[1]["text"].split()[:300])
+    rows, wanted = [], {}
+    for i, w in made.items():
+        replaced = ["other" if k % 4 == 3 else x for k, x in enumerate(w)]
+        longer = [y for k, x in enumerate(w) for y in ([x, "and"] if k % 5 == 0 else [x])]
+        for words_there in (w, replaced, longer, w[: len(w) // 3]):
+            rows.append((len(rows), f"{lead} {' '.join(words_there)} {lead}"))
+            wanted[len(rows) - 1] = None if len(words_there) < len(w) else i
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in made.items()], "item_id long, text string")
+    got = {r["doc_id"]: r for r in rows_of(decontamination.decontaminate(docs, items))}
+    assert {i: r["item_id"] for i, r in got.items()} == wanted
+    assert got[0]["overlap"] == got[4]["overlap"] == 1.0 and got[1]["overlap"] == 0.75
+
+
 @settings(max_examples=100, deadline=None)
 @given(*[st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), max_size=12)] * 2)
 def test_common_subsequence(a, b):
