@@ -305,6 +305,33 @@ def test_long_items(spark, documents):
     assert got[0]["overlap"] == got[4]["overlap"] == 1.0 and got[1]["overlap"] == 0.75
 
 
+def test_thousands_of_items(spark):
+    """More items than the space has dimensions: copies and paraphrases with 60 % of the words, against brute force."""
+    rng = np.random.default_rng(3)
+    often = 1 / np.arange(3, 20_003)
+    words_of = lambda n: [f"w{k}" for k in rng.choice(20_000, n, p=often / often.sum())]
+    items = [words_of(rng.integers(15, 60)) for _ in range(3000)] + [words_of(200) for _ in range(30)]
+    rows = []
+    for i in range(0, len(items), 15):
+        copy = [w if k % 5 < 3 else "other" for k, w in enumerate(items[i])] if i % 2 else items[i]
+        rows.append((i, " ".join(words_of(rng.integers(0, 150)) + copy + words_of(rng.integers(0, 150)))))
+    rows += [(10_000 + k, " ".join(words_of(300))) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in rows_of(decontamination.decontaminate(docs, benchmark))}
+    assert all(got[i] is not None for i in range(0, len(items), 15))
+    split = [[w.encode() for w in item] for item in items[:3000]]
+    places = [decontamination.word_places(w) for w in split]
+    for i, text in rows[:6] + rows[-2:]:
+        w, best = decontamination.tokens(text), None
+        for at in range(0, len(w), decontamination.CHUNK):
+            passage = w[max(0, at - decontamination.CHUNK) : at + 3 * decontamination.CHUNK]
+            for k, item in enumerate(split):
+                leak, share = decontamination.is_leak(item, places[k], item, passage)
+                best = min(best or (-share, k), (-share, k)) if leak else best
+        assert got[i] == (best and best[1])
+
+
 @settings(max_examples=100, deadline=None)
 @given(*[st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), max_size=12)] * 2)
 def test_common_subsequence(a, b):
