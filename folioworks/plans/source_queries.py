@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioworks import fixed_values as fv
@@ -121,11 +124,31 @@ def extraction_prompts(spark, sf_dir):
 )
 def markdown_files(spark, sf_dir):
     path = folder(spark)
-    docs = table(spark, sf_dir, "documents").repartition("source").sortWithinPartitions("source", "doc_id")
-    docs.select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
-    found = files.read_markdown(spark, path, "*.txt").select("path", F.md5("text").alias("digest"))
+    sinks.write_markdown(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path)
+    found = files.read_markdown(spark, path, "*.txt")
     listed = files.list_files(spark, path, "*.txt").where("size_bytes > 0").select("path")
-    return found.join(listed, "path").select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "digest")
+    runs = found.join(listed, "path").select(
+        F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"),
+        F.regexp_extract("path", "run=([0-9]+)/", 1).cast("long").alias("run"),
+        "text",
+    )
+    # The digest of a whole source is one chain over its files: they pass by one at a time, never as one string.
+    ordered = runs.repartition("source").sortWithinPartitions("source", "run").select("source", "text")
+    return ordered.mapInArrow(_digests, "source string, digest string")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Source and MD5 of all its texts, one after the other."""
+    source, digest = None, None
+    for batch in batches:
+        for here, text in zip(*batch.columns, strict=True):
+            if digest is None or here.as_py() != source:
+                if digest is not None:
+                    yield pa.RecordBatch.from_pylist([{"source": source, "digest": digest.hexdigest()}])
+                source, digest = here.as_py(), hashlib.md5()
+            digest.update(text.as_buffer())
+    if digest is not None:
+        yield pa.RecordBatch.from_pylist([{"source": source, "digest": digest.hexdigest()}])
 
 
 @query(
