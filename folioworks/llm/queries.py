@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import chat, decontamination, language_id, mixing, ngram_join, sharding, substring_dedup, token_counts, url_filter, vector_dedup
+from folioworks.llm import (
+    chat,
+    decontamination,
+    language_id,
+    lexical_search,
+    mixing,
+    ngram_join,
+    sequence_packing,
+    sharding,
+    substring_dedup,
+    token_counts,
+    url_filter,
+    vector_codes,
+    vector_dedup,
+)
 from folioworks.llm.shared import staging_folder
 from folioworks.plans.registry import table
 
@@ -140,3 +154,84 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_benchmark_decontamination")
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_best_fit_packing")
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    packed = sequence_packing.pack(table(spark, sf_dir, "documents"), tokenizer, capacity=1024, end_id=2)
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+def _codes_sql() -> str:
+    """Two rounds of codebooks of 16 parts of four dimensions, entry by entry."""
+    dims = range(1, 5)
+    distance = " + ".join(f"(p.v[{d}] - b.v[{d}]) * (p.v[{d}] - b.v[{d}])" for d in dims)
+    means = ", ".join(f"floor(sum(p.v[{d}])::DOUBLE / count(*))::BIGINT" for d in dims)
+
+    def near(books: str) -> str:
+        # The entry is the last part of what is minimised, so the lower index wins a tie.
+        return f"SELECT p.rn, p.part, min(({distance}) * 256 + b.entry) AS x FROM p JOIN {books} b USING (part) GROUP BY ALL"
+
+    def moved(books: str, near: str) -> str:
+        return f"""SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM {books} b LEFT JOIN (
+          SELECT p.part, n.x % 256 AS entry, [{means}] AS v FROM p JOIN {near} n USING (rn, part) GROUP BY ALL) m
+          USING (part, entry)"""
+
+    return f"""
+    WITH numbers AS MATERIALIZED (
+      SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    kept AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, q) AS rn FROM numbers),
+    p AS MATERIALIZED (SELECT rn, part, q[4 * part + 1 : 4 * part + 4] AS v FROM kept, range(16) r(part)),
+    b0 AS MATERIALIZED (SELECT part, rn - 1 AS entry, v FROM p WHERE rn <= 64),
+    n0 AS MATERIALIZED ({near("b0")}), b1 AS MATERIALIZED ({moved("b0", "n0")}),
+    n1 AS MATERIALIZED ({near("b1")}), b2 AS MATERIALIZED ({moved("b1", "n1")}),
+    n2 AS MATERIALIZED ({near("b2")}),
+    coded AS MATERIALIZED (
+      SELECT rn, string_agg(lower(printf('%02x', x % 256)), '' ORDER BY part) AS code, sum(x // 256)::BIGINT AS error
+      FROM n2 GROUP BY rn),
+    digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+    FROM kept JOIN coded USING (rn), digest
+    """
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256")
+    )
+
+
+@query(
+    "op13_ranked_search",
+    r"""
+    WITH letters AS (
+      SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    d AS MATERIALIZED (SELECT doc_id, terms, len(terms) AS n FROM letters WHERE len(terms) > 0),
+    tf AS MATERIALIZED (
+      SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM d) GROUP BY ALL),
+    sums AS MATERIALIZED (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM d),
+    w AS MATERIALIZED (
+      SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), sums),
+    q AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    scored AS (
+      SELECT item_id, doc_id,
+             sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term), sums GROUP BY item_id, doc_id),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)

@@ -190,11 +190,11 @@ def pieces(text: str) -> list[str]:
     if not text:
         return []
     cut = text.split(" ")
-    if not any(_white_edge(p) for p in set(cut)):
+    if not any(white_edge(p) for p in set(cut)):
         return [cut[0], *[" " + p for p in cut[1:]]]
     out, last = [cut[0]], cut[0]
     for p in cut[1:]:
-        if _white_edge(p) or _white_edge(last):
+        if white_edge(p) or white_edge(last):
             out[-1] += " " + p
         else:
             out.append(" " + p)
@@ -202,6 +202,6 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def _white_edge(piece: str) -> bool:
+def white_edge(piece: str) -> bool:
     # U+180E was white space in older versions of Unicode.
     return not piece or piece[0].isspace() or piece[-1].isspace() or "᠎" in piece
