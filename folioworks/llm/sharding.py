@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -14,14 +14,18 @@ from pyspark.sql.window import Window
 
 from folioworks.llm.shared import stage, text_bytes
 
-#: A key has 32 hexadecimal digits, and a round of probes resolves so many of them: 256 cells in every open cell.
-DIGITS, STEP, TEXT_DIGITS = 32, 2, 16
+#: A key has 48 hexadecimal digits, and a round of probes resolves so many of them: 256 cells in every open cell.
+DIGITS, STEP, TEXT_DIGITS = 48, 2, 16
 
 
 def sort_key(text: Column, doc_id: Column) -> Column:
-    """Hash of the text, then hash of the row: copies of a text are neighbours, and the id parts them."""
-    digits = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(F.coalesce(text, F.lit(""))), F.xxhash64(doc_id, text))]
-    return F.concat(*digits)
+    """Hashes of the text, of the row and of its place: copies of a text are neighbours, and the id parts them.
+
+    The place parts rows that are equal in text and id. It is stable only in a staged table.
+    """
+    place = F.xxhash64(F.monotonically_increasing_id())
+    hashes = F.xxhash64(F.coalesce(text, F.lit(""))), F.xxhash64(doc_id, text), place
+    return F.concat(*(F.lpad(F.hex(h), 16, "0") for h in hashes))
 
 
 def shard(
@@ -34,11 +38,13 @@ def shard(
     that a splitter falls into is probed more finely in the next round, until an edge is within ``tolerance`` of a
     shard's bytes. Once a cell is down to the copies of one text, its nearer end serves if it is within
     ``group_tolerance``, so copies stay together; a larger group is parted by the second hash, so that a text that
-    fills a third of the table is spread over shards. Each shard is cut by further splitters into slices of some
-    ``slice_rows`` rows, at least four, so that the one exchange never brings a whole shard to one task.
+    fills a third of the table is spread over shards, and so are equal rows, which the third hash parts. Each shard is
+    cut by further splitters into slices of some ``slice_rows`` rows, at least four, so that the one exchange never
+    brings a whole shard to one task. Those splitters count bytes; where rows are counted that are many more (empty
+    texts), a second search by rows cuts them.
 
     Keys and sizes are staged in the shared folder, since every round reads them. The driver sees cell totals only:
-    256 for each splitter that is still open. Rows that are equal in text and id cannot be parted.
+    256 for each splitter that is still open.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, shard, slot (from 0, without gaps, in key order) for every
     row. A NULL text has size 1 and checksum 0. Repeated rows and NULL ids stay; an empty table gives an empty table;
@@ -56,7 +62,15 @@ def shard(
     total, slices = sums["n"] or 0, max(4, -(-sums["rows"] // (shards * slice_rows)))
     ideal = total / shards
     cuts = splitters(keyed, total, shards * slices, ideal * tolerance, ideal * group_tolerance, slices)
-    return numbered(keyed, cuts, slices)
+    bounds = cuts[slices - 1 :: slices]
+    if max(part_rows(keyed, cuts).values(), default=0) > 2 * slice_rows:
+        near = slice_rows / 4
+        cuts = sorted({*cuts, *splitters(_counted(keyed), sums["rows"], -(-sums["rows"] // slice_rows), near, near, 1)})
+    return numbered(keyed, cuts, bounds)
+
+
+def _counted(keyed: DataFrame) -> DataFrame:
+    return keyed.select("key", F.lit(1).cast("long").alias("size"))
 
 
 def splitters(
@@ -101,33 +115,46 @@ def cell_bytes(keyed: DataFrame, prefixes: list[str]) -> dict[str, dict[str, int
     return out
 
 
-def numbered(keyed: DataFrame, cuts: list[str], slices: int) -> DataFrame:
-    """Shard and slot of every row: its slice's first slot plus its rank in the slice."""
+def part_rows(keyed: DataFrame, cuts: list[str]) -> dict[int, int]:
+    """Rows between every two cuts."""
+    parted = keyed.select("key").mapInArrow(_part(np.array(cuts, _KEY)), "key string, part int")
+    return {r["part"]: r["count"] for r in parted.groupBy("part").count().collect()}
+
+
+def numbered(keyed: DataFrame, cuts: list[str], bounds: list[str]) -> DataFrame:
+    """Shard and slot of every row: its slice's first slot plus its rank in the slice.
+
+    ``bounds`` are those of the cuts that part shards.
+    """
     kind = dict(keyed.dtypes)["doc_id"]
     parted = keyed.mapInArrow(
-        _part(np.array(cuts, "S33")), f"doc_id {kind}, size long, text_crc32 long, key string, part int"
+        _part(np.array(cuts, _KEY)), f"doc_id {kind}, size long, text_crc32 long, key string, part int"
     )
-    counts = {r["part"]: r["count"] for r in parted.groupBy("part").count().collect()}
-    first, starts = 0, []
+    counts = part_rows(keyed, cuts)
+    shard, first, starts = 0, 0, []
     for part in range(len(cuts) + 1):
-        first = 0 if part % slices == 0 else first
-        starts.append((part, first))
+        here = bisect_right(bounds, cuts[part - 1]) if part else 0
+        first, shard = (first, shard) if here == shard else (0, here)
+        starts.append((part, shard, first))
         first += counts.get(part, 0)
-    starts = keyed.sparkSession.createDataFrame(starts, "part int, first long")  # one row per slice
+    starts = keyed.sparkSession.createDataFrame(starts, "part int, shard int, first long")  # one row per slice
     rank = F.row_number().over(Window.partitionBy("part").orderBy("key", "doc_id"))
     return parted.withColumn("rank", rank).join(F.broadcast(starts), "part").select(
         "doc_id",
         "size",
         "text_crc32",
-        F.floor(F.col("part") / slices).cast("int").alias("shard"),
+        "shard",
         (F.col("first") + F.col("rank") - 1).alias("slot"),
     )
 
 
+_KEY = f"S{DIGITS + 1}"  # a cut may have a "~" behind its digits
+
+
 def _part(cuts: np.ndarray):
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.array(batch.column("key").cast(pa.binary()).to_pylist(), "S32")
+            keys = np.array(batch.column("key").cast(pa.binary()).to_pylist(), _KEY)
             parts = np.searchsorted(cuts, keys, side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts)], [*batch.schema.names, "part"])
 

@@ -209,10 +209,26 @@ def test_language_stage(steps):
 
 def test_join_stage_keeps_one_of_each_group(steps):
     before = [(r["doc_id"], r["text"]) for r in steps[1].collect()]
-    want = sorted({str(i) for i, _, least in joined(before, 5, 80) if i is None or i == least})
+    want = sorted({str(i) for i, _, least in joined(before, 5, 80) if i == least})  # NULL only if none has an id
     assert sorted(str(r["doc_id"]) for r in steps[2].collect()) == want
 
 
+def test_join_stage_judges_rows(spark, sf):
+    """One id for two texts, NULL ids in a group, and equal rows: one row of each group stays, and no other goes."""
+    base = [f"w{i}" for i in range(200)]
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (3, 190, 197)]
+    other = " ".join(f"u{i}" for i in range(50))
+    rows = [(1, " ".join(base)), (2, near[0]), (2, other), (None, near[1]), (None, near[2]), (3, other + " more")]
+    rows += [(9, "alone and seen three times over")] * 3 + [(None, "no id at all but a text")] * 2 + [(4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.selectExpr("*", "'a' AS key", "'b' AS component_id", "'c' AS row").repartition(4)
+    got = corpus_pipeline.drop_near_copies(spark, docs, sf)
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    want = [(1, " ".join(base)), (2, other), (9, rows[6][1]), (None, rows[9][1]), (4, None)]
+    assert kept == sorted(want, key=str)
+
+
 def test_decontamination_stage(steps, sf, spark):
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     gone = {r["doc_id"] for r in steps[2].collect()} - {r["doc_id"] for r in steps[3].collect()}
