@@ -22,19 +22,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of documents with similar word n-grams, keep the one with the smallest doc_id.
+    """Of every group of documents with similar word n-grams, keep one: that with the smallest doc_id.
 
-    Pairs of five-word shingles with a similarity of 0.8 or more link. A row without an id stays; of rows that are
-    equal in id and text one stays.
+    Pairs of five-word shingles with a similarity of 0.8 or more link. A document is a row, known by a hash of id and
+    text, so ids that occur with different texts are judged text by text. A NULL id is behind all others, the smaller
+    hash decides between equal ids, and of rows that are equal in id and text one stays.
     """
-    groups = stage(ngram_join.similar_groups(docs, width=5, percent=80))
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
-    again = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    row = F.xxhash64("doc_id", "text")
+    ids = docs.groupBy(row.alias("_row")).agg(F.min("doc_id").alias("_id"), F.count("*").alias("_times"))
+    groups = ngram_join.similar_groups(docs.select(row.alias("doc_id"), "text"), width=5, percent=80)
+    groups = groups.groupBy(F.col("doc_id").alias("_row")).agg(F.min("component_id").alias("_component"))
+    members = stage(groups.join(ids, "_row"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_row"))).alias("_first")
+    first = members.groupBy("_component").agg(first).select(F.col("_first._row").alias("_row"))
+    dropped = members.join(first, "_row", "left_anti").select("_row")
+    kept = docs.withColumn("_row", row).join(dropped.hint("shuffle_hash"), "_row", "left_anti")
+    again = members.where("_times > 1").select("_row")
     if again.isEmpty():
-        return kept
-    single = kept.join(again, "doc_id", "left_anti").select(docs.columns)
-    repeated = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+        return kept.select(docs.columns)
+    single = kept.join(again, "_row", "left_anti").select(docs.columns)
+    repeated = kept.join(again, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
     return single.unionByName(repeated)
 
 
