@@ -54,28 +54,41 @@ def ordered_scan(
     sums: dict[str, Column] | None = None,
     previous: dict[str, str] | None = None,
     rows_per_block: int | None = ROWS_PER_BLOCK,
+    climbs: dict[str, tuple[Column, Column]] | None = None,
 ) -> DataFrame:
-    """Add running sums and previous-row values along ``order`` within ``keys``.
+    """Add running sums, previous-row values and climbing maxima along ``order`` within ``keys``.
 
     ``sums`` maps a new column to the expression summed up
-    to and including the row; ``previous`` maps a new column to the column read one row before.
+    to and including the row; ``previous`` maps a new column to the column read one row before; ``climbs`` maps a new
+    column to (value, step), where the step is the same in a whole group: the column is max(value, previous + step),
+    in closed form the running maximum of ``value - rank * step`` plus ``rank * step``.
     ``rows_per_block=None`` says that every group is known to be short.
     """
-    sums, previous = sums or {}, previous or {}
+    sums, previous, climbs = sums or {}, previous or {}, climbs or {}
     valued = df.withColumns({f"_v_{name}": expr for name, expr in sums.items()})
+    valued = valued.withColumns({f"_v_{name}": value for name, (value, _) in climbs.items()})
+    valued = valued.withColumns({f"_d_{name}": step for name, (_, step) in climbs.items()})
     rows = None if rows_per_block is None else with_blocks(valued, keys, order, rows_per_block)
     if rows is None:
         over = Window.partitionBy(*keys).orderBy(*order)
+        valued = valued.withColumn("_i", F.row_number().over(over)) if climbs else valued
         upto = over.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return valued.select(
             *df.columns,
             *[F.sum(f"_v_{name}").over(upto).alias(name) for name in sums],
             *[F.lag(src).over(over).alias(name) for name, src in previous.items()],
+            *[_climb(name, upto).alias(name) for name in climbs],
         )
-    return _blocked(df.columns, rows, keys, order, sums, previous)
+    return _blocked(df.columns, rows, keys, order, sums, previous, climbs)
 
 
-def _blocked(columns, rows, keys, order, sums, previous) -> DataFrame:
+def _climb(name: str, upto) -> Column:
+    """The climbing maximum over a window whose rows have the ranks ``_i``."""
+    steps = F.col("_i") * F.col(f"_d_{name}")
+    return F.max(F.col(f"_v_{name}") - steps).over(upto) + steps
+
+
+def _blocked(columns, rows, keys, order, sums, previous, climbs) -> DataFrame:
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -83,14 +96,29 @@ def _blocked(columns, rows, keys, order, sums, previous) -> DataFrame:
     lasts = (
         [F.max_by(F.struct(*sorted(set(previous.values()))), F.struct(*order)).alias("_last")] if previous else []
     )
-    per_block = rows.groupBy(*keys, "_block").agg(*totals, *lasts)
+    if climbs:
+        rows = rows.withColumn("_i", F.row_number().over(inside))
+    # The largest value of a block less the steps from its beginning, and its number of rows.
+    reached = [
+        column
+        for name in climbs
+        for column in (
+            F.max(F.col(f"_v_{name}") - F.col("_i") * F.col(f"_d_{name}")).alias(f"_m_{name}"),
+            F.max(f"_d_{name}").alias(f"_d_{name}"),
+        )
+    ]
+    count = [F.count(F.lit(1)).alias("_n")] if climbs else []
+    per_block = rows.groupBy(*keys, "_block").agg(*totals, *lasts, *reached, *count)
 
     over = Window.partitionBy(*keys).orderBy("_block")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
+    if climbs:
+        per_block = per_block.withColumn("_f", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     carried = per_block.select(
         *[F.col(k).alias(f"_k_{k}") for k in [*keys, "_block"]],
         *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums],
         *([F.lag("_last").over(over).alias("_carry")] if previous else []),
+        *[_before_block(name, before).alias(f"_c_{name}") for name in climbs],
     )
 
     local = rows.select(
@@ -98,6 +126,7 @@ def _blocked(columns, rows, keys, order, sums, previous) -> DataFrame:
         *[F.sum(f"_v_{name}").over(upto).alias(f"_s_{name}") for name in sums],
         *([F.row_number().over(inside).alias("_rn")] if previous else []),
         *[F.lag(src).over(inside).alias(f"_p_{name}") for name, src in previous.items()],
+        *[_climb(name, upto).alias(f"_l_{name}") for name in climbs],
     )
     joined = local.join(carried, _same([*keys, "_block"], "_k_"))
     return joined.select(
@@ -107,9 +136,19 @@ def _blocked(columns, rows, keys, order, sums, previous) -> DataFrame:
             F.when(F.col("_rn") == 1, F.col(f"_carry.{src}")).otherwise(F.col(f"_p_{name}")).alias(name)
             for name, src in previous.items()
         ],
+        *[
+            F.greatest(f"_l_{name}", F.col(f"_c_{name}") + F.col("_i") * F.col(f"_d_{name}")).alias(name)
+            for name in climbs
+        ],
     )
 
 
+def _before_block(name: str, before) -> Column:
+    """What the climb has reached at the last row before a block, of which there are ``_f``; NULL before the first."""
+    step = F.col(f"_d_{name}")
+    return F.max(F.col(f"_m_{name}") - F.col("_f") * step).over(before) + F.col("_f") * step
+
+
 def join_texts(
     df: DataFrame, keys: list[str], order: str, text: str, sep: str, name: str, rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:

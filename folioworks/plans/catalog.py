@@ -13,6 +13,7 @@ from folioworks.plans import (  # noqa: F401
     registry,
     search_queries,
     source_queries,
+    stream_queries,
 )
 
 

@@ -2,16 +2,19 @@
 
 Batches are appended to a store folder, one subfolder per batch, and written with overwrite: a
 batch that runs again after a failure replaces its own files and nothing else. Readers take the
-last row per key. ``files_per_trigger`` is the rate limit.
+last row per key. ``files_per_trigger`` limits the files of a batch; a rate between items is ``operators.pacing``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from folioworks.operators import records, store
 
@@ -77,6 +80,73 @@ def read_bucket_store(spark: SparkSession, path: str) -> DataFrame:
     return read_latest(spark, path, store.KEYS, "file_time", "file_path", "text").drop("file_time", "file_path")
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for a query that is started inside; it keeps them, the session doesn't."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: State in RocksDB; retries come with the next batch that has data, never in batches of their own.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+_EXTRACTED = "chunk_text string, data string, error string"
+
+
+class _Extraction(StatefulProcessor):
+    """One id: extracted when it first comes, and again in every later batch until it has data."""
+
+    def __init__(self, schema: str, extractor: Callable[[str, str], str] | None):
+        self.schema, self.extractor = schema, extractor
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.attempts = handle.getValueState("attempts", "n int, done boolean")
+        self.waiting = handle.getValueState("waiting", "chunk_text string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        texts = [t for frame in rows for t in frame["chunk_text"].dropna().tolist()]
+        known = self.attempts.get()
+        if known is None:
+            yield self._try(key, min(texts, default=None), 0, timerValues)
+        elif not known[1]:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            yield self._try(key, self.waiting.get()[0], known[0], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self.attempts.get()
+        if known is not None and not known[1]:
+            yield self._try(key, self.waiting.get()[0], known[0], timerValues)
+
+    def _try(self, key, text: str | None, attempts: int, times) -> pd.DataFrame:
+        data = error = None
+        if self.extractor is not None:
+            try:
+                data = self.extractor(text, self.schema)
+            except Exception as e:  # a failed item is a row, not a failed job
+                error = str(e)
+        done = error is None
+        self.attempts.update((attempts + 1, done))
+        if done:
+            self.waiting.clear()
+        else:
+            self.waiting.update((text,))
+            self.handle.registerTimer(times.getCurrentProcessingTimeInMs() + 1)
+        return pd.DataFrame({"id": [key[0]], "chunk_text": [text], "data": [data], "error": [error]})
+
+    def close(self) -> None:
+        pass
+
+
 def extract_pending(
     chunks: DataFrame,
     path: str,
@@ -86,40 +156,67 @@ def extract_pending(
 ) -> StreamingQuery:
     """Resumable extraction of a stream of chunks (id, chunk_text): every id until it has data, and then no more.
 
-    A batch extracts its distinct ids, and those whose extraction has failed so far, unless an earlier batch has their
-    data. What is done and what has failed is kept as two small tables of ids beside the output, written per batch, so
-    a batch reads ids only, never earlier results, and the stream itself has no state that grows. A batch that is run
-    again doesn't count its own earlier output.
+    An id is keyed state: the number of its attempts, whether it has data, and, while it hasn't, the text to try again.
+    A timer brings a failed id back in the next batch, whether or not the input has it again. So a batch touches the
+    ids it is given and those that wait, and reads nothing of what earlier batches wrote; what is kept for an id that
+    is done is one small row in RocksDB. A batch that is run again finds the state as it was before. Of several texts
+    of one id in its first batch the smallest is taken.
     """
-    spark = chunks.sparkSession
-    done_at, failed_at = f"{path}/_done", f"{path}/_failed"
-
-    def earlier(folder: str, number: int, columns: str) -> DataFrame:
-        try:
-            return read_batches(spark, folder).where(F.col("batch") < number)
-        except Exception as e:  # the first batch finds nothing yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return spark.createDataFrame([], columns)
+    kind = dict(chunks.dtypes)["id"]
+    with _settings(chunks.sparkSession, _STATE):
+        tried = (
+            chunks.select("id", "chunk_text")
+            .groupBy("id")
+            .transformWithStateInPandas(
+                _Extraction(schema, extractor), f"id {kind}, {_EXTRACTED}", "Append", "ProcessingTime"
+            )
+        )
+        if extractor is None:  # the placeholder needs no Python and never fails
+            return append_batches(tried, path, checkpoint, lambda batch: records.extract(batch, schema))
+        return append_batches(tried.drop("chunk_text"), path, checkpoint)
+
+
+class _Stop(Exception):
+    """Raised in place of a batch, which so stays uncommitted."""
+
+
+def save_until(
+    results: DataFrame, path: str, checkpoint: str, failed: Column, most_failed: float, least_rows: int = 1
+) -> bool:
+    """Append batches of results to ``path``, and stop behind the first in which too many rows fail.
+
+    The rows of a batch and those that ``failed`` holds for are observed while the batch is written. If more than the
+    share ``most_failed`` of at least ``least_rows`` rows fail, the batch stays written and committed, and the stream
+    stops before the next one, of which nothing is written. The next call goes on from there (from the checkpoint), so
+    nothing is lost or done twice, whatever made the rows fail can be mended in between.
+
+    Returns whether the input was used up.
+    """
+    tripped = False
 
     def write(batch: DataFrame, number: int) -> None:
-        done = earlier(done_at, number, "id string, batch int").select("id").distinct()
-        failed = earlier(failed_at, number, "id string, chunk_text string, batch int").select("id", "chunk_text")
-        todo = batch.select("id", "chunk_text").unionByName(failed).dropDuplicates(["id"])
-        todo = todo.join(done, "id", "left_anti")
-        out = f"{path}/batch={number}"
-        records.extract(todo, schema, extractor).write.mode("overwrite").parquet(out)
-        results = spark.read.parquet(out)
-        results.where(F.col("data").isNotNull()).select("id").write.mode("overwrite").parquet(f"{done_at}/batch={number}")
-        again = results.where(F.col("data").isNull()).select("id")
-        todo.join(again, "id", "left_semi").write.mode("overwrite").parquet(f"{failed_at}/batch={number}")
-
-    return (
-        chunks.writeStream.foreachBatch(write)
+        nonlocal tripped
+        if tripped:
+            raise _Stop(f"stopped before batch {number}")
+        seen = Observation(f"batch {number}")
+        counts = F.count(F.lit(1)).alias("rows"), F.count(F.when(failed, 1)).alias("failed")
+        batch.observe(seen, *counts).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        found = seen.get
+        tripped = found["rows"] >= max(1, least_rows) and found["failed"] > most_failed * found["rows"]
+
+    query = (
+        results.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if not tripped or "stopped before batch" not in str(e):
+            raise
+        return False
+    return True
 
 
 def save_results(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
