@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioworks import fixed_values as fv
 from folioworks.functions.text import name_tokens
 from folioworks.functions.vectors import hashed_embedding, l2_normalize
-from folioworks.operators import prompts, search
+from folioworks.operators import prompts, pruned_search, search
 from folioworks.plans.registry import query, spread, table
 
 BOOST_WORDS = ("tion", "ung")
@@ -83,13 +83,13 @@ def l2_normalize_query(spark, sf_dir):
     return unit.withColumn("x", F.round("x", 6) + 0.0)
 
 
-@query(
-    "vector_topk",
-    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+_TOPK_SQL = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 p AS (SELECT a.vec_id AS question_id, b.vec_id AS id, round(list_inner_product(a.vec, b.vec), 6) AS score FROM v a, v b),
 k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM p)
-SELECT question_id, rank, id, score FROM k WHERE rank <= 5""",
-)
+SELECT question_id, rank, id, score FROM k WHERE rank <= 5"""
+
+
+@query("vector_topk", _TOPK_SQL)
 def vector_topk(spark, sf_dir):
     one = F.lit("all").alias("bucket")
     v = table(spark, sf_dir, "embeddings")
@@ -97,6 +97,14 @@ def vector_topk(spark, sf_dir):
     return search.exact_topk(asked, v.select(F.col("vec_id").alias("id"), one, F.col("embedding").alias("vec")), 5)
 
 
+@query("vector_topk_pruned", _TOPK_SQL)
+def vector_topk_pruned(spark, sf_dir):
+    """The same from an index of blocks, where a question skips blocks that can't hold one of its best."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.lit("all").alias("bucket"), F.col("embedding").alias("vec"))
+    index = pruned_search.build_index(v.withColumnRenamed("vec_id", "id"), rows_per_block=100)
+    return pruned_search.pruned_topk(v.withColumnRenamed("vec_id", "question_id"), index, 5)
+
+
 @query(
     "route_questions",
     f"""{_ROUTED} SELECT question_id, max(index_type) FILTER (WHERE rank = 1) AS index_type, max(score) AS route_score,
