@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioworks.functions import schemas as sc
 from folioworks.functions import templates as tp
 from folioworks.functions.vectors import as_doubles
 from folioworks.operators import records, store
+from folioworks.operators.bucket_table import BucketTable
 from folioworks.plans.book_queries import WS
 from folioworks.plans.document_queries import first_of_each_sql, spaces_sql
 from folioworks.plans.registry import query, spread, table
+from folioworks.session import shared_dir
 
 # --- JSONL --------------------------------------------------------------------------------------
 
@@ -223,18 +227,36 @@ def index_stats(spark, sf_dir):
     return store.index_stats(_bucket(spark, sf_dir), model="bge-m3")
 
 
-@query(
-    "index_upsert",
-    """WITH old AS (SELECT 'b' || label AS index_type, vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+_UPSERT_SQL = """WITH old AS (SELECT 'b' || label AS index_type, vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 incoming AS (SELECT 'b' || label AS index_type, CASE WHEN vec_id % 3 = 0 THEN vec_id ELSE vec_id + 1000000 END AS id,
     list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 2) AS vec, vec_id * 2 AS seq FROM embeddings
   UNION ALL SELECT 'b' || label, vec_id - vec_id % 2, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3), vec_id * 2 + 1 FROM embeddings),
 fresh AS (SELECT index_type, id, arg_max(vec, seq) AS vec FROM incoming GROUP BY index_type, id),
 merged AS (SELECT * FROM fresh UNION ALL SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.index_type = o.index_type AND f.id = o.id))
-SELECT index_type, id, len(vec) AS dim, round(vec[1], 6) AS first, round(list_inner_product(vec, vec), 6) AS norm2 FROM merged""",
-)
+SELECT index_type, id, len(vec) AS dim, round(vec[1], 6) AS first, round(list_inner_product(vec, vec), 6) AS norm2 FROM merged"""
+
+
+@query("index_upsert", _UPSERT_SQL)
 def index_upsert(spark, sf_dir):
     old = _bucket(spark, sf_dir)
+    one, two = _incoming(spark, sf_dir)
+    incoming = store.checked(one.unionByName(two), store.index_stats(old))
+    return _merged_shown(store.upsert(old, incoming))
+
+
+@query("index_upsert_bucketed", _UPSERT_SQL)
+def index_upsert_bucketed(spark, sf_dir):
+    """The same as two upserts into a table that is bucketed by key."""
+    number = uuid.uuid4().hex
+    kept = BucketTable(f"vectors_{number}", f"{shared_dir(spark)}/tables/{number}", 8, "seq")
+    old = _bucket(spark, sf_dir)
+    kept.create(old.withColumn("seq", F.lit(None).cast("bigint")))
+    for rows in _incoming(spark, sf_dir):
+        kept.upsert(store.checked(rows, store.index_stats(old)))
+    return _merged_shown(kept.read(spark))
+
+
+def _incoming(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     one = e.selectExpr(
         "concat('b', label) AS index_type", "CASE WHEN vec_id % 3 = 0 THEN vec_id ELSE vec_id + 1000000 END AS id",
@@ -244,8 +266,10 @@ def index_upsert(spark, sf_dir):
         "concat('b', label) AS index_type", "vec_id - vec_id % 2 AS id",
         "transform(cast(embedding as array<double>), x -> x * 3) AS vec", "vec_id * 2 + 1 AS seq",
     )
-    incoming = store.checked(one.unionByName(two), store.index_stats(old))
-    merged = store.upsert(old, incoming)
+    return one, two
+
+
+def _merged_shown(merged):
     v = as_doubles(F.col("vec"))
     return merged.select(
         "index_type", "id", F.size("vec").alias("dim"), F.round(F.get("vec", 0), 6).alias("first"),

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from folioworks.operators import pacing
+from folioworks.operators.bucket_table import BucketTable
 from folioworks.plans.registry import query, table
 from folioworks.session import shared_dir
 from folioworks.streaming import ingest
@@ -51,6 +52,31 @@ def rate_schedule_blocked(spark, sf_dir):
     return _rate_schedule(spark, sf_dir, rows_per_block=500)
 
 
+def _in_order(events, parts):
+    """The events in ranges of event_id."""
+    end = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    for n in range(parts):
+        yield events.where((F.col("event_id") >= -(-n * end // parts)) & (F.col("event_id") < -(-(n + 1) * end // parts)))
+
+
+@query(
+    "stream_compacted",
+    """SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type""",
+)
+def stream_compacted(spark, sf_dir):
+    """Batches of a stream that are put into a bucketed table from time to time; the last ones are still folders."""
+    path, keys = folder(spark), ("user_id", "event_type")
+    events = table(spark, sf_dir, "events").select(*keys, "event_id", "value")
+    kept = BucketTable(f"events_{uuid.uuid4().hex}", f"{path}/table", 8, "seq", keys)
+    for n, part in enumerate(_in_order(events, 4)):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        ingest.append_batches(stream, f"{path}/store", f"{path}/checkpoint").awaitTermination()
+        if n % 2 == 0:
+            ingest.compact_batches(spark, f"{path}/store", kept, "event_id")
+    return ingest.read_compacted(spark, f"{path}/store", kept, "event_id")
+
+
 FILES = 8
 
 _STOP_SQL = f"""
@@ -65,11 +91,9 @@ def early_stop(spark, sf_dir):
     """Results come file by file and are saved up to the first batch in which more fail than on the whole."""
     path = folder(spark)
     events = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "error").alias("failed"))
-    most = events.agg(F.max("event_id").alias("last"), F.avg(F.col("failed").cast("int")).alias("share")).first()
-    for n in range(FILES):  # one after the other, so that they are read in this order
-        low, high = -(-n * (most["last"] + 1) // FILES), -(-(n + 1) * (most["last"] + 1) // FILES)
-        part = events.where((F.col("event_id") >= low) & (F.col("event_id") < high))
+    share = events.agg(F.avg(F.col("failed").cast("int"))).first()[0]
+    for part in _in_order(events, FILES):  # one after the other, so that they are read in this order
         part.coalesce(1).write.mode("append").parquet(f"{path}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    ingest.save_until(stream, f"{path}/out", f"{path}/checkpoint", F.col("failed"), most["share"])
+    ingest.save_until(stream, f"{path}/out", f"{path}/checkpoint", F.col("failed"), share)
     return ingest.read_batches(spark, f"{path}/out").select("event_id", "failed", "batch")

@@ -8,15 +8,16 @@ last row per key. ``files_per_trigger`` limits the files of a batch; a rate betw
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from folioworks.operators import records, store
+from folioworks.operators.bucket_table import BucketTable
+from folioworks.session import settings
 
 
 def jsonl_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -55,6 +56,46 @@ def read_latest(spark: SparkSession, path: str, keys: list[str], *seq: str) -> D
     return store.latest(newest, "_seq", keys).drop("_seq", "batch")
 
 
+def compact_batches(spark: SparkSession, path: str, table: BucketTable, *seq: str) -> int:
+    """Upsert batch folders that ``table`` doesn't have yet into it, and return the number of the last one (-1: none).
+
+    The table's ``seq`` column holds (batch, ``seq``), so folders that are compacted twice change nothing. The number of
+    the last one is noted beside the folders when the table is written; if a run ends before that, the next does it
+    again.
+    """
+    last = _compacted(spark, path)
+    rows = read_batches(spark, path).where(F.col("batch") > last)
+    newest = rows.agg(F.max("batch")).first()[0]
+    if newest is None:
+        return last
+    rows = rows.where(F.col("batch") <= newest).withColumn(table.seq, F.struct("batch", *seq)).drop("batch")
+    if spark.catalog.tableExists(table.name):
+        table.upsert(rows)
+    else:
+        table.create(rows)
+    note = spark.range(1).select(F.lit(newest).cast("int").alias("last"))
+    note.write.mode("overwrite").parquet(f"{path}/_compacted/{newest:09d}")
+    return newest
+
+
+def _compacted(spark: SparkSession, path: str) -> int:
+    try:
+        return spark.read.parquet(f"{path}/_compacted/*").agg(F.max("last")).first()[0]
+    except AnalysisException as e:  # nothing has been compacted yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return -1
+
+
+def read_compacted(spark: SparkSession, path: str, table: BucketTable, *seq: str) -> DataFrame:
+    """Last row of each key of the table and of the batch folders behind it."""
+    last = _compacted(spark, path)
+    later = read_batches(spark, path).where(F.col("batch") > last)
+    later = later.withColumn(table.seq, F.struct("batch", *seq)).drop("batch")
+    rows = table.read(spark).unionByName(later) if last >= 0 else later
+    return store.latest(rows.withColumn("_seq", F.col(table.seq)), "_seq", list(table.keys)).drop("_seq", table.seq)
+
+
 def ingest_records(
     spark: SparkSession,
     source: str,
@@ -80,19 +121,6 @@ def read_bucket_store(spark: SparkSession, path: str) -> DataFrame:
     return read_latest(spark, path, store.KEYS, "file_time", "file_path", "text").drop("file_time", "file_path")
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings for a query that is started inside; it keeps them, the session doesn't."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 #: State in RocksDB; retries come with the next batch that has data, never in batches of their own.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -163,7 +191,7 @@ def extract_pending(
     of one id in its first batch the smallest is taken.
     """
     kind = dict(chunks.dtypes)["id"]
-    with _settings(chunks.sparkSession, _STATE):
+    with settings(chunks.sparkSession, _STATE):
         tried = (
             chunks.select("id", "chunk_text")
             .groupBy("id")
