@@ -102,34 +102,35 @@ def encoder(model: bytes) -> Callable[[list[str]], list[bytes]]:
     return Pieces(whole, tokenizer).encode
 
 
-#: Inside a piece: behind letters before what surely is none, and behind a lone line end before a letter.
-_LETTER, _NO_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ", "\x00-\x40\x5b-\x60\x7b-\x7f"
-_SEAM = re.compile(rf"(?<=[{_LETTER}])(?=[{_NO_LETTER}])|(?<=[!-~]\n)(?=[{_LETTER}])")
-
-
-_WORDS = re.compile(rf"(?m)^[{_LETTER}]+$")
-_WORD = {" ": re.compile(rf" [{_LETTER}]+"), "\n": re.compile(rf"[{_LETTER}]+")}
+#: Pieces of which every library splits units alike: ASCII but angle brackets, line ends inside, letters of Latin-1.
+_PLAIN = re.compile(r"[!-;=?-~À-ÖØ-öø-ÿ]+(?:\n+[!-;=?-~À-ÖØ-öø-ÿ]+)*")
 
 
 class Pieces:
     """Ids of texts put together from those of their pieces, each encoded once.
 
     A piece begins at a lone space (``token_counts.pieces``). The pattern of byte-level tokenizers begins a unit there,
-    and merges never cross units, so the ids of a text are those of its pieces in a row. A new piece is cut further at
-    seams where the pattern ends a unit, too: behind a run of letters, and behind a line end before a letter. Pieces
-    that may hold a part of a special string are not cut.
+    and merges never cross units, so the ids of a text are those of its pieces in a row. New plain pieces are encoded
+    as one text with the vocabulary's ranks, if the tokenizer merges in their order (``ranks``), and cut apart by the
+    numbers of bytes that ids stand for; all others are left to the tokenizer.
     """
 
     def __init__(self, whole: Callable[[list[str]], list[bytes]], tokenizer):
         self.whole = whole
-        specials = [t["content"] for t in json.loads(tokenizer.to_str())["added_tokens"]]
-        #: Bytes of each id: byte-level vocabularies spell a byte as one character.
-        self.n_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
-        for token, number in tokenizer.get_vocab().items():
-            self.n_bytes[number] = len(token)
-        self.marks = re.compile("|".join(re.escape(m) for s in specials for m in (s[:1], s[-1:])) or r"(?!)")
         self.known: dict[str, bytes] = {}  # by the characters behind the space
-        self.units: dict[str, bytes] = {}
+        spec = json.loads(tokenizer.to_str())
+        found = ranks(spec)
+        # A plain piece has no part of a special string.
+        if found is None or any(_PLAIN.search(t["content"][:1] + t["content"][-1:]) for t in spec["added_tokens"]):
+            self.row = None
+            return
+        import public_tokenizers
+        import tiktoken
+
+        self.row = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=found, special_tokens={})
+        self.n_bytes = np.zeros(max(found.values()) + 1, np.int64)
+        for token, number in found.items():
+            self.n_bytes[number] = len(token)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [ids for at in range(0, len(texts), TEXTS) for ids in self._some(texts[at : at + TEXTS])]
@@ -137,11 +138,13 @@ class Pieces:
     def _some(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MOST_PIECES:
             self.known.clear()
-        if len(self.units) > MOST_PIECES:
-            self.units.clear()
         cuts = [t.split(" ") for t in texts]
         firsts, cuts = [c[0] for c in cuts], [c[1:] for c in cuts]
         new = set().union(*cuts).difference(self.known)
+        if self.row is not None:
+            plain = [p for p in new if _PLAIN.fullmatch(p)]
+            self.known.update(zip(plain, self._row(plain), strict=True))
+            new.difference_update(plain)
         odd = set(filter(white_edge, new))  # never known: a space beside other white space begins no piece
         for i, first in enumerate(firsts):
             if white_edge(first) or not odd.isdisjoint(cuts[i]):
@@ -149,37 +152,39 @@ class Pieces:
                 cuts[i] = [p[1:] for p in others]
         if odd:
             new = set().union(*cuts).difference(self.known)
-        firsts = self._found(firsts)
-        words = _WORDS.findall("\n".join(new))  # most are plain words: no line ends, nothing to cut
-        self.known.update(zip(words, self._row(words, " "), strict=True))
-        new = [p for p in new if p not in self.known]
-        self.known.update(zip(new, self._found([" " + p for p in new]), strict=True))
-        return [first + b"".join(map(self.known.__getitem__, c)) for first, c in zip(firsts, cuts, strict=True)]
-
-    def _found(self, new: list[str]) -> list[bytes]:
-        cut = [[p] if self.marks.search(p) else _SEAM.split(p) for p in new]
-        units = list({u for c in cut for u in c}.difference(self.units))
-        for lead in (" ", "\n"):  # words are encoded in a row, since a call for each is dear
-            row = [u for u in units if _WORD[lead].fullmatch(u)]
-            self.units.update(zip(row, self._row([u.strip() for u in row], lead), strict=True))
-        units = [u for u in units if u not in self.units]
-        self.units.update(zip(units, self.whole(units), strict=True))
-        return [b"".join(map(self.units.__getitem__, c)) for c in cut]
-
-    def _row(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of words behind a space or a line end, cut out of those of one text.
-
-        The numbers of bytes that ids stand for tell where a word ends. A space is part of a word's ids, a line end is
-        an id of its own in front of them, which is left out.
-        """
-        if not words:
+        self.known.update(zip(new, self.whole([" " + p for p in new]), strict=True))
+        found = zip(self.whole(firsts), cuts, strict=True)
+        return [first + b"".join(map(self.known.__getitem__, c)) for first, c in found]
+
+    def _row(self, plain: list[str]) -> list[bytes]:
+        """Ids of pieces with a space in front, cut out of those of one text."""
+        if not plain:
             return []
-        text = lead + lead.join(words)
-        ids = np.frombuffer(self.whole([text])[0], "<u4")
-        raw = np.frombuffer(text.encode() + lead.encode(), np.uint8)
-        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.flatnonzero(raw == ord(lead))[1:]) + 1
-        joined, ends, skip = ids.tobytes(), (4 * ends).tolist(), 4 * (lead == "\n")
-        return [joined[start + skip : end] for start, end in zip([0, *ends[:-1]], ends, strict=True)]
+        text = " " + " ".join(plain)
+        ids = self.row.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        begins = np.flatnonzero(np.frombuffer(text.encode() + b" ", np.uint8) == ord(" "))
+        ends = (4 * (np.searchsorted(np.cumsum(self.n_bytes[ids]), begins[1:]) + 1)).tolist()
+        joined = ids.tobytes()
+        return [joined[start:end] for start, end in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def ranks(spec: dict) -> dict[bytes, int] | None:
+    """Bytes and id of every token of a byte-level BPE vocabulary, or None if it doesn't merge in order of ids."""
+    model = spec["model"]
+    plain = [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")]
+    if model.get("type") != "BPE" or any(plain) or model.get("ignore_merges"):
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves
+    others = [b for b in range(256) if b not in set(shown)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(others)}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(m)) for m in merges]
+    if made != list(range(len(byte_of), len(byte_of) + len(merges))):
+        return None
+    names = [*byte_of, *map("".join, merges)]
+    if any(n not in model["vocab"] for n in names):
+        return None
+    return {bytes(byte_of[c] for c in n): model["vocab"][n] for n in names}
 
 
 #: A worker process builds the encoder of a tokenizer file once.
