@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
 from folioworks import fixed_values as fv
 from folioworks.functions.core import to_lines
 from folioworks.functions.markdown import image_urls
 from folioworks.functions.text import content_hash, data_url, file_name, local_image_url, mime_type
+from folioworks.session import cut_lineage
+
+#: Rows of (question, image id, rank) that travel to the stored bytes, instead of the other way round.
+MAX_BROADCAST_SURVIVORS = 200_000
 
 
 def catalog(files: DataFrame) -> DataFrame:
@@ -84,14 +89,22 @@ def answer_images(
     """First distinct stored images of a question's chunks that are small enough.
 
     ``found`` has one row per image reference. Repeats are merged before the join, and the rank keeps
-    ``max_images`` per question in every task before the exchange.
+    ``max_images`` per question in every task before the exchange. Where ``images`` has binary columns, only ids and
+    sizes are joined and ranked, and the bytes of what is left are fetched afterwards: the survivors, ids and ranks,
+    are counted and broadcast below a bound, so the stored bytes stay where they are; beyond it they are joined by id.
     """
     first_seen = found.groupBy(question, F.col(image).alias("id")).agg(F.min(position).alias("_at"))
     fitting = images.where(F.coalesce(F.col("byte_size"), F.lit(0)) <= max_bytes)
-    joined = first_seen.join(fitting, "id")
+    late = [f.name for f in images.schema.fields if isinstance(f.dataType, BinaryType)]
     w = Window.partitionBy(question).orderBy("_at", "id")
-    ranked = joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_images)
-    return ranked.drop("_at")
+    joined = first_seen.join(fitting.select("id") if late else fitting, "id")
+    ranked = joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_images).drop("_at")
+    if not late:
+        return ranked
+    survivors = cut_lineage(ranked)
+    few = survivors.count() <= MAX_BROADCAST_SURVIVORS
+    out = fitting.join(F.broadcast(survivors) if few else survivors, "id")
+    return out.select("id", question, *[c for c in images.columns if c != "id"], "rank")
 
 
 def images_block(ranked: DataFrame, question: str, alt: str = "source_filename") -> DataFrame:

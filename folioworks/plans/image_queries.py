@@ -87,6 +87,23 @@ def chunk_images(spark, sf_dir):
     return out.select("l_orderkey", "rank", "id", "p_name")
 
 
+@query(
+    "chunk_images_data",
+    """WITH f AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS at FROM lineitem GROUP BY l_orderkey, l_partkey),
+j AS (SELECT f.l_orderkey, f.l_partkey, f.at, p.p_name, row_number() OVER (PARTITION BY f.l_orderkey ORDER BY f.at, f.l_partkey) AS rank
+  FROM f JOIN part p ON p.p_partkey = f.l_partkey WHERE p.p_size * 10000 <= 250000)
+SELECT l_orderkey, rank, l_partkey AS id, md5(repeat(p_name, 50)) AS data_md5 FROM j WHERE rank <= 2""",
+)
+def chunk_images_data(spark, sf_dir):
+    """The same with the images' bytes, which are fetched for the images that are left."""
+    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    stored = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id", "p_size * 10000 AS byte_size", "encode(repeat(p_name, 50), 'UTF-8') AS data"
+    )
+    out = im.answer_images(found, stored, "l_orderkey", "l_linenumber", "l_partkey", max_images=2)
+    return out.select("l_orderkey", "rank", "id", F.md5("data").alias("data_md5"))
+
+
 # --- references ---------------------------------------------------------------------------------
 
 _FILES_SQL = """files AS (SELECT DISTINCT regexp_replace(b.path, '/[^/]*$', '') || CASE WHEN r.i % 5 = 4 THEN '/khac/' WHEN r.i % 3 = 0 THEN '/' ELSE '/extracted_images/' END

@@ -9,6 +9,7 @@ from folioworks.operators import metrics, ocr
 from folioworks.plans.book_queries import WS
 from folioworks.plans.document_queries import OVERLAP_SQL
 from folioworks.plans.registry import query, table
+from folioworks.sources import files
 
 _ORDER = "page_num, item_no, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
 ORDER = [c.strip() for c in _ORDER.split(",")]
@@ -74,6 +75,19 @@ def ocr_sections_blocked(spark, sf_dir):
     return _shown_sections(ocr.sections(items(spark, sf_dir), ORDER, rows_per_block=2000))
 
 
+@query(
+    "ordered_files",
+    """SELECT row_number() OVER (ORDER BY path, page) - 1 AS position, path, page FROM (
+  SELECT DISTINCT 'ocr/' || l_returnflag || l_linestatus || '/doc_' || l_suppkey || '.json' AS path, l_orderkey AS page FROM lineitem)""",
+)
+def ordered_files(spark, sf_dir):
+    """Pages of the scanned files in order of path and page, numbered without gaps."""
+    pages = table(spark, sf_dir, "lineitem").selectExpr(
+        "'ocr/' || l_returnflag || l_linestatus || '/doc_' || l_suppkey || '.json' AS path", "l_orderkey AS page"
+    )
+    return files.ordered_files(pages.distinct(), "page").select("position", "path", "page")
+
+
 @query(
     "section_entries",
     f"""WITH RECURSIVE {_ENTRIES} SELECT n.doc, n.id, n.heading, n.full_text, n.image_ids, n.page_range, n.image_count > 0 AS has_images, n.image_count,

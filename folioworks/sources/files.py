@@ -13,6 +13,7 @@ from folioworks.functions.text import file_name
 from folioworks.operators import evaluation as ev
 from folioworks.operators import records
 from folioworks.operators.sampling import first_rows
+from folioworks.operators.scan import with_positions
 
 
 def _path(column: str = "_metadata.file_path"):
@@ -33,6 +34,11 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return named.select("path", file_name(F.col("path")).alias("name"), "size_bytes")
 
 
+def ordered_files(files: DataFrame, *order: str) -> DataFrame:
+    """Adds ``position``: files numbered from 0 by path, or pages of files by path and page, without gaps."""
+    return with_positions(files, ["path", *order])
+
+
 def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
     """Records (data, meta, id) of one or many JSONL files or globs."""
     return records.parse_records(spark.read.text(list(paths)).select("value"))
