@@ -18,7 +18,7 @@ from folioworks.llm.packing import batch, groups, joined, part_of, unite
 from folioworks.llm.shared import WordHashes, bounded_batches, mixed, runs, stage, utf8
 
 #: Documents of a slice, text bytes for each part of the key space, and members of a block that is verified at once.
-SLICE_ROWS, PART_BYTES, BLOCK = 2000, 48 << 20, 512
+SLICE_ROWS, PART_BYTES, BLOCK = 2000, 24 << 20, 512
 #: Classes of a key whose pairs are listed; beyond that they meet in blocks.
 FEW = 16
 #: A key is the number of its segment (so many low bits are left) and a hash of what the document has there.
