@@ -161,8 +161,8 @@ def question_files(spark, sf_dir):
         "doc_id", f"if(doc_id % 5 = 0, null, lang) AS `{fv.DIFFICULTY_COLUMN}`", f"text AS `{fv.QUESTION_COLUMN}`",
         f"source AS `{fv.REFERENCE_COLUMN}`",
     )
-    # Several files, without ids: rows are numbered by file and place.
-    docs = docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").drop("doc_id")
+    # Files as many as the rows need, without ids: rows are numbered by file and place.
+    docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").drop("doc_id")
     sinks.write_scores(docs, path)
     found = files.read_questions(spark, path)
     return found.select("id", "difficulty", F.md5("question").alias("question"), "ground_truth")

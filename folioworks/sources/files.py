@@ -14,6 +14,7 @@ from folioworks.operators import evaluation as ev
 from folioworks.operators import records
 from folioworks.operators.sampling import first_rows
 from folioworks.operators.scan import with_positions
+from folioworks.sources.csv_records import read_csv
 
 
 def _path(column: str = "_metadata.file_path"):
@@ -88,26 +89,11 @@ def item_box(items: DataFrame) -> DataFrame:
     )
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = (
-        spark.read.option("header", "true")
-        .option("multiLine", "true")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .csv(path)
-    )
-    named = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
-    return named.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
-
-
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Number rows from 0 by (file, position), whatever the split of the input: a file is never split here."""
-    files = df.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+def _numbered(df: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """Number rows from 0 by (file, record), whatever the split of the input."""
     before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
-    files = files.select("_file", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    out = df.join(files, "_file").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first"))
-    return out.drop("_first", "_before")
+    files = counts.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    return df.join(files, "_file").withColumn(name, F.col("_before") + F.col("_record")).drop("_before")
 
 
 def _require(df: DataFrame, columns) -> None:
@@ -122,10 +108,10 @@ def read_questions(spark: SparkSession, path: str, limit: int | None = None, kee
     Rows without question or answer are dropped unless ``keep_blank``; without ids the rows are
     numbered by file order.
     """
-    df = _csv(spark, path)
+    df, counts = read_csv(spark, path)
     _require(df, [fv.QUESTION_COLUMN, fv.REFERENCE_COLUMN])
     if "id" not in df.columns:
-        df = _numbered(df, "id")
+        df = _numbered(df, counts, "id")
     ident = F.col("id").cast("bigint")
     level = F.col(fv.DIFFICULTY_COLUMN) if fv.DIFFICULTY_COLUMN in df.columns else F.lit(None).cast("string")
     out = df.select(
@@ -141,9 +127,9 @@ def read_questions(spark: SparkSession, path: str, limit: int | None = None, kee
 
 def read_scores(spark: SparkSession, path: str, metrics=fv.SCORE_METRICS) -> DataFrame:
     """A prepared run of a score file; values that are no numbers become NULL."""
-    df = _csv(spark, path)
+    df, counts = read_csv(spark, path)
     _require(df, ["user_input", *metrics])
-    return ev.prepare_run(_numbered(df, "row_id").drop("_file", "_at"), metrics)
+    return ev.prepare_run(_numbered(df, counts, "row_id").drop("_file", "_record"), metrics)
 
 
 def read_bucket(spark: SparkSession, path: str, index_type: str | None = None, dim: int | None = None) -> DataFrame:
