@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioworks.functions import schemas as sc
 from folioworks.functions import templates as tp
+from folioworks.functions.table_functions import register_splitter_function
 from folioworks.functions.vectors import as_doubles
-from folioworks.operators import records, store
+from folioworks.operators import evaluation, records, store
 from folioworks.operators.bucket_table import BucketTable
 from folioworks.plans.book_queries import WS
 from folioworks.plans.document_queries import first_of_each_sql, spaces_sql
@@ -298,3 +300,47 @@ def merge_metadata(spark, sf_dir):
     raw = spread(table(spark, sf_dir, "events")).selectExpr("event_id", f"{_META} AS meta", "props")
     merged = records.merge_json(F.col("meta"), F.col("props"), F.lit('{"index_type": "herbs"}'))
     return raw.select("event_id", merged.alias("metadata"))
+
+
+# --- slots --------------------------------------------------------------------------------------
+
+_SENTENCE = (("title", "req", ()), ("tags", "strings", ()))
+
+
+def _sentences(text: str) -> list[str]:
+    return [s for s in text.split(". ") if s.strip("\n\t ")]
+
+
+def _sentence_text(get) -> Column:
+    return F.concat_ws("\n", F.concat(F.lit("Title: "), get("title")), F.concat(F.lit("Tags: "), get("tags")))
+
+
+@query(
+    "registered_slots",
+    """WITH c AS (SELECT doc_id, source, lang, list_filter(string_split(text, '. '), lambda x: trim(x, chr(10) || chr(9) || ' ') <> '') AS parts FROM documents),
+u AS (SELECT doc_id, source, lang, unnest(parts) AS chunk, generate_subscripts(parts, 1) - 1 AS chunk_index FROM c)
+SELECT doc_id, chunk_index, md5('Title: ' || trim(chunk, chr(10) || chr(9) || ' ') || chr(10) || 'Tags: ' || CASE WHEN chunk_index % 2 = 0 THEN source || ', ' || lang ELSE lang END) AS digest,
+  CASE WHEN chunk_index % 3 = 0 THEN NULL ELSE length(chunk) END::DOUBLE AS size, chunk_index::DOUBLE AS place FROM u""",
+)
+def registered_slots(spark, sf_dir):
+    """A splitter called from SQL, a schema, a template and a list of metrics, none of them known to the library."""
+    register_splitter_function(spark, "sentences_of", _sentences)
+    sc.register_schema("Sentence", _SENTENCE)
+    tp.register_template("sentences", _sentence_text)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    cut = spark.sql(
+        "SELECT doc_id, source, lang, chunk_index, chunk_text FROM sentences_of(TABLE({docs}), 'text')", docs=docs
+    )
+    title = F.trim("chunk_text", F.lit("\n\t ")).alias("title")
+    both = F.to_json(F.struct(title, F.array("source", "lang").alias("tags")))
+    one = F.to_json(F.struct(title, F.col("lang").alias("tags")))  # a lone string
+    raw = cut.withColumn("data", F.parse_json(F.when(F.col("chunk_index") % 2 == 0, both).otherwise(one)))
+    made = records.coerce_records(raw, "Sentence")
+    shown = tp.retrieval_text(F.col("record"), sc.struct_type(_SENTENCE), "sentences")
+    length = F.length("chunk_text").cast("string")
+    run = made.select(
+        "doc_id", "chunk_index", shown.alias("user_input"), F.col("chunk_index").cast("string").alias("place"),
+        F.when(F.col("chunk_index") % 3 == 0, "none").otherwise(length).alias("size"),
+    )
+    run = evaluation.prepare_run(run, metrics=("size", "place"))
+    return run.select("doc_id", "chunk_index", F.md5("user_input").alias("digest"), "size", "place")

@@ -97,3 +97,46 @@ def early_stop(spark, sf_dir):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     ingest.save_until(stream, f"{path}/out", f"{path}/checkpoint", F.col("failed"), share)
     return ingest.read_batches(spark, f"{path}/out").select("event_id", "failed", "batch")
+
+
+# An event is sent again after half the delay under its own time, or after three delays under a new one.
+_RESENT_SQL = """
+WITH r AS (SELECT min(epoch_us(ts)) AS t0, max(epoch_us(ts)) AS t1 FROM events),
+d AS (SELECT t0, t1, (t1 - t0) // 5000 AS ms FROM r),
+s AS (
+  SELECT event_id, epoch_us(ts) AS t, epoch_us(ts) AS arrival, epoch_us(ts) AS first, FALSE AS again FROM events
+  UNION ALL
+  SELECT event_id, epoch_us(ts) + CASE WHEN event_id % 3 = 1 THEN 3000 * ms ELSE 0 END,
+         epoch_us(ts) + CASE WHEN event_id % 3 = 1 THEN 3000 ELSE 500 END * ms, epoch_us(ts), TRUE
+  FROM events, d WHERE event_id % 3 < 2),
+b AS (SELECT s.*, ms, (arrival - t0) * 4 // (t1 - t0 + 1) AS batch, (first - t0) * 4 // (t1 - t0 + 1) AS first_batch FROM s, d WHERE arrival <= t1),
+w AS (SELECT batch, max(max(t)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 - any_value(ms) AS mark FROM b GROUP BY batch)
+SELECT event_id, strftime(make_timestamp(t), '%Y-%m-%d %H:%M:%S.%f') AS at FROM b JOIN w USING (batch)
+WHERE NOT again OR (batch > first_batch AND t > mark * 1000 AND first + ms * 1000 <= mark * 1000)"""
+
+
+@query("late_duplicates", _RESENT_SQL)
+def late_duplicates(spark, sf_dir):
+    """Events that are sent again within the delay and beyond it, in four loads of a stream."""
+    path = folder(spark)
+    events = table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    t0, t1 = events.agg(F.min("t"), F.max("t")).first()
+    if t0 is None:
+        return events.select("event_id", F.col("t").cast("string").alias("at"))
+    ms = (t1 - t0) // 5000
+    sent = events.withColumn("arrival", F.col("t"))
+    again = events.where("event_id % 3 < 2").withColumn(
+        "arrival", F.col("t") + F.when(F.col("event_id") % 3 == 1, 3000 * ms).otherwise(500 * ms)
+    )
+    again = again.withColumn("t", F.when(F.col("event_id") % 3 == 1, F.col("arrival")).otherwise(F.col("t")))
+    load = F.floor((F.col("arrival") - t0) * 4 / (t1 - t0 + 1))
+    sent = sent.unionByName(again).where(F.col("arrival") <= t1).withColumn("load", load)
+    sent = sent.select("event_id", F.timestamp_micros("t").alias("ts"), "load")
+    for n in range(4):
+        sent.where(F.col("load") == n).drop("load").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("event_id bigint, ts timestamp").parquet(f"{path}/in")
+        ingest.append_first(
+            stream, f"{path}/store", f"{path}/checkpoint", ["event_id"], "ts", f"{ms} milliseconds"
+        ).awaitTermination()
+    kept = ingest.read_batches(spark, f"{path}/store")
+    return kept.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))

@@ -45,6 +45,21 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str, shape: Callabl
     )
 
 
+def append_first(
+    stream: DataFrame, path: str, checkpoint: str, keys: list[str], time: str, delay: str, where: str = "RocksDB"
+) -> StreamingQuery:
+    """Append the first row of each key; repeats within ``delay`` of event time go, and so do rows later than that.
+
+    A key is remembered until the watermark (the latest ``time`` of the batches before, less ``delay``) passes its first
+    row's time by ``delay``, so the state holds the keys of a stretch of time and not those of the whole stream. A row
+    whose time the watermark has reached is dropped, whatever its key. A key that comes again after it was forgotten is
+    appended again. A NULL time is taken as new for as long as the stream runs; NULL keys are equal.
+    """
+    provider = f"org.apache.spark.sql.execution.streaming.state.{where}StateStoreProvider"
+    with settings(stream.sparkSession, {"spark.sql.streaming.stateStore.providerClass": provider}):
+        return append_batches(stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys), path, checkpoint)
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
 

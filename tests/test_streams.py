@@ -109,3 +109,22 @@ def test_a_batch_reads_nothing_of_earlier_ones(spark, folder):
     assert run(2, ["bad", "a"]) == [("bad", True, None)]
     assert run(3, ["bad", "c"]) == [("c", True, None)]
     assert sorted(open(asked).read().split()) == ["a", "b", "bad", "bad", "bad", "c"]
+
+
+def test_first_of_each_key_within_the_delay(spark, folder):
+    """Repeats go while their key is remembered, late rows go, forgotten and NULL-key rows come again."""
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    loads = [
+        [("a", at(0)), ("a", at(0)), ("b", at(100)), (None, at(90))],
+        [("a", at(95)), ("b", at(101)), ("c", at(80)), (None, at(99)), ("d", at(200))],
+        [("b", at(250)), ("c", at(150)), ("d", at(205))],
+    ]
+    for rows in loads:
+        spark.createDataFrame(rows, "k string, at timestamp").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("k string, at timestamp").parquet(f"{folder}/in")
+        ingest.append_first(
+            stream, f"{folder}/out", f"{folder}/checkpoint", ["k"], "at", "10 seconds"
+        ).awaitTermination()
+    got = sorted(((r["k"] or "", r["at"]) for r in ingest.read_batches(spark, f"{folder}/out").collect()))
+    # The watermark is 90 before the second load and 190 before the third: c at 80 and at 150 are late.
+    assert got == [("", at(90)), ("a", at(0)), ("a", at(95)), ("b", at(100)), ("b", at(250)), ("d", at(200))]
