@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from folioworks.llm.shared import bounded_batches
 
+#: Languages whose profiles travel with every task.
+MOST_LANGUAGES = 400
 #: n-grams of a profile; an n-gram that a profile lacks is this far out of place.
 PROFILE = 300
 UNKNOWN = "und"
@@ -63,15 +65,18 @@ def train(labelled: DataFrame) -> Profiles:
     """Profiles of all languages of ``labelled`` (text, lang): the most frequent n-grams of all its texts.
 
     n-grams are counted on the tasks, summed by (language, n-gram), and ranked; 300 rows for each language come to the
-    driver. Rows with NULL in either column are left out.
+    driver, for ``MOST_LANGUAGES`` languages at most (the table of all ranks is under 200 MB then): beyond that the call
+    fails. Rows with NULL in either column are left out.
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)
-    found = sorted((r["lang"], r["rank"] - 1, r["gram"]) for r in top.collect())
+    found = sorted((r["lang"], r["rank"] - 1, r["gram"]) for r in top.take(PROFILE * MOST_LANGUAGES + 1))
     languages = sorted({f[0] for f in found})
+    if len(languages) > MOST_LANGUAGES or len(found) > PROFILE * MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the profiles would outgrow the tasks")
     codes = np.unique(np.array([f[2] for f in found], np.int64).view(np.uint64))
     ranks = np.full((len(codes), len(languages)), -1, np.int32)
     for language, rank, gram in found:

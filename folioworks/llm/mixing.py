@@ -156,7 +156,7 @@ def plan_blocks(
 ) -> list[tuple[int, int, list[int], int | None, int | None]]:
     """For every block of every source: the shards that take it whole, and the words that one more takes of it."""
     draws: dict[int, list[int]] = {}
-    part: dict[tuple[int, int], int] = {}
+    part: dict[int, tuple[int, int]] = {}  # the block that a source gives a part of, and the words of it
     for number, size in enumerate(sizes):
         own = blocks.get(number, {})
         passes = int(wanted[number] // size) if size else 0
@@ -165,7 +165,7 @@ def plan_blocks(
         for b in _permuted(list(own), number, passes, seed):
             if own[b] > rest:
                 if rest >= 0.5:
-                    part[number, b] = round(rest)
+                    part[number] = b, round(rest)
                     order.append(b)
                 break
             order.append(b)
@@ -173,17 +173,20 @@ def plan_blocks(
         draws[number] = order
     tree = split_tree(np.array([len(draws[n]) for n in range(len(sizes))], np.int64), shards, seed)
     whole: dict[tuple[int, int], list[int]] = {(n, b): [] for n, own in blocks.items() for b in own}
-    part_shard: dict[tuple[int, int], int] = {}
+    part_shard: dict[int, int] = {}
     for number, order in draws.items():
         at = 0
         for shard in range(shards):
             for b in order[at : at + int(tree[shard, number])]:
                 whole[number, b].append(shard)
             at += int(tree[shard, number])
-        for n, b in part:
-            if n == number:
-                part_shard[n, b] = whole[n, b].pop()  # the partial block is the last one drawn
-    return [(n, b, w, part.get((n, b)), part_shard.get((n, b))) for (n, b), w in whole.items()]
+        if number in part:
+            part_shard[number] = whole[number, part[number][0]].pop()  # the partial block is the last one drawn
+
+    def rest_of(n: int, b: int) -> tuple[int | None, int | None]:
+        return (part[n][1], part_shard[n]) if n in part and part[n][0] == b else (None, None)
+
+    return [(n, b, w, *rest_of(n, b)) for (n, b), w in whole.items()]
 
 
 def _with_parts(rows: DataFrame) -> DataFrame:

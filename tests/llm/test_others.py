@@ -1,6 +1,7 @@
 """Conversations, pages, embeddings, components and the pipeline against plain Python."""
 
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioworks.llm import chat, graph, url_filter, vector_dedup
+from folioworks.llm import chat, decontamination, graph, language_id, mixing, url_filter, vector_dedup
 from folioworks.llm import queries as q
 from test_documents import joined, rows_of
 
@@ -252,3 +253,30 @@ def test_empty_documents(spark, sf):
     for _, step in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stage(step(spark, docs, sf))
     assert docs.count() == 0
+
+
+def test_items_may_have_text_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "other words only"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("item-a", " ".join(words[10:50])), (None, "x y z q r s t u")], "item_id string, text string")
+    found = decontamination.decontaminate(docs, items)
+    assert dict(found.dtypes)["item_id"] == "string"
+    assert {r["doc_id"]: (r["contaminated"], r["item_id"]) for r in found.collect()} == {
+        1: (True, "item-a"), 2: (False, None), 3: (False, None),
+    }
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    texts = spark.createDataFrame([(f"l{i}", f"abc def {i} ghi") for i in range(4)], "lang string, text string")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language_id.train(texts)
+    assert len(language_id.train(texts.where("lang <> 'l3'")).languages) == 3
+
+
+def test_blocks_of_very_many_sources_are_planned_in_step():
+    began = time.perf_counter()
+    n = 100_000
+    plan = mixing.plan_blocks({i: {0: 10} for i in range(n)}, [10] * n, [15.0] * n, 8, 7)
+    assert time.perf_counter() - began < 60
+    assert len(plan) == n and all(len(w) == 1 and part == 5 and shard is not None for _, _, w, part, shard in plan)
