@@ -208,7 +208,7 @@ def saved_results(spark, sf_dir):
 def passage_files(spark, sf_dir):
     path = folder(spark)
     rows = table(spark, sf_dir, "documents").selectExpr("source AS doc", "doc_id", "text")
-    sinks.write_passages(rows, path)
+    sinks.write_passages(rows, path, "doc_id")
     back = spark.read.schema("doc string, doc_id bigint, text string").json(path)
     return back.groupBy("doc").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 

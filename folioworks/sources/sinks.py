@@ -33,9 +33,12 @@ def write_buckets(df: DataFrame, path: str) -> None:
     )
 
 
-def _by_document(df: DataFrame, key: str = "doc"):
-    """A writer of bounded files in document order; the document is a column, not a folder of its own."""
-    ordered = df.repartitionByRange(key).sortWithinPartitions(key)
+def _by_document(df: DataFrame, key: str, position: str):
+    """A writer of bounded files in document order; the document is a column, not a folder of its own.
+
+    Ranges are cut within documents, too, so a document with a third of all rows is written by a third of the tasks.
+    """
+    ordered = df.repartitionByRange(key, position).sortWithinPartitions(key, position)
     return ordered.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
 
 
@@ -77,22 +80,22 @@ def write_markdown(docs: DataFrame, path: str, run_bytes: int = RUN_BYTES) -> No
     cut.write.partitionBy("source", "run").text(path)
 
 
-def write_passages(passages: DataFrame, path: str) -> None:
-    _by_document(passages).json(path)
+def write_passages(passages: DataFrame, path: str, position: str = "passage_id") -> None:
+    _by_document(passages, "doc", position).json(path)
 
 
 def write_retrieval_docs(docs: DataFrame, path: str) -> None:
-    _by_document(docs).json(path)
+    _by_document(docs, "doc", "id").json(path)
 
 
 def write_dataset(totals: DataFrame, entries: DataFrame, path: str) -> None:
     """Totals and section entries of every document, side by side."""
     totals.write.mode("overwrite").json(f"{path}/metadata")
-    _by_document(entries).json(f"{path}/sections")
+    _by_document(entries, "doc", "section_id").json(f"{path}/sections")
 
 
 def write_image_index(images: DataFrame, path: str, source: str = "source", ident: str = "id", file_path: str = "path") -> None:
-    _by_document(mt.image_index(images, source, ident, file_path), source).json(path)
+    _by_document(mt.image_index(images, source, ident, file_path), source, "id").json(path)
 
 
 def write_scores(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -16,6 +16,7 @@ from folioworks.operators import metrics, ocr, prompts, records, search, segment
 from folioworks.functions.text import stable_id
 from folioworks.operators.scan import ordered_scan
 from folioworks.plans import pipelines
+from folioworks.session import settings as session_settings
 from folioworks.sources import files, sinks
 from folioworks.streaming import ingest
 
@@ -454,6 +455,14 @@ def test_dataset_sinks(spark, folder):
     assert spark.read.json(folder + "/rd").count() == 2
 
 
+def test_one_document_is_written_by_several_tasks(spark, folder):
+    hot = spark.range(4000).selectExpr("if(id % 3 = 0, 'hot', concat('d', id)) AS doc", "id AS passage_id", "repeat('x', 20) AS text")
+    with session_settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        sinks.write_passages(hot.repartition(4), folder + "/hot")
+    back = spark.read.json(folder + "/hot").withColumn("file", F.col("_metadata.file_path"))
+    assert back.count() == 4000 and back.where("doc = 'hot'").select("file").distinct().count() > 1
+
+
 def test_metrics_sinks(spark, folder):
     one = spark.createDataFrame([(5,)], "size_bytes bigint")
     texts = spark.createDataFrame([(2, 3, 7)], "lines bigint, samples bigint, size_bytes bigint")
