@@ -111,33 +111,24 @@ class Scan:
     """The k best of every question over the blocks that are handed in."""
 
     def __init__(self, questions: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, digits: int):
-        self.running, self.least, self.norms = {}, {}, {}
-        self.k, self.digits = k, digits
+        self.running, self.norms = {}, {}
         for key, (ids, matrix, least) in questions.items():
-            self.running[key] = [_Running(ids[i : i + 1], matrix[i : i + 1], k, digits) for i in range(len(ids))]
-            self.least[key] = least.copy()
-            self.norms[key] = (matrix, np.sqrt((matrix**2).sum(axis=1)))
+            self.running[key] = _Running(ids, matrix, k, digits, least)
+            self.norms[key] = np.sqrt((matrix**2).sum(axis=1))
         self.met = self.skipped = 0
 
     def add(self, bucket: str, dim: int, ids: list, vecs: bytes, centre: bytes, radius: float, norm: float) -> None:
-        key = (bucket, dim)
-        if key not in self.running:
+        """Multiply the block with all questions at once for which it may hold one of their best."""
+        run = self.running.get((bucket, dim))
+        if run is None:
             return
-        matrix, norms = self.norms[key]
-        bounds = np.minimum(matrix @ np.frombuffer(centre) + norms * radius, norms * norm)
-        # Scores are rounded before they are ranked, so the bound has to be below by more than rounding can add.
-        slack = 10.0**-self.digits + 1e-9 * np.maximum(1.0, np.abs(bounds))
-        asked = np.flatnonzero(bounds + slack >= self.least[key])
+        norms = self.norms[bucket, dim]
+        bounds = np.minimum(run.matrix @ np.frombuffer(centre) + norms * radius, norms * norm)
+        asked = np.flatnonzero(bounds + run.slack(bounds) >= run.least)
         self.met += len(asked)
         self.skipped += len(bounds) - len(asked)
-        if not len(asked):
-            return
-        m, names = np.frombuffer(vecs).reshape(-1, dim), _id_array(ids)
-        for i in asked.tolist():
-            run = self.running[key][i]
-            run.add(m, names)
-            if run.scores.shape[1] >= self.k:
-                self.least[key][i] = max(self.least[key][i], run.scores[0, -1])
+        if len(asked):
+            run.add(np.frombuffer(vecs).reshape(-1, dim), _id_array(ids), asked)
 
 
 def pruned_topk(
@@ -199,10 +190,8 @@ def _search(q: DataFrame, index: DataFrame, k: int, digits: int, counts) -> Data
         for batch in batches:
             for row in batch.to_pylist():
                 running.add(**row)
-        for key, runs in running.running.items():
-            for run, least in zip(runs, running.least[key], strict=True):
-                if run.scores is not None:
-                    yield _record_batch(run.columns(np.array([least])), arrow)
+        for run in running.running.values():
+            yield _record_batch(run.columns(), arrow)
         if counts is not None:
             counts[0].add(running.met)
             counts[1].add(running.skipped)
@@ -218,17 +207,27 @@ def _first_bounds(blocks: DataFrame, packed: dict, k: int, digits: int) -> dict[
     shared = blocks.sparkSession.sparkContext.broadcast({key: m for key, (_, m, _) in packed.items()})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple, tuple[float, str]] = {}
+        best = {key: (np.full(len(m), -np.inf), np.full(len(m), -1)) for key, m in shared.value.items()}
+        names: list[str] = []
         for batch in batches:
             for row in batch.to_pylist():
                 key = (row["bucket"], row["dim"])
-                if key in shared.value and row["n"] >= k:
-                    for i, s in enumerate((shared.value[key] @ np.frombuffer(row["centre"])).tolist()):
-                        best[(*key, i)] = max(best.get((*key, i), (-np.inf, "")), (s, row["block"]))
-        columns = list(zip(*((b, d, i, s, x) for (b, d, i), (s, x) in best.items()), strict=True)) or [()] * 5
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string())
-        arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(arrays, ["bucket", "dim", "i", "score", "block"])
+                if key in best and row["n"] >= k:
+                    top, which = best[key]
+                    scores = shared.value[key] @ np.frombuffer(row["centre"])
+                    better = np.flatnonzero(scores > top)
+                    top[better], which[better] = scores[better], len(names)
+                    names.append(row["block"])
+        for (bucket, dim), (top, which) in best.items():
+            some = np.flatnonzero(which >= 0)
+            arrays = [
+                pa.array([bucket] * len(some), pa.string()),
+                pa.array([dim] * len(some), pa.int32()),
+                pa.array(some, pa.int32()),
+                pa.array(top[some], pa.float64()),
+                pa.array([names[j] for j in which[some].tolist()], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["bucket", "dim", "i", "score", "block"])
 
     name = _name().alias("block")
     seen = blocks.select("bucket", "dim", F.size("ids").alias("n"), "centre", name)

@@ -30,7 +30,7 @@ MAX_BROADCAST_QUESTIONS = 20_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 VECTORS_PER_BLOCK = 50_000
 QUESTIONS_PER_BLOCK = 2_000
-MAX_SCORE_CELLS = 4_000_000
+MAX_SCORE_CELLS, ROWS_PER_SLICE = 1_000_000, 2_000
 MAX_LITERAL_ROUTES = 256
 SCORE_DIGITS = 6
 
@@ -38,22 +38,6 @@ SCORE_DIGITS = 6
 # --- block top-k in numpy -----------------------------------------------------------------------
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best ``k`` columns of every row by (score descending, id ascending)."""
-    width = scores.shape[1]
-    if width > k:
-        part = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-        kept = np.take_along_axis(scores, part, axis=1)
-        edge = kept.min(axis=1, keepdims=True)
-        tied = (scores == edge).sum(axis=1) > (kept == edge).sum(axis=1)
-        for row in np.nonzero(tied)[0]:
-            part[row] = np.lexsort((ids[row], -scores[row]))[:k]
-        scores = np.take_along_axis(scores, part, axis=1)
-        ids = np.take_along_axis(ids, part, axis=1)
-    order = np.lexsort((ids, -scores), axis=1)
-    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
-
-
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of the expected size as one matrix, and the mask of the rows that have it."""
     ok = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
@@ -62,34 +46,80 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Running:
-    """Best k per question over a stream of vector blocks."""
+    """Best k per question over a stream of vector blocks.
+
+    ``least`` is what a question's scores must reach: its k-th best so far, or what the caller knows of it. Only scores
+    that do are rounded and kept, so most of a block is multiplied and compared and nothing else. What is kept is
+    cut down to k for each question from time to time.
+    """
 
-    def __init__(self, qids: np.ndarray, matrix: np.ndarray, k: int, digits: int):
+    def __init__(self, qids: np.ndarray, matrix: np.ndarray, k: int, digits: int, least: np.ndarray | None = None):
         self.qids, self.matrix, self.k, self.digits = qids, matrix, k, digits
-        self.scores = self.ids = None
-
-    def add(self, vectors: np.ndarray, ids: np.ndarray) -> None:
-        """Score a block. Questions go in slices, so the score table stays small."""
-        step = max(1, MAX_SCORE_CELLS // len(vectors))
-        best = []
-        for at in range(0, len(self.qids), step):
-            scores = np.round(self.matrix[at : at + step] @ vectors.T, self.digits) + 0.0
-            best.append(_best(scores, np.broadcast_to(ids, scores.shape), self.k))
-        scores, found = (np.concatenate(x) for x in zip(*best))
-        if self.scores is not None:
-            scores = np.concatenate([self.scores, scores], axis=1)
-            found = np.concatenate([self.ids, found], axis=1)
-            scores, found = _best(scores, found, self.k)
-        self.scores, self.ids = scores, found
-
-    def columns(self, least: np.ndarray | None = None) -> list[np.ndarray]:
+        self.least = np.full(len(qids), -np.inf) if least is None else least.copy()
+        self.full = np.zeros(len(qids), bool)  # questions that have k, the last with the id ``worst``
+        self.worst: np.ndarray | None = None
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # question's place, score, id
+        self.rows = 0
+
+    def slack(self, scores: np.ndarray) -> np.ndarray:
+        """By how much a score may be below what it has to reach, for it is rounded before it is ranked."""
+        return 10.0**-self.digits + 1e-9 * np.maximum(1.0, np.abs(scores))
+
+    def add(self, vectors: np.ndarray, ids: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Score a block, for some of the questions. Slices of both keep the score table small."""
+        asked = np.arange(len(self.qids)) if asked is None else asked
+        width = min(len(vectors), ROWS_PER_SLICE)
+        step = max(1, MAX_SCORE_CELLS // max(1, width))
+        for at in range(0, len(asked), step):
+            some = asked[at : at + step]
+            matrix = self.matrix[some]
+            for begin in range(0, len(vectors), width):
+                self._slice(some, matrix @ vectors[begin : begin + width].T, ids[begin : begin + width])
+
+    def _slice(self, asked: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        least = self.least[asked]
+        unbound = np.flatnonzero(np.isneginf(least))
+        if len(unbound) and scores.shape[1] >= self.k:
+            least[unbound] = np.partition(scores[unbound], -self.k, axis=1)[:, -self.k]
+        with np.errstate(invalid="ignore"):
+            least -= self.slack(least)
+            row, column = np.nonzero(~(scores < least[:, None]))
+        found, place, names = np.round(scores[row, column], self.digits) + 0.0, asked[row], ids[column]
+        if self.worst is not None:
+            least = self.least[place]
+            good = ~(found < least) & ~((found == least) & self.full[place] & (names > self.worst[place]))
+            found, place, names = found[good], place[good], names[good]
+        if len(found):
+            self.kept.append((place, found, names))
+            self.rows += len(found)
+        if self.rows > max(MAX_SCORE_CELLS // 4, 2 * self.k * len(self.qids)):
+            self._cut()
+
+    def _cut(self) -> None:
+        """Keep the best ``k`` of every question by (score descending, id ascending)."""
+        if not self.kept:
+            return
+        place, scores, ids = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+        order = np.lexsort((ids, -scores, place))
+        place, scores, ids = place[order], scores[order], ids[order]
+        begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        rank = np.arange(len(place)) - np.repeat(begins, np.diff(np.append(begins, len(place))))
+        best = rank < self.k
+        last = rank == self.k - 1
+        self.kept, self.rows = [(place[best], scores[best], ids[best])], int(best.sum())
+        self.worst = np.zeros(len(self.qids), ids.dtype)
+        self.worst[place[last]] = ids[last]
+        self.full[place[last]] = scores[last] >= self.least[place[last]]
+        self.least[place[last]] = np.maximum(self.least[place[last]], scores[last])
+
+    def columns(self) -> list[np.ndarray]:
         """Question, id and score of what is kept and reaches the least score of its question."""
-        n = self.scores.shape[1]
-        rows = [np.repeat(self.qids, n), self.ids.ravel(), self.scores.ravel()]
-        if least is None:
-            return rows
-        enough = self.scores.ravel() >= np.repeat(least, n)
-        return [r[enough] for r in rows]
+        self._cut()
+        if not self.kept:
+            return [self.qids[:0], self.qids[:0], self.least[:0]]
+        place, scores, ids = self.kept[0]
+        enough = ~(scores < self.least[place])
+        return [self.qids[place[enough]], ids[enough], scores[enough]]
 
 
 def _id_array(values) -> np.ndarray:
@@ -182,8 +212,7 @@ def _topk_broadcast(q: DataFrame, v: DataFrame, k: int, digits: int) -> DataFram
                 if len(m):
                     run.add(m, _id_array(ids.filter(mine).filter(pa.array(ok)).to_pylist()))
         for run in running.values():
-            if run.scores is not None:
-                yield _record_batch(run.columns(), arrow)
+            yield _record_batch(run.columns(), arrow)
 
     buckets = sorted({b for b, _ in packed if b is not None})
     wanted = v.where(F.col("bucket").isin(buckets)) if buckets else v.limit(0)
@@ -224,10 +253,10 @@ def _topk_blocked(q: DataFrame, v: DataFrame, k: int, digits: int, per_block: tu
             m, ok = _matrix(stored, dim)
             if dim and len(matrix) and len(m):
                 mask = pa.array(has)
-                run = _Running(_id_array(left["question_id"].filter(mask).to_pylist()), matrix, k, digits)
+                least = left["bound"].filter(mask).to_numpy().astype(np.float64)
+                run = _Running(_id_array(left["question_id"].filter(mask).to_pylist()), matrix, k, digits, least)
                 run.add(m, _id_array(right["id"].filter(pa.array(ok)).to_pylist()))
-                least = np.array(left["bound"].filter(mask).to_pylist(), np.float64)
-                out.append(_record_batch(run.columns(least), arrow))
+                out.append(_record_batch(run.columns(), arrow))
         return pa.Table.from_batches(out, schema=arrow)
 
     keys = ["bucket", "vb", "qb"]

@@ -66,3 +66,21 @@ def test_buckets_sizes_ties_and_gaps(spark):
     assert pruned_search.pruned_topk(asked, index.where("false"), 7).count() == 0
     empty = pruned_search.build_index(df.where("false"))
     assert empty.count() == 0
+
+
+def test_a_block_meets_all_its_questions_at_once(monkeypatch):
+    m = clustered(300, 1, 8, 5)
+    calls, add = [], pruned_search._Running.add
+    monkeypatch.setattr(pruned_search._Running, "add", lambda self, *a: (calls.append(len(a)), add(self, *a))[1])
+    scan = pruned_search.Scan({("b", 8): (np.arange(300), m, np.full(300, -np.inf))}, 5, 6)
+    for at in range(0, 300, 100):
+        part = m[at : at + 100]
+        centre = part.mean(axis=0)
+        radius = np.sqrt(((part - centre) ** 2).sum(axis=1)).max()
+        scan.add("b", 8, list(range(at, at + 100)), part.tobytes(), centre.tobytes(), radius, 1.0)
+    assert len(calls) == 3
+    got = {}
+    for q, i, s in zip(*(c.tolist() for c in scan.running["b", 8].columns()), strict=True):
+        got.setdefault(q, []).append((i, s))
+    rows = [(i, "b", x) for i, x in enumerate(m.tolist())]
+    close(got, every_pair(rows, rows, 5))
