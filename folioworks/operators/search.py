@@ -31,6 +31,8 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 VECTORS_PER_BLOCK = 50_000
 QUESTIONS_PER_BLOCK = 2_000
 MAX_SCORE_CELLS, ROWS_PER_SLICE = 1_000_000, 2_000
+#: Blocks that a bucket's questions, or its vectors, are cut into at most while blocks stay within the sizes above.
+MOST_BLOCKS = 8
 MAX_LITERAL_ROUTES = 256
 SCORE_DIGITS = 6
 
@@ -219,21 +221,31 @@ def _topk_broadcast(q: DataFrame, v: DataFrame, k: int, digits: int) -> DataFram
     return wanted.mapInArrow(scan, schema)
 
 
+def block_counts(q: DataFrame, v: DataFrame, per_block: tuple[int, int]) -> DataFrame:
+    """(bucket, n_q, n_v): the blocks of each bucket's questions and vectors."""
+
+    def counts(df: DataFrame, name: str, rows: int, most: int) -> DataFrame:
+        sizes = df.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
+        grown = F.greatest(F.lit(rows), F.least(F.ceil(F.col("_n") / MOST_BLOCKS), F.lit(most)))
+        return sizes.select("bucket", F.ceil(F.col("_n") / grown).cast("int").alias(name))
+
+    asked = counts(q, "n_q", per_block[0], QUESTIONS_PER_BLOCK)
+    return asked.join(counts(v, "n_v", per_block[1], VECTORS_PER_BLOCK), "bucket")
+
+
 def _topk_blocked(q: DataFrame, v: DataFrame, k: int, digits: int, per_block: tuple[int, int]) -> DataFrame:
     """Both sides cut into blocks, per bucket, by a hash of the id; blocks of one bucket meet in a task.
 
     Block numbers come from each bucket's own counts, so a small bucket is one block and a question reaches the
-    blocks of its bucket only. Every question meets its first block; its k-th best score there is a lower bound, and
+    blocks of its bucket only. A row is copied to as many tasks as the other side has blocks, so ``per_block`` holds
+    while a bucket has few of them: beyond ``MOST_BLOCKS`` its blocks grow, to ``QUESTIONS_PER_BLOCK`` and
+    ``VECTORS_PER_BLOCK`` rows, and only then their number does. Every question meets its first block; its k-th best score there is a lower bound, and
     of the other blocks only what reaches that is put out. So partial rows hardly grow with the number of blocks.
     Questions are written once, for they are counted and may be costly to route.
     """
     q = cut_lineage(q)
 
-    def counts(df: DataFrame, name: str, rows: int) -> DataFrame:
-        sizes = df.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
-        return sizes.select("bucket", F.ceil(F.col("_n") / rows).cast("int").alias(name))
-
-    blocks = counts(q, "n_q", per_block[0]).join(counts(v, "n_v", per_block[1]), "bucket")
+    blocks = block_counts(q, v, per_block)
     blocks = cut_lineage(blocks)  # a row per bucket
 
     def block(ident: str, n: str) -> Column:

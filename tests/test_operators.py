@@ -61,6 +61,19 @@ def test_topk_equals_brute_force(spark, monkeypatch, max_questions):
     assert got == brute_force(q, v, 6)
 
 
+def test_small_blocks_copy_no_row_to_ever_more_tasks(spark):
+    v, q = make_vectors(400, 1, ["a", "b"]), make_vectors(300, 2, ["a", "b"])
+    vdf = spark.createDataFrame(v, "id bigint, bucket string, vec array<double>").repartition(5)
+    qdf = spark.createDataFrame(q, "question_id bigint, bucket string, vec array<double>")
+    counts = search.block_counts(qdf, vdf, (3, 2)).collect()
+    assert len(counts) == 2 and all(1 < max(r["n_q"], r["n_v"]) <= search.MOST_BLOCKS for r in counts)
+    got = {}
+    rows = search.exact_topk(qdf, vdf, 6, max_questions=0, per_block=(3, 2)).collect()
+    for r in sorted(rows, key=lambda r: (r["question_id"], r["rank"])):
+        got.setdefault(r["question_id"], []).append((r["id"], r["score"]))
+    assert got == brute_force(q, v, 6)
+
+
 def test_topk_with_text_ids(spark):
     v = [("e1", "x", [1.0, 0.0]), ("e2", "x", [0.0, 1.0]), ("-e1", "x", [-1.0, 0.0])]
     vdf = spark.createDataFrame(v, "id string, bucket string, vec array<double>")
