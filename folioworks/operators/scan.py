@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from folioworks.session import cut_lineage
 
 ROWS_PER_BLOCK = 100_000
+#: Ranges that small blocks are dealt to at most, while these hold no more than ``ROWS_PER_BLOCK`` rows.
+RANGES = 64
 
 
 def _same(keys: list[str], prefix: str) -> list[Column]:
@@ -37,14 +39,22 @@ def with_blocks(
 
     Rows are cut by rank: a range partitioning over keys and all order columns (sampled quantiles), where a block is
     what one key has in one partition. So neither an outlier nor a column of one value makes a block larger; only rows
-    that are equal in keys and order stay together. What is cut is written to the shared folder first, so the input is
-    computed twice at most: for the sizes, and for that.
+    that are equal in keys and order stay together. Blocks of few rows are cut out of sorted ranges by their rows'
+    numbers there, for every range costs the driver a sample of the rows and the results of its tasks. What is cut is
+    written to the shared folder first, so the input is computed twice at most: for the sizes, and for that.
     """
     longest, total = group_sizes(df, keys)
     if longest <= rows_per_block:
         return None
-    placed = cut_lineage(df).repartitionByRange(max(2, -(-total // rows_per_block)), *keys, *order)
-    return cut_lineage(placed.withColumn("_block", F.spark_partition_id().cast("bigint")))
+    blocks = max(2, -(-total // rows_per_block))
+    ranges = min(blocks, max(RANGES, -(-total // ROWS_PER_BLOCK)))
+    placed = cut_lineage(df).repartitionByRange(ranges, *keys, *order)
+    block = F.spark_partition_id().cast("bigint")
+    if ranges < blocks:
+        placed = placed.sortWithinPartitions(*keys, *order).withColumn("_m", F.monotonically_increasing_id())
+        row = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))  # such an id has the row's number in its last 33 bits
+        block = F.shiftleft(block, 33) + F.floor(row / rows_per_block)
+    return cut_lineage(placed.withColumn("_block", block).drop("_m"))
 
 
 def ordered_scan(

@@ -716,3 +716,19 @@ def test_images_that_exist(spark):
     cited = spark.createDataFrame([("b/x.md", 1), ("b/x.md", 60)], "path string, line int")
     got = [(r["line"], r["rank"], r["url"]) for r in im.images_near_line(cited, found, "path", "line").orderBy("line", "rank").collect()]
     assert got == [(1, 1, "b/extracted_images/k.png"), (1, 2, "/abs/z.gif")]
+
+
+def test_small_blocks_need_no_range_each(spark, monkeypatch):
+    from folioworks.operators import scan
+
+    monkeypatch.setattr(scan, "RANGES", 4)
+    rows = [(1, 0 if i % 3 else 10**9, i) for i in range(3000)] + [(2, 5, i) for i in range(50)] + [(None, 1, 1)]
+    df = spark.createDataFrame(rows, "k int, page long, i long").repartition(5)
+    blocks = scan.with_blocks(df, ["k"], ["page", "i"], rows_per_block=20)
+    assert blocks.rdd.getNumPartitions() <= 4
+    sizes = [r["count"] for r in blocks.groupBy("k", "_block").count().collect()]
+    assert max(sizes) <= 20 and len(sizes) >= 150
+    how = ["k"], ["page", "i"], {"n": F.col("i")}, {"before": "i"}
+    climbs = {"at": (F.col("i"), F.lit(7).cast("long"))}
+    got = scan.ordered_scan(df, *how, 20, climbs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, scan.ordered_scan(df, *how, None, climbs).collect()))
