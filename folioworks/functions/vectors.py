@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioworks.functions.core import bind
 
@@ -27,47 +33,25 @@ def l2_normalize(v: Column) -> Column:
 
 
 def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
-    """Deterministic stand-in for a model: signed counts of hashed tokens, unit length."""
-
-    def number(hexa: Column) -> Column:
-        return F.conv(hexa, 16, 10).cast("bigint")
-
-    def slot(w: Column) -> Column:
-        return bind(
-            F.md5(w.cast("binary")),
-            lambda h: F.struct(
-                F.pmod(number(F.substring(h, 1, 8)), F.lit(dim)).alias("slot"),
-                F.when(number(F.substring(h, 9, 1)) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"),
-            ),
-        )
-
-    def counts(slots: Column) -> Column:
-        """One pass over the slots in order: a sum for each that occurs, then zeros for those between."""
-        begin = F.struct(
-            F.lit(-1).cast("bigint").alias("slot"),
-            F.lit(0.0).alias("sum"),
-            F.array().cast("array<struct<slot:bigint,sum:double>>").alias("done"),
-        )
-
-        def add(state: Column, s: Column) -> Column:
-            same = F.struct(
-                state["slot"].alias("slot"), (state["sum"] + s["sign"]).alias("sum"), state["done"].alias("done")
-            )
-            closed = F.concat(state["done"], F.array(F.struct(state["slot"].alias("slot"), state["sum"].alias("sum"))))
-            opened = F.struct(s["slot"].alias("slot"), s["sign"].alias("sum"), closed.alias("done"))
-            return F.when(s["slot"] == state["slot"], same).otherwise(opened)
-
-        def spread(sums: Column) -> Column:
-            before = lambda j: F.when(j == 0, F.lit(-1)).otherwise(F.get(sums, j - 1)["slot"])
-            zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
-            filled = F.transform(
-                sums, lambda s, j: F.concat(zeros(s["slot"] - before(j) - 1), F.array(s["sum"]))
-            )
-            last = F.coalesce(F.get(sums, F.size(sums) - 1)["slot"], F.lit(-1))
-            return F.concat(F.flatten(filled), zeros(F.lit(dim - 1) - last))
-
-        end = F.array(F.struct(F.lit(dim).cast("bigint").alias("slot"), F.lit(0.0).alias("sign")))
-        sums = F.aggregate(F.concat(F.sort_array(slots), end), begin, add, lambda s: s["done"])
-        return bind(F.filter(sums, lambda s: s["slot"] >= 0), spread)
-
-    return l2_normalize(bind(F.transform(tokens, slot), counts))
+    """Deterministic stand-in for a model: signed counts of hashed tokens, unit length.
+
+    Tokens go to Arrow batches, where each different one is hashed once and all are counted in one pass. NULL tokens
+    count for nothing; a NULL list has no vector.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def counts(lists: pa.Array) -> pa.Array:
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        heads = np.frombuffer(b"".join(md5(w).digest()[:5] for w in words), np.uint8).reshape(-1, 5).astype(np.int64)
+        slots = (heads[:, :4] @ np.array([1 << 24, 1 << 16, 1 << 8, 1])) % dim
+        signs = 1.0 - 2.0 * (heads[:, 4] >> 4 & 1)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lists)), lengths)
+        known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+        place = coded.indices.drop_null().to_numpy(zero_copy_only=False)
+        sums = np.bincount(row[known] * dim + slots[place], signs[place], len(lists) * dim)
+        ends = pa.array(np.arange(len(lists) + 1) * dim, pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(sums, pa.float64()), mask=lists.is_null())
+
+    return l2_normalize(counts(tokens))

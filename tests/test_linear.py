@@ -53,3 +53,20 @@ def test_long_chunks_are_those_of_plain_python(one):
         if start >= n - fv.CHUNK_MIN:
             break
     assert got == want
+
+
+def test_hashed_embedding_counts_in_batches(spark):
+    """Against plain Python, with NULL tokens and lists; tokens are hashed in Arrow batches, not in a fold per token."""
+    from hashlib import md5
+
+    lists = [["a", "b", "a", None, "ä"], [], None, [None], [""], [f"w{i}" for i in range(3000)]]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, t array<string>").repartition(3)
+    out = df.select("i", hashed_embedding(F.col("t"), 7).alias("v"))
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+    for i, got in sorted(map(tuple, out.collect())):
+        want = [0.0] * 7
+        for w in filter(lambda w: w is not None, lists[i] or []):
+            h = md5(w.encode()).hexdigest()
+            want[int(h[:8], 16) % 7] += -1.0 if int(h[8], 16) % 2 else 1.0
+        norm = sum(x * x for x in want) ** 0.5 or 1.0
+        assert got is None if lists[i] is None else all(abs(x / norm - y) < 1e-12 for x, y in zip(want, got, strict=True))
