@@ -21,8 +21,10 @@ from folioworks.llm.shared import bounded_batches, stage
 
 #: A passage is two chunks of so many words; consecutive passages share one.
 CHUNK = 32
-#: Passages of the corpus that the decomposition is fitted on, its rank and oversampling, and its passes.
-FIT_PASSAGES, RANK, MORE, PASSES = 8192, 256, 16, 2
+#: Rank of the decomposition, its oversampling and its passes over all passages of the corpus.
+RANK, MORE, PASSES = 256, 16, 2
+#: Chunks that are multiplied at once, and words of them that most passages have: their counts are a dense block.
+FIT_CHUNKS, FIT_DENSE = 512, 128
 #: Words in a larger share of the documents and of the items than this carry no weight.
 MOST_COMMON = 0.2
 #: Passages this near to an item are checked: the lower, the more.
@@ -109,13 +111,14 @@ class Index:
 
 
 def fit(docs: DataFrame, benchmark: DataFrame) -> Index:
-    """Weights from all documents, the latent space from all items and a sample of passages.
-
-    Document frequencies of the items' words are counted over every whole text, on the tasks first. The TF-IDF rows of
-    all items and of some 8,192 passages (documents drawn by their hash, at a rate that all passages decide) form the
-    matrix; items weigh as much as the sample together. A randomised range finder with power passes runs as Spark
-    jobs over the staged sample: a task multiplies its rows with the broadcast basis (words of the items x 272), the
-    partial products are added by blocks of words on the tasks, and their one sum is made orthonormal.
+    """Weights from all documents, the latent space from all items and all passages.
+
+    Every whole text is cut into words once, and the numbers of those that items have are staged by chunks, two bytes
+    or four for each. Document frequencies are counted over them, on the tasks first. The TF-IDF rows of all items and
+    of all passages form the matrix; items weigh as much as the passages together. A randomised range finder with power
+    passes runs as Spark jobs over the staged chunks: a task multiplies its rows with the broadcast basis (words of the
+    items x 272), the partial products are added by blocks of words on the tasks, and their one sum is made
+    orthonormal.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -128,9 +131,10 @@ def fit(docs: DataFrame, benchmark: DataFrame) -> Index:
     answers = [tokens(r["answer"]) if len(columns) > 2 and r["answer"] else answer_of(r["text"]) for r in rows]
     vocabulary = {w: i for i, w in enumerate(sorted({w for item in items for w in item}))}
 
-    counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "word int, n long")
+    chunks = stage(docs.select("text").mapInArrow(_chunk_rows(vocabulary), "words binary, ends binary, lasts binary"))
+    counted = chunks.select("words", "ends", "lasts").mapInArrow(_frequencies(len(vocabulary)), "word int, n long")
     counts = {r["word"]: r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    number, passages = counts.pop(-1, 0), counts.pop(-2, 0)
+    number = counts.pop(-1, 0)
     in_docs = np.array([counts.get(i, 0) for i in range(len(vocabulary))], np.float64)
     weights = word_weights(
         in_docs,
@@ -140,13 +144,10 @@ def fit(docs: DataFrame, benchmark: DataFrame) -> Index:
     )
     unknown = float(np.median(weights)) if len(weights) else 1.0
 
-    rate = min(1.0, FIT_PASSAGES / max(1, passages))
-    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30))))
-    sample = stage(drawn.select("text").mapInArrow(_passage_rows(vocabulary), "words binary, ends binary"))
     cut = [(i, at, piece) for i, item in enumerate(items) for at, piece in item_passages(item)]
     owners, offsets = np.array([c[0] for c in cut], np.int64), np.array([c[1] for c in cut], np.int64)
     pieces = [c[2] for c in cut]
-    space = _decompose(sample, _rows_of(pieces, vocabulary), weights)
+    space = _decompose(_normed(chunks, weights), _rows_of(pieces, vocabulary), weights)
     space = (weights[:, None] * space).astype(np.float32)
     queries = np.array([space[[vocabulary[w] for w in piece]].sum(axis=0) for piece in pieces], np.float32)
     queries = queries.reshape(len(pieces), space.shape[1])
@@ -210,41 +211,90 @@ def word_weights(in_docs: np.ndarray, docs: int, in_items: np.ndarray, items: in
     return np.where(share > MOST_COMMON, 0.0, -np.log(share))
 
 
-def _frequencies(vocabulary: dict[bytes, int]):
+def _kind(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.int32
+
+
+def _chunk_rows(vocabulary: dict[bytes, int]):
+    """The known words of all chunks of a batch, where each chunk ends among them, and each text's chunks up to its end."""
+    kind = _kind(len(vocabulary))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [tokens(text.as_py()) for text in batch.column(0)]
+            lengths = np.array([len(x) for x in split], np.int64)
+            found = map(vocabulary.get, chain.from_iterable(split), repeat(-1))
+            word = np.fromiter(found, np.int64, lengths.sum())
+            chunks = -(-lengths // CHUNK)
+            lasts = np.cumsum(chunks)
+            at = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            at = np.repeat(lasts - chunks, lengths) + at // CHUNK
+            ends = np.cumsum(np.bincount(at[word >= 0], minlength=chunks.sum()))
+            packed = word[word >= 0].astype(kind).tobytes(), ends.astype(np.int64).tobytes(), lasts.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], ["words", "ends", "lasts"])
+
+    return rows
+
+
+def _unpacked(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for words, ends, lasts in zip(*(batch.column(c) for c in ("words", "ends", "lasts")), strict=True):
+        yield (
+            np.frombuffer(words.as_buffer(), _kind(size)),
+            np.frombuffer(ends.as_buffer(), np.int64),
+            np.frombuffer(lasts.as_buffer(), np.int64),
+        )
+
+
+def _frequencies(size: int):
+    """The number of texts with each word, and at -1 that of all texts."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, number, passages = np.zeros(len(vocabulary), np.int64), 0, 0
-        known = vocabulary.keys()
+        found, number = np.zeros(size, np.int64), 0
         for batch in batches:
-            for text in batch.column(0):
-                split = tokens(text.as_py())
-                number += 1
-                passages += -(-len(split) // CHUNK)
-                here = known & set(split)
-                found[[vocabulary[w] for w in here]] += 1
+            for words, ends, lasts in _unpacked(batch, size):
+                number += len(lasts)
+                if len(words):
+                    in_text = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], lasts])])
+                    pairs = np.unique(np.repeat(np.arange(len(lasts)) * size, in_text) + words)
+                    found += np.bincount(pairs % size, minlength=size)
         some = np.flatnonzero(found)
-        words = pa.array([*some.tolist(), -1, -2], pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [words, pa.array([*found[some].tolist(), number, passages], pa.int64())], ["word", "n"]
-        )
+        words = pa.array([*some.tolist(), -1], pa.int32())
+        yield pa.RecordBatch.from_arrays([words, pa.array([*found[some].tolist(), number], pa.int64())], ["word", "n"])
 
     return count
 
 
-def _passage_rows(vocabulary: dict[bytes, int]):
-    """The known words of all passages of a batch, and where each passage ends among them."""
+def _normed(chunks: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Staged: the words with weight of all chunks, and ``scales``, one over the squared length of each passage."""
+    ship = chunks.sparkSession.sparkContext.broadcast(weights)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = ship.value
         for batch in batches:
-            words, ends = [], []
-            for text in batch.column(0):
-                split = tokens(text.as_py())
-                for at in range(0, len(split), CHUNK):
-                    words += [i for w in split[at : at + 2 * CHUNK] if (i := vocabulary.get(w)) is not None]
-                    ends.append(len(words))
-            packed = [np.array(words, np.int32).tobytes()], [np.array(ends, np.int64).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.binary()) for p in packed], ["words", "ends"])
-
-    return rows
+            for words, ends, lasts in _unpacked(batch, len(weights)):
+                good = weights[words] > 0 if len(words) else np.zeros(0, bool)
+                ends = np.concatenate([[0], np.cumsum(good)])[ends]
+                words = words[good]
+                chunk = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+                joins = _joined(len(ends), lasts)
+                before = (chunk > 0) & joins[chunk - 1]  # the passage before has this chunk, too
+                keys = np.concatenate([chunk, chunk[before] - 1]) * len(weights) + np.concatenate([words, words[before]])
+                keys, times = np.unique(keys, return_counts=True)
+                square = (weights[keys % max(1, len(weights))] * times) ** 2
+                square = np.bincount(keys // max(1, len(weights)), square, minlength=len(ends))
+                scales = np.divide(1.0, square, out=np.zeros(len(ends)), where=square > 0).astype(np.float32)
+                packed = words.tobytes(), ends.astype(np.int64).tobytes(), lasts.tobytes(), scales.tobytes()
+                names = ["words", "ends", "lasts", "scales"]
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], names)
+
+    return stage(chunks.mapInArrow(norm, "words binary, ends binary, lasts binary, scales binary"))
+
+
+def _joined(chunks: int, lasts: np.ndarray) -> np.ndarray:
+    """Whether the passage that begins with a chunk has the next one: all but the last of each text."""
+    joins = np.ones(chunks, bool)
+    joins[lasts[lasts > 0] - 1] = False
+    return joins
 
 
 def _rows_of(items: list[list[bytes]], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -267,6 +317,54 @@ def _product(words: np.ndarray, ends: np.ndarray, weights: np.ndarray, basis: np
     return out
 
 
+def _passage_product(
+    words: np.ndarray, ends: np.ndarray, lasts: np.ndarray, scales: np.ndarray, basis: np.ndarray, dense: np.ndarray,
+    out: np.ndarray,
+) -> None:
+    """Add A' A basis to ``out`` for the rows of all passages; ``basis`` has the weights in it, ``out`` lacks them.
+
+    A passage is two chunks, so chunks are multiplied, and neighbours are added. ``dense`` has the place of each word
+    that is counted in a dense block, and -1 for the others, whose rows are gathered.
+    """
+    joins = _joined(len(ends), lasts)
+    wide = int(dense.max(initial=-1)) + 1
+    often = np.flatnonzero(dense >= 0)
+    often = often[np.argsort(dense[often])]
+    for first in range(0, len(ends), FIT_CHUNKS):
+        # The chunk before begins a passage that ends here, and the last passage needs the next chunk.
+        low, high = max(0, first - 1), min(len(ends), first + FIT_CHUNKS + 1)
+        own = min(len(ends), first + FIT_CHUNKS)
+        start = ends[low - 1] if low else 0
+        word = words[start : ends[high - 1]]
+        chunk = np.repeat(np.arange(high - low), np.diff(np.concatenate([[start], ends[low:high]])))
+        place = dense[word]
+        many = place >= 0
+        counts = np.bincount(chunk[many] * wide + place[many], minlength=(high - low) * wide)
+        counts = counts.reshape(high - low, wide).astype(np.float32)
+        latent = counts @ basis[often]
+        rare, at = word[~many], chunk[~many]
+        if len(rare):
+            begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            latent[at[begins]] += np.add.reduceat(basis[rare], begins, axis=0)
+        pair = joins[low:high].copy()
+        pair[-1] = False
+        nexts = np.flatnonzero(pair)
+        added = latent.copy()
+        added[nexts] += latent[nexts + 1]
+        added *= scales[low:high, None]
+        both = added.copy()
+        both[nexts + 1] += added[nexts]
+        a, b = first - low, own - low
+        out[often] += counts[a:b].T @ both[a:b]
+        mine = (at >= a) & (at < b)
+        rare, at = rare[mine], at[mine]
+        if len(rare):
+            order = np.argsort(rare, kind="stable")
+            rare, at = rare[order], at[order]
+            begins = np.flatnonzero(np.concatenate([[True], rare[1:] != rare[:-1]]))
+            out[rare[begins]] += np.add.reduceat(both[at], begins, axis=0)
+
+
 def _added(block: pa.Table) -> pa.Table:
     """The sum of all tasks' products for one block of words, in the order of the tasks."""
     block = block.sort_by("part")
@@ -276,23 +374,29 @@ def _added(block: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([*columns, pa.array([total.tobytes()], pa.binary())], ["block", "rows", "total"])
 
 
-def _decompose(sample: DataFrame, items: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> np.ndarray:
-    """The leading right singular vectors of the items' and the sample's rows."""
-    context = sample.sparkSession.sparkContext
+def _decompose(passages: DataFrame, items: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors of the items' and the passages' rows."""
+    context = passages.sparkSession.sparkContext
+    tasks = context.defaultParallelism  # each has a product of its own to hand on
+    often = np.bincount(items[0], minlength=len(weights)) * (weights > 0)
+    often = np.argsort(-often, kind="stable")[:FIT_DENSE]
+    dense = np.full(len(weights), -1)
+    dense[often] = np.arange(len(often))
     width = min(RANK + MORE, len(weights))
     basis = np.linalg.qr(np.random.default_rng(5).normal(size=(len(weights), width)))[0].astype(np.float32)
 
     def times(basis: np.ndarray) -> np.ndarray:
-        ship = context.broadcast((basis, weights))
+        ship = context.broadcast((weights[:, None].astype(np.float32) * basis, weights, dense))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, word_weights = ship.value
+            held, word_weights, dense = ship.value
             total, rows = np.zeros(held.shape, np.float32), 0
             for batch in batches:
-                for words, ends in zip(*(batch.column(c).to_pylist() for c in ("words", "ends")), strict=True):
-                    ends = np.frombuffer(ends, np.int64)
-                    rows += len(ends)
-                    total += _product(np.frombuffer(words, np.int32), ends, word_weights, held)
+                scales = (np.frombuffer(x.as_buffer(), np.float32) for x in batch.column("scales"))
+                for unpacked, scale in zip(_unpacked(batch, len(word_weights)), scales, strict=True):
+                    rows += len(scale)
+                    _passage_product(*unpacked, scale, held, dense, total)
+            total *= word_weights[:, None].astype(np.float32)
             blocks = range(0, len(total), WORD_BLOCK)
             columns = [
                 pa.array([b // WORD_BLOCK for b in blocks], pa.int32()),
@@ -302,7 +406,7 @@ def _decompose(sample: DataFrame, items: tuple[np.ndarray, np.ndarray], weights:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["block", "part", "rows", "total"])
 
-        partial = sample.coalesce(8).mapInArrow(part, "block int, part int, rows long, total binary")
+        partial = passages.coalesce(tasks).mapInArrow(part, "block int, part int, rows long, total binary")
         sums = partial.groupBy("block").applyInArrow(_added, "block int, rows long, total binary").collect()
         ship.destroy()
         total, rows = np.zeros(basis.shape, np.float32), 0

@@ -536,3 +536,39 @@ def test_other_tokenizers(name):
     count = token_counts.counter("." + name.rpartition(".")[2], open(file, "rb").read())
     assert count(["", "some words", "some words and more"])[0] == 0
     assert count(["some words"])[0] > 0
+
+
+def test_the_space_is_fitted_on_every_passage(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 60, n)) for n in [0, 5, 32, 33, 64, 65, 700] + [32 * 300] * 30]
+    texts += [None, "zz zz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    items = [(i, " ".join(f"w{int(x)}" for x in rng.integers(0, 50, 40))) for i in range(5)]
+    seen, decompose = [], decontamination._decompose
+    monkeypatch.setattr(
+        decontamination, "_decompose", lambda *a: (seen.append((a[0].collect(), a[2])), decompose(*a))[1]
+    )
+    monkeypatch.setattr(decontamination, "MOST_COMMON", 2)
+    index = decontamination.fit(docs, spark.createDataFrame(items, "item_id long, text string"))
+    (rows, weights), vocabulary = seen[0], index.vocabulary
+    passages = []
+    for t in texts:
+        split = decontamination.tokens(t)
+        passages += [split[at : at + 64] for at in range(0, len(split), 32)]
+    assert len(passages) > 9000 and sum(len(r["scales"]) // 4 for r in rows) == len(passages)
+    a = np.zeros((len(passages), len(weights)))
+    for i, p in enumerate(passages):
+        np.add.at(a[i], [vocabulary[w] for w in p if w in vocabulary], 1)
+    a *= weights
+    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+    basis = rng.normal(size=(len(weights), 4)).astype(np.float32)
+    dense = np.full(len(weights), -1)
+    dense[[3, 1, 7]] = [0, 1, 2]
+    out = np.zeros(basis.shape, np.float32)
+    monkeypatch.setattr(decontamination, "FIT_CHUNKS", 7)
+    for r in rows:
+        words = np.frombuffer(r["words"], np.uint16), np.frombuffer(r["ends"], np.int64), np.frombuffer(r["lasts"], np.int64)
+        weighted = (weights[:, None] * basis).astype(np.float32)
+        decontamination._passage_product(*words, np.frombuffer(r["scales"], np.float32), weighted, dense, out)
+    want = a.T @ (a @ basis)
+    assert np.abs(weights[:, None] * out - want).max() < 1e-3 * np.abs(want).max()
