@@ -732,3 +732,19 @@ def test_small_blocks_need_no_range_each(spark, monkeypatch):
     climbs = {"at": (F.col("i"), F.lit(7).cast("long"))}
     got = scan.ordered_scan(df, *how, 20, climbs).collect()
     assert sorted(map(str, got)) == sorted(map(str, scan.ordered_scan(df, *how, None, climbs).collect()))
+
+
+def test_scores_of_a_block_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    questions, vectors = rng.normal(size=(2000, 16)), rng.normal(size=(6000, 16))
+    run = search._Running(np.arange(2000), questions, 4, 6)
+    tracemalloc.start()
+    run.add(vectors, np.arange(6000))
+    place, ids, scores = run.columns()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    want = np.sort(np.round(questions @ vectors.T, 6), axis=1)[:, :-5:-1]
+    assert np.array_equal(place, np.repeat(np.arange(2000), 4)) and np.allclose(scores.reshape(-1, 4), want, atol=2e-6)
