@@ -2,6 +2,7 @@
 
 import re
 import time
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -208,6 +209,16 @@ def test_language_stage(steps):
     assert ids(steps[0]) - ids(steps[1]) == {10**6, 10**6 + 1}
 
 
+def test_language_stage_learns_from_all_documents(spark, sf):
+    """A language whose documents are all among op2's held-out ids, and one whose documents have no id."""
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1][:4]
+    rows = [(i, "это русский текст о погоде и о море", "ru") for i in held]
+    rows += [(None, "αυτό είναι ένα κείμενο για τον καιρό", "el"), (1000, "a text about the weather and the sea", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, sf)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_join_stage_keeps_one_of_each_group(steps):
     before = [(r["doc_id"], r["text"]) for r in steps[1].collect()]
     want = sorted({str(i) for i, _, least in joined(before, 5, 80) if i == least})  # NULL only if none has an id
