@@ -25,6 +25,9 @@ CHUNK = 32
 RANK, MORE, PASSES = 256, 16, 2
 #: Chunks that are multiplied at once, and words of them that most passages have: their counts are a dense block.
 FIT_CHUNKS, FIT_DENSE = 512, 128
+#: Up to so many words of the items, the products of all pairs of words are summed once, in blocks of so many bytes, and
+#: the passes go over the sums; the words that most passages have are a dense block there, too.
+MOST_PAIRED, PAIRED_BYTES, PAIRED_DENSE = 6000, 1 << 20, 64
 #: Words in a larger share of the documents and of the items than this carry no weight.
 MOST_COMMON = 0.2
 #: Passages this near to an item are checked: the lower, the more.
@@ -42,6 +45,8 @@ MOST_ITEMS, ITEM_BLOCK = 50_000, 1000
 WORD_BLOCK = 4096
 #: Words whose counts are kept as a dense block.
 FREQUENT = 640
+#: Cells of chunks x words that are held at once to count an item's words in windows, and chunks of the longest of them.
+PRESENT, LONGEST = 1 << 24, 64
 
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -107,6 +112,10 @@ class Index:
     frequent: np.ndarray
     #: For each item, a bit mask of the places of each of its words.
     places: list[dict[bytes, int]]
+    #: The words of all items, item by item from ``begins`` on, and how often the item has each.
+    begins: np.ndarray
+    words: np.ndarray
+    times: np.ndarray
     id_type: DataType
 
 
@@ -116,9 +125,10 @@ def fit(docs: DataFrame, benchmark: DataFrame) -> Index:
     Every whole text is cut into words once, and the numbers of those that items have are staged by chunks, two bytes
     or four for each. Document frequencies are counted over them, on the tasks first. The TF-IDF rows of all items and
     of all passages form the matrix; items weigh as much as the passages together. A randomised range finder with power
-    passes runs as Spark jobs over the staged chunks: a task multiplies its rows with the broadcast basis (words of the
-    items x 272), the partial products are added by blocks of words on the tasks, and their one sum is made
-    orthonormal.
+    passes runs as Spark jobs. Up to ``MOST_PAIRED`` words, tasks sum the products of all pairs of words over the staged
+    chunks, these sums are added by blocks on the tasks and staged, and a pass multiplies them with the broadcast basis
+    (words of the items x 272). With more words, each pass multiplies the chunks' rows with the basis, and the partial
+    products are added by blocks of words on the tasks. Either way one sum comes to the driver, and is made orthonormal.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -160,9 +170,12 @@ def fit(docs: DataFrame, benchmark: DataFrame) -> Index:
     shared = _shared(items, poor.tolist(), vocabulary, in_docs)
     frequent = np.sort(np.argsort(-in_docs, kind="stable")[:FREQUENT])
     ids, places = [r["item_id"] for r in rows], [word_places(item) for item in items]
+    begins = np.cumsum([0, *map(len, places)])
+    words = np.array([vocabulary[w] for own in places for w in own], np.int64)
+    times = np.array([m.bit_count() for own in places for m in own.values()], np.int64)
     return Index(
         ids, items, answers, vocabulary, weights, unknown, space, queries, owners, offsets, shared, frequent, places,
-        benchmark.schema["item_id"].dataType,
+        begins, words, times, benchmark.schema["item_id"].dataType,
     )
 
 
@@ -365,6 +378,110 @@ def _passage_product(
             out[rare[begins]] += np.add.reduceat(both[at], begins, axis=0)
 
 
+def _paired(
+    words: np.ndarray, ends: np.ndarray, lasts: np.ndarray, scales: np.ndarray, wide: int, out: np.ndarray
+) -> None:
+    """Add the products of all pairs of words in the rows of all passages to ``out``, without the weights.
+
+    The first ``wide`` words are counted in a dense block: their columns get the whole sums. Of other pairs only those
+    come that stand in order in a chunk or in it and the next, a word with itself by half: ``out`` there lacks its
+    transpose.
+    """
+    joins = _joined(len(ends), lasts)
+    flat = out.reshape(-1)
+    for first in range(0, len(ends), FIT_CHUNKS):
+        # The chunk before begins a passage that ends here, and the last passage needs the next chunk.
+        low, high = max(0, first - 1), min(len(ends), first + FIT_CHUNKS + 1)
+        own = min(len(ends), first + FIT_CHUNKS)
+        start = ends[low - 1] if low else 0
+        word = words[start : ends[high - 1]].astype(np.int64)
+        chunk = np.repeat(np.arange(high - low), np.diff(np.concatenate([[start], ends[low:high]])))
+        many = word < wide
+        counts = np.bincount(chunk[many] * wide + word[many], minlength=(high - low) * wide)
+        counts = counts.reshape(high - low, wide).astype(np.float32)
+        pair = joins[low:high].copy()
+        pair[-1] = False
+        nexts = np.flatnonzero(pair)
+        added = counts.copy()
+        added[nexts] += counts[nexts + 1]
+        added *= scales[low:high, None]
+        both = added.copy()
+        both[nexts + 1] += added[nexts]
+        a, b = first - low, own - low
+        out[:wide, :wide] += counts[a:b].T @ both[a:b]
+        rare, at = word[~many], chunk[~many]
+        begin = np.searchsorted(at, np.arange(high - low + 1))
+        mine = np.arange(begin[a], begin[b])
+        if not len(mine):
+            continue
+        here = at[mine]
+        order = np.argsort(rare[mine], kind="stable")
+        ranked = rare[mine][order]
+        begins = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        out[ranked[begins], :wide] += np.add.reduceat(both[here[order]], begins, axis=0)
+        same = scales[low:high].copy()
+        same[nexts + 1] += scales[low:high][nexts]
+        many = begin[here + 1 + pair[here]] - mine  # from the word itself to the end of the next chunk
+        one = np.repeat(np.arange(len(mine)), many)
+        other = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - mine, many)
+        value = np.where(at[other] == here[one], same[here[one]], scales[low:high][here[one]])
+        value[other == mine[one]] *= 0.5
+        np.add.at(flat, rare[mine][one] * len(out) + rare[other], value)
+
+
+def _pair_sums(passages: DataFrame, order: np.ndarray, tasks: int) -> DataFrame:
+    """Staged: the sums of all pairs of words over all passages, by blocks of rows; words come in ``order``."""
+    rank = np.empty(len(order), _kind(len(order)))
+    rank[order] = np.arange(len(order))
+    wide = min(PAIRED_DENSE, len(order))
+    step = max(1, PAIRED_BYTES // max(1, 4 * len(order)))
+    ship = passages.sparkSession.sparkContext.broadcast(rank)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = ship.value
+        total, rows = np.zeros((len(rank), len(rank)), np.float32), 0
+        for batch in batches:
+            scales = (np.frombuffer(x.as_buffer(), np.float32) for x in batch.column("scales"))
+            for (words, ends, lasts), scale in zip(_unpacked(batch, len(rank)), scales, strict=True):
+                rows += len(scale)
+                _paired(rank[words], ends, lasts, scale, wide, total)
+        for first in range(0, len(total), step):
+            block = total[first : first + step].copy()
+            rare = max(first, wide)  # rows from here on are of words outside of the dense block
+            block[: rare - first, wide:] = total[wide:, first:rare].T[: len(block)]
+            block[rare - first :, wide:] += total[wide:, rare : first + step].T
+            columns = [
+                pa.array([first // step], pa.int32()),
+                pa.array([TaskContext.get().partitionId()], pa.int32()),
+                pa.array([rows], pa.int64()),
+                pa.array([block.tobytes()], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "part", "rows", "total"])
+
+    partial = passages.coalesce(tasks).mapInArrow(part, "block int, part int, rows long, total binary")
+    return stage(partial.groupBy("block").applyInArrow(_added, "block int, rows long, total binary"))
+
+
+def _paired_times(sums: DataFrame, order: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, int]:
+    """A' A basis for the rows of all passages from the sums of pairs of words, and the number of the rows."""
+    step = max(1, PAIRED_BYTES // max(1, 4 * len(order)))
+    ship = sums.sparkSession.sparkContext.broadcast((weights[:, None].astype(np.float32) * basis)[order])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = ship.value
+        for batch in batches:
+            found = (np.frombuffer(x.as_buffer(), np.float32).reshape(-1, len(held)) @ held for x in batch.column("total"))
+            columns = [batch.column("block"), batch.column("rows"), pa.array([f.tobytes() for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "rows", "total"])
+
+    total, rows = np.zeros(basis.shape, np.float32), 0
+    for r in sums.mapInArrow(multiply, sums.schema).collect():
+        words, rows = order[r["block"] * step : (r["block"] + 1) * step], r["rows"]
+        total[words] = np.frombuffer(r["total"], np.float32).reshape(-1, basis.shape[1])
+    ship.destroy()
+    return total * weights[:, None].astype(np.float32), rows
+
+
 def _added(block: pa.Table) -> pa.Table:
     """The sum of all tasks' products for one block of words, in the order of the tasks."""
     block = block.sort_by("part")
@@ -379,13 +496,15 @@ def _decompose(passages: DataFrame, items: tuple[np.ndarray, np.ndarray], weight
     context = passages.sparkSession.sparkContext
     tasks = context.defaultParallelism  # each has a product of its own to hand on
     often = np.bincount(items[0], minlength=len(weights)) * (weights > 0)
-    often = np.argsort(-often, kind="stable")[:FIT_DENSE]
+    order = np.argsort(-often, kind="stable")
     dense = np.full(len(weights), -1)
-    dense[often] = np.arange(len(often))
+    dense[order[:FIT_DENSE]] = np.arange(len(order[:FIT_DENSE]))
     width = min(RANK + MORE, len(weights))
     basis = np.linalg.qr(np.random.default_rng(5).normal(size=(len(weights), width)))[0].astype(np.float32)
 
-    def times(basis: np.ndarray) -> np.ndarray:
+    sums = _pair_sums(passages, order, tasks) if len(weights) <= MOST_PAIRED else None
+
+    def over_passages(basis: np.ndarray) -> tuple[np.ndarray, int]:
         ship = context.broadcast((weights[:, None].astype(np.float32) * basis, weights, dense))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,12 +526,16 @@ def _decompose(passages: DataFrame, items: tuple[np.ndarray, np.ndarray], weight
             yield pa.RecordBatch.from_arrays(columns, ["block", "part", "rows", "total"])
 
         partial = passages.coalesce(tasks).mapInArrow(part, "block int, part int, rows long, total binary")
-        sums = partial.groupBy("block").applyInArrow(_added, "block int, rows long, total binary").collect()
+        found = partial.groupBy("block").applyInArrow(_added, "block int, rows long, total binary").collect()
         ship.destroy()
         total, rows = np.zeros(basis.shape, np.float32), 0
-        for r in sums:
+        for r in found:
             at, rows = r["block"] * WORD_BLOCK, r["rows"]
             total[at : at + WORD_BLOCK] = np.frombuffer(r["total"], np.float32).reshape(-1, basis.shape[1])
+        return total, rows
+
+    def times(basis: np.ndarray) -> np.ndarray:
+        total, rows = over_passages(basis) if sums is None else _paired_times(sums, order, weights, basis)
         share = max(1, rows) / max(1, len(items[1]))
         return total + share * _product(*items, weights, basis)
 
@@ -529,6 +652,7 @@ def _near(lengths: np.ndarray, word: np.ndarray, chunk: np.ndarray, index: Index
     chunks = -(-lengths // CHUNK)
     first = np.cumsum(chunks) - chunks
     chunk = np.repeat(first, lengths) + chunk
+    known = chunk[word >= 0], word[word >= 0]
     square = np.bincount(chunk, np.where(word >= 0, index.weights[word], index.unknown) ** 2, minlength=chunks.sum())
     chunk, word = chunk[word >= 0], word[word >= 0]
     # Words that most documents have are counted and multiplied as a block, the others' rows are added up.
@@ -546,15 +670,57 @@ def _near(lengths: np.ndarray, word: np.ndarray, chunk: np.ndarray, index: Index
     latent[joins] += latent[np.flatnonzero(joins) + 1]
     square[joins] += square[np.flatnonzero(joins) + 1]
     latent /= np.maximum(np.sqrt(square), 1e-12)[:, None].astype(np.float32)
-    before = np.array([window_chunks(len(item))[0] for item in index.items], np.int64)
+    before, size = np.array([window_chunks(len(item)) for item in index.items], np.int64).T
     for block in range(0, len(index.queries), ITEM_BLOCK):
         at, piece = np.nonzero(latent @ index.queries[block : block + ITEM_BLOCK].T >= LEAST_COSINE)
         item = index.owners[block + piece]
         start = at - first[doc[at]] - index.offsets[block + piece] - before[item]
-        found = np.unique(np.stack([doc[at], start, item], axis=1), axis=0)
+        low, high = np.maximum(start, 0), np.minimum(start + size[item], chunks[doc[at]])
+        some = _enough(first[doc[at]] + low, first[doc[at]] + high, item, *known, index)
+        found = np.unique(np.stack([doc[at], start, item], axis=1)[some], axis=0)
         yield from map(tuple, found.tolist())
 
 
+def _enough(
+    low: np.ndarray, high: np.ndarray, item: np.ndarray, chunk: np.ndarray, word: np.ndarray, index: Index
+) -> np.ndarray:
+    """Whether the chunks ``low`` to ``high`` have as many words of the item as a leak must, as ``is_leak`` counts them.
+
+    ``chunk`` and ``word`` are the known words, by chunk. Windows are taken by stretches of ``PRESENT`` cells; those
+    that are longer than ``LONGEST`` chunks are not counted.
+    """
+    needed = PARAPHRASE * np.add.reduceat(index.times, index.begins[:-1])
+    out = high - low > LONGEST
+    left = np.flatnonzero((high > low) & ~out)
+    left = left[np.lexsort((high[left], low[left]))]
+    step = max(1, PRESENT // len(index.weights) - LONGEST)
+    at = 0
+    while at < len(left):
+        base = int(low[left[at]])
+        end = int(np.searchsorted(low[left], base + step))
+        mine, at = left[at:end], end
+        a, b = np.searchsorted(chunk, [base, high[mine].max()])
+        has = np.zeros((high[mine].max() - base, len(index.weights)), bool)
+        has[chunk[a:b] - base, word[a:b]] = True
+        length = high[mine] - low[mine]
+        for n in np.unique(length).tolist():
+            some = mine[length == n]
+            starts, row = np.unique(low[some] - base, return_inverse=True)
+            window = has[starts]
+            for k in range(1, n):
+                window |= has[starts + k]
+            many = index.begins[item[some] + 1] - index.begins[item[some]]
+            pairs = np.cumsum(many)
+            cuts = np.searchsorted(pairs, np.arange(PAIRS, pairs[-1] + PAIRS, PAIRS), side="right")
+            for i, j in zip([0, *cuts[:-1]], cuts, strict=True):
+                if i < j:
+                    own, m = some[i:j], many[i:j]
+                    pair = np.arange(m.sum()) + np.repeat(index.begins[item[own]] - (np.cumsum(m) - m), m)
+                    found = window[np.repeat(row[i:j], m), index.words[pair]] * index.times[pair]
+                    out[own] = np.add.reduceat(found, np.cumsum(m) - m) >= needed[item[own]]
+    return out
+
+
 def flag(docs: DataFrame, index: Index) -> DataFrame:
     """``docs`` with contaminated, item_id and overlap: the item that most words of follow in order, and their share.
 

@@ -572,3 +572,53 @@ def test_the_space_is_fitted_on_every_passage(spark, monkeypatch):
         decontamination._passage_product(*words, np.frombuffer(r["scales"], np.float32), weighted, dense, out)
     want = a.T @ (a @ basis)
     assert np.abs(weights[:, None] * out - want).max() < 1e-3 * np.abs(want).max()
+
+
+def test_passes_go_over_sums_of_pairs(spark, monkeypatch):
+    """Sums of pairs of words, each of them once, against the rows of all passages; and the space is that of the passes."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, n) % 90) for n in [0, 5, 31, 32, 33, 64, 65, 700, 9000]]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, "zz"])), "doc_id long, text string").repartition(3)
+    items = [(i, " ".join(f"w{int(x)}" for x in rng.integers(0, 80, 40))) for i in range(9)]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontamination, "PAIRED_BYTES", 4 * 70 * 7)
+    monkeypatch.setattr(decontamination, "FIT_CHUNKS", 7)
+    seen, sums = [], decontamination._pair_sums
+    monkeypatch.setattr(decontamination, "_pair_sums", lambda *a: seen.append((*a, sums(*a))) or seen[-1][-1])
+    for wide in (0, 5, 1000):
+        monkeypatch.setattr(decontamination, "PAIRED_DENSE", wide)
+        index = decontamination.fit(docs, items)
+        _, order, _, staged = seen.pop()
+        a = []
+        for t in texts + ["zz"]:
+            split = [index.vocabulary.get(w, -1) for w in decontamination.tokens(t)]
+            for at in range(0, len(split), 32):
+                known = [w for w in split[at : at + 64] if w >= 0]
+                a.append(index.weights * np.bincount(known, minlength=len(order)))
+        a = np.array(a) / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+        basis = rng.normal(size=(len(order), 4)).astype(np.float32)
+        got, rows = decontamination._paired_times(staged, order, index.weights, basis)
+        want = a.T @ (a @ basis)
+        assert rows == len(a) and np.abs(got - want).max() < 1e-4 * np.abs(want).max()
+    monkeypatch.setattr(decontamination, "MOST_PAIRED", 0)
+    other = decontamination.fit(docs, items)
+    assert not seen and np.abs(other.queries @ other.queries.T - index.queries @ index.queries.T).max() < 1e-3
+
+
+def test_windows_without_enough_words_are_not_checked(spark, sf, documents, monkeypatch):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    index = decontamination.fit(spark.createDataFrame([(1, documents[0]["text"])], "doc_id long, text string"), items)
+    split = [decontamination.tokens(r["text"]) for r in documents[:60]]
+    split += [split[k] + item + split[k + 1] for k, item in enumerate(index.items[:30])] + [x[:20] for x in index.items[:9]]
+    monkeypatch.setattr(decontamination, "PRESENT", 70 * len(index.weights))
+    monkeypatch.setattr(decontamination, "PAIRS", 100)
+    few = set(decontamination.candidates(split, index))
+    monkeypatch.setattr(decontamination, "LONGEST", 0)
+    every = set(decontamination.candidates(split, index))
+
+    def enough(doc, start, item):
+        end = start + decontamination.window_chunks(len(index.items[item]))[1]
+        here = set(split[doc][max(0, start) * 32 : end * 32])
+        return sum(w in here for w in index.items[item]) >= decontamination.PARAPHRASE * len(index.items[item])
+
+    assert few == {c for c in every if enough(*c)} and 30 <= len(few) < len(every) / 4
