@@ -260,8 +260,8 @@ def _needed(pattern: str) -> str | None:
 _RULES_PER_GROUP = 8
 
 
-def apply_rules(text: Column, rules=fv.OCR_RULES) -> Column:
-    """Apply ordered (pattern, replacement) rules to every line of a text.
+def apply_rules(text: Column, rules=fv.OCR_RULES, but: tuple[tuple[str, str], ...] = ()) -> Column:
+    """Apply ordered (pattern, replacement) rules to every line of a text, but not to lines that match one of ``but``.
 
     In a line whose whitespace is all single spaces, a plain search tells whether any rule of a
     group can match; the first one to change the line has to match it as it is, so a group without
@@ -307,25 +307,40 @@ def apply_rules(text: Column, rules=fv.OCR_RULES) -> Column:
             found = found | F.arrays_overlap(F.split(x, r"(?U)\W+"), listed)
         return found
 
+    def kept(x: Column) -> Column:
+        found = F.lit(False)
+        for sign, pattern in but:
+            found = found | (F.contains(x, F.lit(sign)) & x.rlike(pattern))
+        return found
+
     def line(x: Column) -> Column:
         return bind(
-            _has_odd_space(x), lambda odd: F.when(odd | suspicious(x), run(x, odd)).otherwise(x)
+            _has_odd_space(x), lambda odd: F.when((odd | suspicious(x)) & ~kept(x), run(x, odd)).otherwise(x)
         )
 
     return join_lines(F.transform(_lines(text), line))
 
 
+#: Protected spans that are whole lines come last: from this place on.
+_LINE_SPANS = next(k for k, (_, p) in enumerate(fv.PROTECTED_SPANS) if p.startswith("(?mdU)^") and p.endswith("$"))
+#: The same matches with one look for the end of a tag instead of up to three; ``<.../>`` is a ``<...>``, too.
+_ONE_SCAN = {r"<[^>]+>.*?</[^>]+>|<[^>]+/>|<[^>]+>": r"<[^>]++>(?:.*?</[^>]++>)?"}
+
+
 def correct_spelling(text: Column, rules=fv.OCR_RULES) -> Column:
     """Apply the rules outside formulas, tags, images, headings and table rows.
 
-    Protected spans are swapped for word-like marks, kind by kind, and put back in reverse.
+    Protected spans are swapped for word-like marks, kind by kind, and put back in reverse. Headings and table rows are
+    whole lines, so they are not looked for in the text, but in the lines that a rule may change.
     """
+    spans_of, lines_of = fv.PROTECTED_SPANS[:_LINE_SPANS], fv.PROTECTED_SPANS[_LINE_SPANS:]
     none = F.array().cast("array<string>")
 
     def guard(t: Column, k: int) -> Column:
-        if k == len(fv.PROTECTED_SPANS):
-            return apply_rules(t, rules)
-        sign, pattern = fv.PROTECTED_SPANS[k]
+        if k == len(spans_of):
+            return apply_rules(t, rules, lines_of)
+        sign, pattern = spans_of[k]
+        pattern = _ONE_SCAN.get(pattern, pattern)
         mark = f"_{chr(0xE000 + k)}_"
         present = F.contains(t, F.lit(sign))
         spans = F.when(present, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)

@@ -1,5 +1,6 @@
 """Hand-written cases for the text, splitter and markdown rules."""
 
+import itertools
 import re
 
 import pytest
@@ -7,11 +8,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from folioworks import fixed_values as fv
 from folioworks.functions import chunks as ch
 from folioworks.functions import markdown as md
 from folioworks.functions import splitters as sp
 from folioworks.functions import text as tx
-from folioworks.functions.core import pieces_where, to_lines
+from folioworks.functions.core import interleave, pieces_where, to_lines
 
 
 def test_segments(one):
@@ -212,3 +214,26 @@ def test_strip_covers_the_same_characters(one):
     from folioworks.functions.core import WHITESPACE, strip
 
     assert WHITESPACE.strip() == "" and one(strip, WHITESPACE + "a b" + WHITESPACE) == "a b"
+
+
+def test_spelling_looks_for_tags_once_and_for_rows_by_line(spark):
+    """Against swapping all seven kinds of spans in the whole text; whole lines are not searched for there any more."""
+
+    def by_kinds(text):
+        def guard(t, k):
+            if k == len(fv.PROTECTED_SPANS):
+                return md.apply_rules(t)
+            pattern = F.lit(fv.PROTECTED_SPANS[k][1])
+            inner = guard(F.regexp_replace(t, pattern, F.lit(f"_{chr(0xE000 + k)}_")), k + 1)
+            gaps = F.split(inner, f"_{chr(0xE000 + k)}_", -1)
+            return interleave(gaps, F.regexp_extract_all(t, pattern, F.lit(0)))
+
+        return guard(text, 0)
+
+    parts = ["l à", "<b>", "</b>", "<br/>", "<", ">", "</", "\n", "# l à", "| l à |", " ", "$l à$", "\t| l à | \t", "$"]
+    texts = ["".join(p) for p in itertools.product(parts, repeat=3)] + ["## <b\nl à> l à\n# | l à |\n|l à $x|\nl à$ |"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", md.correct_spelling(F.col("t")).alias("got"), by_kinds(F.col("t")).alias("want")).collect()
+    assert [r for r in rows if r["got"] != r["want"]] == []
+    plan = df.select(md.correct_spelling(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2 * 5  # the column's name shows them again
