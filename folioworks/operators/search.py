@@ -233,6 +233,24 @@ def block_counts(q: DataFrame, v: DataFrame, per_block: tuple[int, int]) -> Data
     return asked.join(counts(v, "n_v", per_block[1], VECTORS_PER_BLOCK), "bucket")
 
 
+def _best_of_block(left: pa.Table, right: pa.Table, k: int, digits: int, schema: pa.Schema) -> list[pa.RecordBatch]:
+    """The best of one block of vectors for one of questions; only a slice of the vectors is held in double precision."""
+    out = []
+    asked = left["vec"].combine_chunks()
+    for dim in pc.unique(pc.drop_null(pc.list_value_length(asked))).to_pylist():
+        matrix, has = _matrix(asked, dim)
+        if dim and len(matrix):
+            mask = pa.array(has)
+            least = left["bound"].filter(mask).to_numpy().astype(np.float64)
+            run = _Running(_id_array(left["question_id"].filter(mask).to_pylist()), matrix, k, digits, least)
+            for batch in right.to_batches(ROWS_PER_SLICE):
+                m, ok = _matrix(batch.column("vec"), dim)
+                if len(m):
+                    run.add(m, _id_array(batch.column("id").filter(pa.array(ok)).to_pylist()))
+            out.append(_record_batch(run.columns(), schema))
+    return out
+
+
 def _topk_blocked(q: DataFrame, v: DataFrame, k: int, digits: int, per_block: tuple[int, int]) -> DataFrame:
     """Both sides cut into blocks, per bucket, by a hash of the id; blocks of one bucket meet in a task.
 
@@ -258,21 +276,10 @@ def _topk_blocked(q: DataFrame, v: DataFrame, k: int, digits: int, per_block: tu
     arrow = to_arrow_schema(schema)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        asked, stored = (t["vec"].combine_chunks() for t in (left, right))
-        for dim in pc.unique(pc.drop_null(pc.list_value_length(asked))).to_pylist():
-            matrix, has = _matrix(asked, dim)
-            m, ok = _matrix(stored, dim)
-            if dim and len(matrix) and len(m):
-                mask = pa.array(has)
-                least = left["bound"].filter(mask).to_numpy().astype(np.float64)
-                run = _Running(_id_array(left["question_id"].filter(mask).to_pylist()), matrix, k, digits, least)
-                run.add(m, _id_array(right["id"].filter(pa.array(ok)).to_pylist()))
-                out.append(_record_batch(run.columns(), arrow))
-        return pa.Table.from_batches(out, schema=arrow)
+        return pa.Table.from_batches(_best_of_block(left, right, k, digits, arrow), schema=arrow)
 
     keys = ["bucket", "vb", "qb"]
-    vb = v.join(blocks, "bucket").withColumn("vb", block("id", "n_v")).withColumn("qb", each(0, "n_q"))
+    vb = v.join(blocks, "bucket").select(*v.columns, block("id", "n_v").alias("vb"), each(0, "n_q").alias("qb"))
     qb = q.join(blocks, "bucket").withColumn("qb", block("question_id", "n_q"))
 
     def met(questions: DataFrame, stored: DataFrame) -> DataFrame:

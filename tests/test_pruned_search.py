@@ -1,6 +1,7 @@
 """Pruned search against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioworks.operators import pruned_search
@@ -84,3 +85,25 @@ def test_a_block_meets_all_its_questions_at_once(monkeypatch):
         got.setdefault(q, []).append((i, s))
     rows = [(i, "b", x) for i, x in enumerate(m.tolist())]
     close(got, every_pair(rows, rows, 5))
+
+
+def test_a_block_is_held_in_double_precision_by_slices(monkeypatch):
+    from folioworks.operators import search
+
+    rng = np.random.default_rng(2)
+    n, kind = 3 * search.ROWS_PER_SLICE + 7, pa.list_(pa.float32())
+    stored = rng.integers(-9, 9, (n, 4)).astype(np.float32)
+    vectors = [None if i % 50 == 0 else v[: 3 + (i % 30 > 0)] for i, v in enumerate(stored.tolist())]
+    asked = rng.integers(-9, 9, (5, 4)).astype(np.float64)
+    left = pa.table({"question_id": range(5), "vec": asked.tolist(), "bound": [-np.inf] * 5})
+    right = pa.table({"id": pa.array(range(n), pa.int64()), "vec": pa.array(vectors, kind)})
+    schema = pa.schema([("question_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    sizes, matrix = [], search._matrix
+    monkeypatch.setattr(search, "_matrix", lambda c, dim: (sizes.append(len(c)), matrix(c, dim))[1])
+    (got,) = search._best_of_block(left, right, 3, 6, schema)
+    ids = [i for i, v in enumerate(vectors) if v is not None and len(v) == 4]
+    for q in range(5):
+        scores = stored[ids].astype(np.float64) @ asked[q]
+        want = sorted(zip((-scores).tolist(), ids, strict=True))[:3]
+        assert sorted((-r["score"], r["id"]) for r in got.to_pylist() if r["question_id"] == q) == want
+    assert max(sizes) <= search.ROWS_PER_SLICE
